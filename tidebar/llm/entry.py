@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idcodec, language, mixing, token_counts
+from . import ann, bpe, idcodec, language, mixing, neardup, quality, token_counts
 from .shared import shared_path, table
 
 
@@ -36,5 +36,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes.checkpoint()).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_counts, op4_token_ids, op5_language, op6_mixing)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language.held_out(folds=4, fold=2))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("label"))
+    trees = quality.train(docs, labels.where(~language.held_out(folds=4, fold=2)))
+    return quality.score(docs, trees).drop("text").withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_counts, op4_token_ids, op5_language, op6_mixing, op7_quality, op9_near_duplicates, op10_nearest)}
 SQL = {"op6_mixing": mixing.ORACLE}
