@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, idcodec, language, mixing, neardup, quality, token_counts
+from . import ann, bpe, idcodec, language, mixing, neardup, pii, quality, rules, token_counts
 from .shared import shared_path, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.selector())
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,6 +40,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes.checkpoint()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
@@ -51,5 +60,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_counts, op4_token_ids, op5_language, op6_mixing, op7_quality, op9_near_duplicates, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_token_counts, op4_token_ids, op5_language, op6_mixing, op7_quality, op8_rules, op9_near_duplicates, op10_nearest)}
 SQL = {"op6_mixing": mixing.ORACLE}

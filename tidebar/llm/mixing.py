@@ -79,7 +79,8 @@ def taken_rows(df: DataFrame, text: str = "text", size: str = "size") -> DataFra
     """
     d = df.where(F.col("taken") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col(size)) - 1).cast("int"))))
     words = F.least(F.col(size), F.col("taken") - F.col("_copy") * F.col(size))
-    cut = F.regexp_extract(F.col(text), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*(?:"), F.lit(WORD), F.lit(r"[\x20\x09-\x0D]*){"), words.cast("string"), F.lit("})")), 0)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
     return d.withColumn(text, F.when(words >= F.col(size), F.col(text)).otherwise(cut)).drop("_copy")
 
 
