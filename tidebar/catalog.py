@@ -1 +1,10 @@
+"""All queries of the library and their SQL twins."""
+
+from __future__ import annotations
+
+from .queries import analytics, indicators
+
 QUERIES, SQL = {}, {}
+for part in (indicators, analytics):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
