@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import analytics, indicators
+from .queries import analytics, features, indicators
 
 QUERIES, SQL = {}, {}
-for part in (indicators, analytics):
+for part in (indicators, analytics, features):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

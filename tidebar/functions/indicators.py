@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.series import frames, recurrence, running
+from ..shared import cut
 
 RN = F.col("rn")
 
@@ -52,7 +53,7 @@ def macd(d: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataF
     if slow < fast:
         raise ValueError("slow must not be below fast")
     d = smoothed(d, {"_fast": ("close", fast, 2 / (fast + 1), 1), "_slow": ("close", slow, 2 / (slow + 1), 1)})
-    d = d.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    d = cut(d.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"))
     d = smoothed(d, {"macd_signal": ("macd", signal, 2 / (signal + 1), slow)})
     return d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 

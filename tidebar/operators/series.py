@@ -22,18 +22,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 DAY = 86_400_000
 CHUNK, BLOCK = 4096, 256
 KEYS = ("symbol",)
 
 
 def number_rows(df: DataFrame, time: str = "open_time", keys: Sequence[str] = KEYS, ties: Sequence[str] = (), span: int = DAY) -> DataFrame:
-    """``df`` with ``rn``, the place of each row in its series, from 1."""
+    """``df`` with ``rn``, the place of each row in its series, from 1.
+
+    The result is worked out once and kept, as the steps over it read it twice each.
+    """
     d = df.withColumn("_span", F.floor(F.col(time) / span))
     counts = d.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
     before = counts.select(*keys, "_span", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_span")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, "_span").orderBy(time, *ties))
-    return d.withColumn("_in", inside).join(before, [*keys, "_span"]).withColumn("rn", (F.col("_before") + F.col("_in")).cast("long")).drop("_span", "_before", "_in")
+    return cut(d.withColumn("_in", inside).join(before, [*keys, "_span"]).withColumn("rn", (F.col("_before") + F.col("_in")).cast("long")).drop("_span", "_before", "_in"))
 
 
 def frames(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], back: int = 0, ahead: int = 0, keys: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:

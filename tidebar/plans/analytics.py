@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.series import frames, number_rows, running
+from ..shared import cut
 
 PROFIT = F.col("profit")
 
@@ -109,8 +110,7 @@ def drawdown(curve: DataFrame, keys: Sequence[str] = (), order: str = "point") -
     one = F.lit("").alias("_all")
     by = [*keys, "_all"]
     d = number_rows(curve.select("*", one), order, by, span=4096)
-    d = running(d, {"peak": ("max", F.col("equity"))}, by)
-    d = d.withColumn("drawdown", F.col("peak") - F.col("equity"))
+    d = cut(running(d, {"peak": ("max", F.col("equity"))}, by).withColumn("drawdown", F.col("peak") - F.col("equity")))
     d = running(d, {"_top": ("last", F.when(F.col("drawdown") == 0, F.col("rn")))}, by)
     return d.withColumns({"drawdown_pct": ratio(F.col("drawdown"), F.col("peak")) * 100, "duration": F.when(F.col("drawdown") > 0, F.col("rn") - F.col("_top")).otherwise(0).cast("long")}).drop("_all", "rn", "_top")
 
