@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import analytics, features, indicators
+from .queries import analytics, features, indicators, trading
 
 QUERIES, SQL = {}, {}
-for part in (indicators, analytics, features):
+for part in (indicators, analytics, features, trading):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.series import frames, recurrence, running
 from ..shared import cut
 
-RN = F.col("rn")
+def _rn() -> Column:
+    return F.col("rn")
 
 
 def _over(w, n: int):
@@ -24,7 +25,7 @@ def previous(d: DataFrame, column: str = "close", out: str = "prev", n: int = 1)
 
 
 def sma(d: DataFrame, period: int, column: str = "close", out: str = "sma") -> DataFrame:
-    return frames(d, lambda w: {out: F.when(RN >= period, F.avg(column).over(_over(w, period)))}, period - 1)
+    return frames(d, lambda w: {out: F.when(_rn() >= period, F.avg(column).over(_over(w, period)))}, period - 1)
 
 
 def volume_sma(d: DataFrame, period: int = 20, out: str = "volume_sma") -> DataFrame:
@@ -37,9 +38,9 @@ def smoothed(d: DataFrame, specs: dict[str, tuple[str, int, float, int]]) -> Dat
     back = max(p for _, p, _, _ in specs.values()) - 1
     means = frames(d, lambda w: {f"_m_{n}": F.avg(c).over(_over(w, p)) for n, (c, p, _, _) in specs.items()}, back)
     start = {n: first + p - 1 for n, (_, p, _, first) in specs.items()}
-    x = {n: (1 - a, F.when(start[n] == RN, F.col(f"_m_{n}")).when(start[n] < RN, a * F.col(c))) for n, (c, _, a, _) in specs.items()}
+    x = {n: (1 - a, F.when(start[n] == _rn(), F.col(f"_m_{n}")).when(start[n] < _rn(), a * F.col(c))) for n, (c, _, a, _) in specs.items()}
     out = recurrence(means, x)
-    return out.withColumns({n: F.when(RN >= s, F.col(n)) for n, s in start.items()}).drop(*(f"_m_{n}" for n in specs))
+    return out.withColumns({n: F.when(_rn() >= s, F.col(n)) for n, s in start.items()}).drop(*(f"_m_{n}" for n in specs))
 
 
 def ema(d: DataFrame, period: int, column: str = "close", out: str = "ema") -> DataFrame:
@@ -65,7 +66,7 @@ def rsi(d: DataFrame, period: int = 14, out: str = "rsi") -> DataFrame:
     d = d.withColumns({"_up": F.greatest(change, F.lit(0.0)), "_down": F.greatest(-change, F.lit(0.0))})
     d = smoothed(d, {"_g": ("_up", period, 1 / period, 2), "_l": ("_down", period, 1 / period, 2)})
     rs = F.when(F.col("_l") > 0, F.col("_g") / F.col("_l")).when(F.col("_g") > 0, F.lit(999.0)).otherwise(F.lit(1.0))
-    return d.withColumn(out, F.when(RN > period, 100 - 100 / (1 + rs))).drop("_p", "_up", "_down", "_g", "_l")
+    return d.withColumn(out, F.when(_rn() > period, 100 - 100 / (1 + rs))).drop("_p", "_up", "_down", "_g", "_l")
 
 
 def true_range(d: DataFrame, out: str = "true_range") -> DataFrame:
@@ -82,12 +83,12 @@ def atr(d: DataFrame, period: int = 14, out: str = "atr") -> DataFrame:
 def simple_atr(d: DataFrame, period: int = 14, out: str = "simple_atr") -> DataFrame:
     """Plain mean of the last true ranges, as used by stops; needs period + 1 rows."""
     d = true_range(d, "_tr")
-    return frames(d, lambda w: {out: F.when(period < RN, F.avg("_tr").over(_over(w, period)))}, period - 1).drop("_tr")
+    return frames(d, lambda w: {out: F.when(period < _rn(), F.avg("_tr").over(_over(w, period)))}, period - 1).drop("_tr")
 
 
 def bollinger(d: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
     """bb_middle, bb_upper, bb_lower, bb_pct_b (0.5 without width), bb_bandwidth (0 without a positive middle)."""
-    d = frames(d, lambda w: {"bb_middle": F.when(RN >= period, F.avg("close").over(_over(w, period))), "_s": F.stddev_pop("close").over(_over(w, period))}, period - 1)
+    d = frames(d, lambda w: {"bb_middle": F.when(_rn() >= period, F.avg("close").over(_over(w, period))), "_s": F.stddev_pop("close").over(_over(w, period))}, period - 1)
     d = d.withColumns({"bb_upper": F.col("bb_middle") + width * F.col("_s"), "bb_lower": F.col("bb_middle") - width * F.col("_s")})
     span = F.col("bb_upper") - F.col("bb_lower")
     known = F.col("bb_middle").isNotNull()
@@ -116,7 +117,7 @@ def cvd(d: DataFrame, window: int = 15) -> DataFrame:
     """cvd_total over the last ``window`` rows and cvd_trend: both the sum and its second half up, or both down, else NEUTRAL."""
     half = window - 1 - window // 2
     d = d.withColumn("_d", delta())
-    d = frames(d, lambda w: {"cvd_total": F.when(RN >= window, F.sum("_d").over(_over(w, window))), "_h": F.sum("_d").over(_over(w, half)) if half else F.lit(0.0)}, window - 1)
+    d = frames(d, lambda w: {"cvd_total": F.when(_rn() >= window, F.sum("_d").over(_over(w, window))), "_h": F.sum("_d").over(_over(w, half)) if half else F.lit(0.0)}, window - 1)
     t, h = F.col("cvd_total"), F.col("_h")
     trend = F.when((t > 0) & (h > 0), "BULLISH").when((t < 0) & (h < 0), "BEARISH").when(t.isNotNull(), "NEUTRAL")
     return d.withColumn("cvd_trend", trend).drop("_d", "_h")

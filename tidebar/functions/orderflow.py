@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from ..operators.series import frames, islands, running
 from .indicators import delta
 
-INDEX = (F.col("rn") - 1).alias("index")
+def index() -> Column:
+    """Place of a row in its series, from 0."""
+    return (F.col("rn") - 1).alias("index")
 
 
 def delta_divergence(d: DataFrame, lookback: int = 5) -> DataFrame:

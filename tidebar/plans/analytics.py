@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.series import frames, number_rows, running
 from ..shared import cut
 
-PROFIT = F.col("profit")
+def _profit() -> Column:
+    return F.col("profit")
 
 
 def cents(value: Column) -> Column:
@@ -32,10 +33,10 @@ def ratio(a: Column, b: Column, otherwise=0.0) -> Column:
 
 def summarize(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Performance, of all trades or by key; zero or less is a loss, the win rate is in percent. No trades give zeros."""
-    win, n = PROFIT > 0, F.count("*")
+    win, n = _profit() > 0, F.count("*")
     d = trades.groupBy(*keys).agg(
-        n.alias("total_trades"), F.count_if(win).alias("winning_trades"), F.count_if(PROFIT <= 0).alias("losing_trades"), _sum(PROFIT).alias("total_profit"),
-        _sum(F.when(win, PROFIT)).alias("_won"), _sum(F.when(PROFIT <= 0, -PROFIT)).alias("_lost"), F.coalesce(F.max("profit"), F.lit(0.0)).alias("best_trade"), F.coalesce(F.min("profit"), F.lit(0.0)).alias("worst_trade"), F.coalesce(F.sum("duration_candles"), F.lit(0)).alias("_bars"),
+        n.alias("total_trades"), F.count_if(win).alias("winning_trades"), F.count_if(_profit() <= 0).alias("losing_trades"), _sum(_profit()).alias("total_profit"),
+        _sum(F.when(win, _profit())).alias("_won"), _sum(F.when(_profit() <= 0, -_profit())).alias("_lost"), F.coalesce(F.max("profit"), F.lit(0.0)).alias("best_trade"), F.coalesce(F.min("profit"), F.lit(0.0)).alias("worst_trade"), F.coalesce(F.sum("duration_candles"), F.lit(0)).alias("_bars"),
     )
     c = F.col
     return d.select(
@@ -48,22 +49,22 @@ def summarize(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def daily_performance(trades: DataFrame) -> DataFrame:
     """By UTC day of the exit."""
     day = F.date_format(F.timestamp_millis("exit_time"), "yyyy-MM-dd").alias("date")
-    return trades.groupBy(day).agg(F.count("*").alias("trades"), _sum(PROFIT).alias("profit"), F.count_if(PROFIT > 0).alias("wins"), F.count_if(PROFIT <= 0).alias("losses"))
+    return trades.groupBy(day).agg(F.count("*").alias("trades"), _sum(_profit()).alias("profit"), F.count_if(_profit() > 0).alias("wins"), F.count_if(_profit() <= 0).alias("losses"))
 
 
 def strategy_breakdown(trades: DataFrame) -> DataFrame:
-    d = trades.groupBy("strategy").agg(F.count("*").alias("trades"), _sum(PROFIT).alias("profit"), F.count_if(PROFIT > 0).alias("_w"))
+    d = trades.groupBy("strategy").agg(F.count("*").alias("trades"), _sum(_profit()).alias("profit"), F.count_if(_profit() > 0).alias("_w"))
     return d.select("strategy", "trades", "profit", (ratio(F.col("_w"), F.col("trades")) * 100).alias("win_rate"))
 
 
 def strategy_rollup(trades: DataFrame) -> DataFrame:
     """By strategy and side, by strategy, and of all."""
-    return trades.rollup("strategy", "side").agg(F.count("*").alias("trades"), _sum(PROFIT).alias("profit"), F.grouping_id().cast("long").alias("level"))
+    return trades.rollup("strategy", "side").agg(F.count("*").alias("trades"), _sum(_profit()).alias("profit"), F.grouping_id().cast("long").alias("level"))
 
 
 def edge(trades: DataFrame, min_trades: int = 10, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Expectancy by pair, of pairs with enough trades; the win rate is a fraction, 999 stands for gains without losses."""
-    d = trades.groupBy(*keys).agg(F.count("*").alias("total_trades"), F.count_if(PROFIT > 0).alias("_n"), _sum(F.when(PROFIT > 0, PROFIT)).alias("_won"), _sum(F.when(PROFIT <= 0, -PROFIT)).alias("_lost"))
+    d = trades.groupBy(*keys).agg(F.count("*").alias("total_trades"), F.count_if(_profit() > 0).alias("_n"), _sum(F.when(_profit() > 0, _profit())).alias("_won"), _sum(F.when(_profit() <= 0, -_profit())).alias("_lost"))
     c = F.col
     d = d.where(c("total_trades") >= min_trades).withColumns({"win_rate": c("_n") / c("total_trades"), "avg_win": ratio(c("_won"), c("_n")), "avg_loss": ratio(c("_lost"), c("total_trades") - c("_n"))})
     d = d.withColumns({"risk_reward_ratio": F.when(c("avg_loss") > 0, c("avg_win") / c("avg_loss")).when(c("avg_win") > 0, 999.0).otherwise(0.0), "expectancy": c("win_rate") * c("avg_win") - (1 - c("win_rate")) * c("avg_loss")})
@@ -82,7 +83,7 @@ def edge_kelly_size(stats: DataFrame, balance: float) -> DataFrame:
 
 def kelly(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Kelly fraction; here only a profit below zero is a loss."""
-    d = trades.groupBy(*keys).agg(F.count("*").alias("total_trades"), F.count_if(PROFIT > 0).alias("_w"), F.count_if(PROFIT < 0).alias("_l"), _sum(F.when(PROFIT > 0, PROFIT)).alias("_won"), _sum(F.when(PROFIT < 0, -PROFIT)).alias("_lost"))
+    d = trades.groupBy(*keys).agg(F.count("*").alias("total_trades"), F.count_if(_profit() > 0).alias("_w"), F.count_if(_profit() < 0).alias("_l"), _sum(F.when(_profit() > 0, _profit())).alias("_won"), _sum(F.when(_profit() < 0, -_profit())).alias("_lost"))
     c = F.col
     d = d.select(*keys, "total_trades", ratio(c("_w"), c("total_trades")).alias("win_rate"), ratio(c("_won"), c("_w")).alias("avg_win"), ratio(c("_lost"), c("_l")).alias("avg_loss"))
     r = F.when(c("avg_loss") > 0, c("avg_win") / c("avg_loss")).otherwise(999.0)
@@ -98,7 +99,7 @@ def sized(kelly_stats: DataFrame, balance: float, multiplier: float = 0.5, min_t
 def equity_curve(trades: DataFrame, balance: float, keys: Sequence[str] = ()) -> DataFrame:
     """Points (time, equity): the balance at time 0, then one for each trade by exit time and id."""
     one = F.lit("").alias("_all")
-    d = number_rows(trades.select(*keys, one, "id", "exit_time", cents(PROFIT).alias("_p")), "exit_time", [*keys, "_all"], ["id", "_p"])
+    d = number_rows(trades.select(*keys, one, "id", "exit_time", cents(_profit()).alias("_p")), "exit_time", [*keys, "_all"], ["id", "_p"])
     d = running(d, {"_sum": ("sum", F.col("_p"))}, [*keys, "_all"])
     points = d.select(*keys, F.col("rn").alias("point"), F.col("exit_time").alias("time"), (balance + F.col("_sum") / 100.0).alias("equity"))
     start = trades.select(*keys).distinct() if keys else trades.sparkSession.range(1).select()
@@ -178,7 +179,7 @@ def exposure(positions: DataFrame) -> DataFrame:
 
 
 def pair_pnl(trades: DataFrame) -> DataFrame:
-    return trades.groupBy("symbol").agg(_sum(PROFIT).alias("pnl"))
+    return trades.groupBy("symbol").agg(_sum(_profit()).alias("pnl"))
 
 
 #: Quote currencies (fixed values).

@@ -90,13 +90,13 @@ dd AS (SELECT *, CASE WHEN pc > 0 AND dc < 0 THEN 'Bearish' WHEN pc < 0 AND dc >
 query("delta_divergence", lambda s, d: O.delta_divergence(numbered(s, d)).where("divergence IS NOT NULL").select(*AT, *_r("price_change"), "delta_change", "divergence"), f"WITH {sql.SERIES}, {DIV} SELECT symbol, open_time, round(pc, 6) AS price_change, dc AS delta_change, divergence FROM dd WHERE divergence IS NOT NULL")
 query("cumulative_delta", lambda s, d: O.delta_divergence(numbered(s, d)).select(*AT, "delta", "cumulative_delta"), f"WITH {sql.SERIES} SELECT symbol, open_time, delta, sum(delta) OVER (PARTITION BY symbol ORDER BY rn) AS cumulative_delta FROM s")
 IMB = """im AS (SELECT *, CASE WHEN taker_sell_volume > 0 AND taker_buy_volume / taker_sell_volume >= 3 THEN 'BuyImbalance' WHEN taker_buy_volume > 0 AND taker_sell_volume / taker_buy_volume >= 3 THEN 'SellImbalance' END AS zone_type FROM s)"""
-query("imbalance_zones", lambda s, d: O.imbalances(numbered(s, d)).select("symbol", O.INDEX, "zone_type", *_r("ratio"), "dominant_volume", "weak_volume"), f"WITH {sql.SERIES}, {IMB} SELECT symbol, rn - 1 AS index, zone_type, round(greatest(taker_buy_volume, taker_sell_volume) / least(taker_buy_volume, taker_sell_volume), 6) AS ratio, greatest(taker_buy_volume, taker_sell_volume) AS dominant_volume, least(taker_buy_volume, taker_sell_volume) AS weak_volume FROM im WHERE zone_type IS NOT NULL")
+query("imbalance_zones", lambda s, d: O.imbalances(numbered(s, d)).select("symbol", O.index(), "zone_type", *_r("ratio"), "dominant_volume", "weak_volume"), f"WITH {sql.SERIES}, {IMB} SELECT symbol, rn - 1 AS index, zone_type, round(greatest(taker_buy_volume, taker_sell_volume) / least(taker_buy_volume, taker_sell_volume), 6) AS ratio, greatest(taker_buy_volume, taker_sell_volume) AS dominant_volume, least(taker_buy_volume, taker_sell_volume) AS weak_volume FROM im WHERE zone_type IS NOT NULL")
 query("stacked_imbalances", lambda s, d: O.stacked_imbalances(numbered(s, d), least=2), f"WITH {sql.SERIES}, {IMB}, k AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol, zone_type ORDER BY rn) AS g FROM im WHERE zone_type IS NOT NULL) SELECT symbol, min(rn) - 1 AS start_index, count(*) AS count, zone_type FROM k GROUP BY symbol, zone_type, g HAVING count(*) >= 2")
 SWEEP = """w AS (SELECT *, greatest(open, close) AS top, least(open, close) AS bottom, (high + low) / 2 AS mid FROM s), wc AS (SELECT *, high - top AS up, bottom - low AS down, top - bottom AS body, CASE WHEN top - bottom > 0 THEN top - bottom ELSE 1e-10::DOUBLE END AS dv FROM w),
 sw AS (SELECT symbol, rn, 'BearishSweep' AS sweep_type, up AS wick, body, up / dv AS ratio FROM wc WHERE mid <> 0 AND up / mid >= 0.001 AND up / dv >= 2 UNION ALL SELECT symbol, rn, 'BullishSweep', down, body, down / dv FROM wc WHERE mid <> 0 AND down / mid >= 0.001 AND down / dv >= 2)"""
-query("sweeps", lambda s, d: O.sweeps(numbered(s, d)).select("symbol", O.INDEX, "sweep_type", *_r("wick_size", "body_size"), F.round("wick_ratio", 2).alias("wick_ratio")), f"WITH {sql.SERIES}, {SWEEP} SELECT symbol, rn - 1 AS index, sweep_type, round(wick, 6) AS wick_size, round(body, 6) AS body_size, round(ratio, 2) AS wick_ratio FROM sw")
+query("sweeps", lambda s, d: O.sweeps(numbered(s, d)).select("symbol", O.index(), "sweep_type", *_r("wick_size", "body_size"), F.round("wick_ratio", 2).alias("wick_ratio")), f"WITH {sql.SERIES}, {SWEEP} SELECT symbol, rn - 1 AS index, sweep_type, round(wick, 6) AS wick_size, round(body, 6) AS body_size, round(ratio, 2) AS wick_ratio FROM sw")
 ABSORB = "SELECT symbol, rn - 1 AS index, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS absorbed_side, volume, round(high - low, 6) AS price_range, round(CASE WHEN high - low > 0 THEN volume / (high - low) ELSE volume END, 6) AS absorption_strength FROM q WHERE volume >= 2 AND volume >= 1.2::DOUBLE * mean AND open > 0 AND (high - low) / open <= 0.05"
-_absorb = lambda causal: lambda s, d: O.absorption(numbered(s, d), 2.0, 0.05, 1.2, causal).select("symbol", O.INDEX, "absorbed_side", "volume", *_r("price_range", "absorption_strength"))
+_absorb = lambda causal: lambda s, d: O.absorption(numbered(s, d), 2.0, 0.05, 1.2, causal).select("symbol", O.index(), "absorbed_side", "volume", *_r("price_range", "absorption_strength"))
 query("absorption", _absorb(True), f"WITH {sql.SERIES}, q AS (SELECT *, sum(volume) OVER (PARTITION BY symbol ORDER BY rn) / rn AS mean FROM s) {ABSORB}")
 query("absorption_whole_series", _absorb(False), f"WITH {sql.SERIES}, q AS (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mean FROM s) {ABSORB}")
 query("footprint", lambda s, d: O.footprint(A.ticks(s, d), A.M15, 5.0), f"WITH {sql.TICKS} SELECT symbol, CAST(timestamp // 900000 * 900000 AS BIGINT) AS open_time, floor(price / 5.0::DOUBLE) * 5.0::DOUBLE AS price_level, sum(CASE WHEN side = 'SELL' THEN quantity ELSE 0.0::DOUBLE END) AS bid_volume, sum(CASE WHEN side = 'BUY' THEN quantity ELSE 0.0::DOUBLE END) AS ask_volume, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS delta FROM ticks GROUP BY ALL")

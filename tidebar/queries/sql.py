@@ -2,7 +2,7 @@
 
 TICKS = """ticks AS (
   SELECT 'S' || CAST(user_id % 5 AS VARCHAR) AS symbol, value AS price, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) + 1 AS quantity,
-    CASE WHEN event_type IN ('purchase', 'click') THEN 'BUY' ELSE 'SELL' END AS side, epoch_ms(ts) AS timestamp, event_type = 'error' AS is_liquidation, event_id FROM events)"""
+    CASE WHEN event_type IN ('purchase', 'click') THEN 'BUY' ELSE 'SELL' END AS side, epoch_us(ts) // 1000 AS timestamp, event_type = 'error' AS is_liquidation, event_id FROM events)"""
 
 
 def bars(source: str = "ticks", name: str = "candles", interval: int = 900_000) -> str:
