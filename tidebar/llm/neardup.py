@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .shared import shared_path
 from .textbatch import Flat, plain_words, slices, text_slices
@@ -227,6 +228,11 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("unit", "side", "node", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a binary, b binary")
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """The rows kept on the executors' disks while they are read several times; a lost executor's part is worked out again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """The table written below the shared folder and read again: its lineage ends there."""
     path = shared_path(df.sparkSession, name)
@@ -256,17 +262,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Links (a, b) between nodes: all leader pairs and all open members of each company."""
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("keys").alias("keys"))
-    nodes = _kept(nodes, "nodes")
+    nodes = _held(nodes)
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = _kept(posted.join(shared, "key"), "live")
+    live = _held(posted.join(shared, "key"))
     company = live.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = live.join(company, "node").select("key", F.struct("company", "node").alias("who"))
     leaders = ranked.groupBy("key").agg(F.max("who").alias("lead")).select("key", F.col("lead.node").alias("leader"))
     members = live.join(leaders, "key").where("node != leader").select("leader", "node").distinct()
 
     picked = nodes.join(company, "node", "left_semi").select("node", "doc_id", "n_chars")
-    wanted = _kept(picked, "wanted")
+    wanted = _held(picked)
     few = wanted.count() <= MOST_BROADCAST
     sought = wanted.select("node", F.col("doc_id").alias("_id"))
     source = df.select(F.col(key).alias("_key"), _node(text).alias("node"), F.col(text).alias("text"))
@@ -276,8 +282,8 @@ def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold:
 
     sizes = members.join(wanted.select("node", "n_chars"), "node").groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int")
-    sizes = sizes.select("leader", blocks.alias("blocks"))
-    placed = _kept(members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    sizes = sizes.select("leader", blocks.alias("blocks"), "n")
+    placed = _held(members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
     unit = lambda *parts: F.xxhash64("leader", *parts)
     lead = placed.select("leader", "block").distinct().select(unit("block").alias("unit"), F.lit(0).alias("side"), F.col("leader").alias("node"))
@@ -285,20 +291,21 @@ def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold:
     first = _kept(_compare(lead.union(follow).join(texts, "node"), threshold), "links")
 
     held = first.select(F.col("a").alias("leader"), F.col("b").alias("node")).union(first.select(F.col("b").alias("leader"), F.col("a").alias("node")))
-    loose = placed.join(held, ["leader", "node"], "left_anti")
-    crowd = placed.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
-    loose = _kept(loose.join(crowd, "leader", "left_semi"), "loose")
-    halls = loose.select("leader", F.col("block").alias("open_block")).distinct()
-    all_blocks = placed.join(halls.select("leader").distinct(), "leader", "left_semi")
-    right = all_blocks.join(halls, "leader").select(unit("open_block", "block").alias("unit"), F.lit(1).alias("side"), "node")
-    left = loose.select("leader", F.col("block").alias("open_block"), "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(unit("open_block", "block").alias("unit"), F.lit(0).alias("side"), "node")
+    loose = _held(placed.where("n > 1").join(held, ["leader", "node"], "left_anti"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    halls = loose.select("leader", F.col("block").alias("open_block"), "blocks").distinct().select("leader", "open_block", every)
+    right = placed.join(halls, ["leader", "block"]).select(unit("open_block", "block").alias("unit"), F.lit(1).alias("side"), "node")
+    left = loose.select("leader", F.col("block").alias("open_block"), "node", every).select(unit("open_block", "block").alias("unit"), F.lit(0).alias("side"), "node")
     second = _compare(left.union(right).join(texts, "node"), threshold)
-    return first.union(second)
+    links = _kept(first.union(second), "all-links")
+    for used in (nodes, live, wanted, placed, loose):
+        used.unpersist()
+    return links
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, class_id) for each row; class_id is the smallest key in its class, null if it has none."""
-    signed = _kept(sign(df, key, text), "signed")
+    signed = _held(sign(df, key, text))
     links = link_texts(signed, df, key, text, threshold)
     labels = components(links)
     least = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -310,7 +317,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay: of each class the one with the smallest key, once."""
-    found = _kept(classes(df, key, text, threshold), "found")
+    found = _held(classes(df, key, text, threshold))
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
     kept = _kept(kept.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"), "copies"), "kept")
     d = df.withColumn("_node", _node(text))
