@@ -3,7 +3,7 @@
 Method: hyperdimensional profiles. Each letter has a random vector of +1 and
 -1; the vector of three letters in a row binds the letters' vectors, each
 permuted by its place; a text bundles (adds) the vectors of all its triples, a
-language those of all its texts; the language with the nearest prototype by
+language those of all its texts, each with the same weight; the language with the nearest prototype by
 cosine wins, ties going to the first in code-point order.
 
 Letters are in lower case, a run of other characters counts as one gap. Null
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .textbatch import LETTER, classes, slices
 
 SIZE, SEED = 1024, 20240
+#: What a text adds to its language's prototype in all, whatever its length.
+WEIGHT = 1 << 16
 #: Letters below this code point have an id of their own; others share the rest of 256.
 PLAIN = 0x180
 
@@ -57,8 +59,11 @@ class Bundler:
             self.known, self.vectors = codes, out.astype(np.float32)
         return self.vectors
 
-    def sums(self, texts: list[str], groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(n, SIZE) bundles, and the number of letters of each group."""
+    def sums(self, texts: list[str], groups: np.ndarray, n: int, even: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(n, SIZE) bundles, and the number of letters of each group.
+
+        With ``even`` all texts weigh alike, by whole numbers, so that sums don't depend on their order.
+        """
         lower = [t.lower() for t in texts]
         points = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)
         row = np.repeat(np.arange(len(lower)), np.fromiter(map(len, lower), np.int64, len(lower)))
@@ -68,20 +73,25 @@ class Bundler:
         keep[1:] |= (ids[:-1] > 0) & (row[1:] == row[:-1])
         ids, row = ids[keep], row[keep]
         if len(ids) < 3:
-            return np.zeros((n, SIZE), np.float32), letters
+            return np.zeros((n, SIZE)), letters
         here = np.flatnonzero(np.bincount(ids, minlength=256))
         small = np.zeros(256, np.int64)
         small[here] = np.arange(len(here))
         k, dense = len(here), small[ids]
         code = (dense[:-2] * k + dense[1:-1]) * k + dense[2:]
         same = row[2:] == row[:-2]
-        code, owner = code[same], groups[row[2:][same]]
+        code, mine = code[same], row[2:][same]
+        owner = groups[mine]
         present = np.flatnonzero(np.bincount(code, minlength=k**3))
         column = np.zeros(k**3, np.int64)
         column[present] = np.arange(len(present))
-        counts = np.bincount(owner * len(present) + column[code], minlength=n * len(present)).reshape(n, len(present))
+        weight = np.maximum(1, WEIGHT // np.maximum(np.bincount(mine, minlength=len(lower)), 1))[mine] if even else None
+        counts = np.bincount(owner * len(present) + column[code], weight, n * len(present)).reshape(n, len(present))
         codes = here[present // (k * k)] << 16 | here[present // k % k] << 8 | here[present % k]
-        return counts.astype(np.float32) @ self._vectors(codes), letters
+        vectors = self._vectors(codes)
+        if even:
+            return sum(counts[:, k : k + 1024] @ vectors[k : k + 1024].astype(np.float64) for k in range(0, len(codes), 1024)), letters
+        return counts.astype(np.float32) @ vectors, letters
 
 
 def _row_slices(texts: list[str]):
@@ -110,7 +120,7 @@ def prototypes(docs: DataFrame, lang: str = "lang", text: str = "text", most_lan
             for lo, hi in _row_slices(texts):
                 names = sorted(set(langs[lo:hi]))
                 group = {n: i for i, n in enumerate(names)}
-                sums, _ = bundler.sums(texts[lo:hi], np.array([group[x] for x in langs[lo:hi]]), len(names))
+                sums, _ = bundler.sums(texts[lo:hi], np.array([group[x] for x in langs[lo:hi]]), len(names), even=True)
                 for n, v in zip(names, sums.astype(np.float64)):
                     total[n] = total.get(n, 0) + v
         part = TaskContext.get().partitionId() % 64
