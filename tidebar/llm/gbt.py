@@ -39,8 +39,16 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 64, reg: float = 1.0, least: float = 2.0) -> Trees:
-    """Trees for labels 0 and 1. With no rows, or one label only, a constant."""
+def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
+    """Borders of bins, halfway between the values on both sides."""
+    known = np.unique(values)
+    at = np.unique(np.searchsorted(known, np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1], method="lower")))
+    at = at[at + 1 < len(known)]
+    return (known[at] + known[at + 1]) / 2
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 64, reg: float = 1.0, least: float = 2.0, share: float = 0.6) -> Trees:
+    """Trees for labels 0 and 1, each from a ``share`` of the features. With no rows, or one label only, a constant."""
     n, width = x.shape
     prior = (float(y.sum()) + 1) / (n + 2)
     base = float(np.log(prior / (1 - prior)))
@@ -48,12 +56,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: fl
     empty = Trees(np.zeros((0, leaves - 1), np.int64), np.zeros((0, leaves - 1)), np.zeros((0, leaves)), base)
     if n == 0 or y.min() == y.max():
         return empty
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(width)]
+    cuts = [_cuts(x[:, j], bins) for j in range(width)]
     code = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)  # bin b: above cut b-1, up to cut b
     legal = np.arange(bins)[None, :] < np.array([len(c) for c in cuts])[:, None]
     flat = code + bins * np.arange(width)
     margin, trees = np.full(n, base), ([], [], [])
+    rng, some = np.random.default_rng(7), max(1, round(share * width))
     for _ in range(rounds):
+        out = np.ones(width, bool)
+        out[rng.permutation(width)[:some]] = False
         p = 1 / (1 + np.exp(-margin))
         grad, hess = p - y, p * (1 - p)
         feature, threshold = np.zeros(leaves - 1, np.int64), np.full(leaves - 1, np.inf)
@@ -65,7 +76,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: fl
             h = np.bincount(spot, np.repeat(hess, width), here * width * bins).reshape(here, width, bins).cumsum(2)
             gt, ht = g[:, :1, -1:], h[:, :1, -1:]
             gain = g**2 / (h + reg) + (gt - g) ** 2 / (ht - h + reg) - gt**2 / (ht + reg)
-            gain[(h < least) | (ht - h < least) | ~legal] = 0
+            gain[(h < least) | (ht - h < least) | ~legal | out[:, None]] = 0
             best = gain.reshape(here, -1).argmax(1)
             good = gain.reshape(here, -1)[np.arange(here), best] > 1e-9
             for k in np.flatnonzero(good):
