@@ -63,7 +63,7 @@ def near_liquidation(entry: Column, side: Column, leverage: Column, price: Colum
 
 
 def leveraged_pnl(entry: Column, exit_: Column, quantity: Column, side: Column) -> Column:
-    return _sign(side) * (exit_ - entry) * quantity
+    return F.when(side == "BUY", exit_ - entry).otherwise(entry - exit_) * quantity
 
 
 def valid_leverage(leverage: Column, most: int = 20) -> Column:

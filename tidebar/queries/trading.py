@@ -123,7 +123,7 @@ def _leverage(s, d):
     )
 
 
-query("liquidation_price", _leverage, f"""WITH {N.POS}, z AS (SELECT *, {P_SQL} AS price, {SG} AS g FROM ps), y AS (SELECT *, entry_price * (1 - g * (1.0::DOUBLE / leverage)) AS iso FROM z) SELECT symbol, round(quantity * price / leverage, 6) AS margin, round(iso, 6) AS isolated, round(entry_price * (1 - g * (0.8::DOUBLE / leverage)), 6) AS cross_margin, g * (price - iso) / entry_price <= 0.05::DOUBLE AS near, round(g * (price - entry_price) * quantity, 6) AS pnl, leverage <= 15 AS valid, round(quantity * entry_price * 0.0001::DOUBLE, 6) AS funding FROM y""")
+query("liquidation_price", _leverage, f"""WITH {N.POS}, z AS (SELECT *, {P_SQL} AS price, {SG} AS g FROM ps), y AS (SELECT *, entry_price * (1 - g * (1.0::DOUBLE / leverage)) AS iso FROM z) SELECT symbol, round(quantity * price / leverage, 6) AS margin, round(iso, 6) AS isolated, round(entry_price * (1 - g * (0.8::DOUBLE / leverage)), 6) AS cross_margin, g * (price - iso) / entry_price <= 0.05::DOUBLE AS near, round(CASE WHEN side = 'BUY' THEN price - entry_price ELSE entry_price - price END * quantity, 6) AS pnl, leverage <= 15 AS valid, round(quantity * entry_price * 0.0001::DOUBLE, 6) AS funding FROM y""")
 _requests = lambda s, d: A.table(s, d, "supplier").select(F.concat(F.lit("C"), (_c("s_suppkey") * 7).cast("string"), F.lit("USDT")).alias("symbol"), F.when(_c("s_acctbal") > 3000, "BUY").otherwise("SELL").alias("side"), (_c("s_suppkey") % 12).cast("double").alias("quantity"), F.lit(100.0).alias("price"))
 _book = lambda s, d: N.positions(s, d).where("opened_at <= 200")
 REQ = "rq AS (SELECT 'C' || s_suppkey * 7 || 'USDT' AS symbol, CASE WHEN s_acctbal > 3000 THEN 'BUY' ELSE 'SELL' END AS side, CAST(s_suppkey % 12 AS DOUBLE) AS quantity, 100.0::DOUBLE AS price FROM supplier), bk AS (SELECT * FROM ps WHERE c_custkey <= 200), tt AS (SELECT count(*) AS n, sum(quantity * entry_price) AS ex FROM bk)"
