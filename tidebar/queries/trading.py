@@ -85,12 +85,12 @@ query("paper_fills", lambda s, d: B.fills(_orders(s, d), A.ticks(s, d), DAY).sel
 
 
 def _fills(s, d):
-    t = A.ticks(s, d).where("event_id % 10 = 0")
-    return t.select("symbol", F.col("event_id").alias("seq"), "side", "quantity", "price")
+    """Every tick is a fill."""
+    return A.ticks(s, d).select("symbol", F.col("event_id").alias("seq"), "side", "quantity", "price")
 
 
 query("position_events", lambda s, d: _round(B.position_events(_fills(s, d)), "entry_price", "realized_pnl"))
-query("position_quantities", lambda s, d: B.position_events(_fills(s, d)).select("symbol", "seq", "quantity"), f"WITH {sql.TICKS} SELECT symbol, event_id AS seq, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY event_id) AS quantity FROM ticks WHERE event_id % 10 = 0")
+query("position_quantities", lambda s, d: B.position_events(_fills(s, d).where("seq % 10 = 0")).select("symbol", "seq", "quantity"), f"WITH {sql.TICKS} SELECT symbol, event_id AS seq, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY event_id) AS quantity FROM ticks WHERE event_id % 10 = 0")
 _last = lambda s, d: A.ticks(s, d).groupBy("symbol").agg(F.max_by("price", "event_id").alias("price"))
 _held = lambda s, d: N.positions(s, d).withColumn("symbol", F.concat(F.lit("S"), (F.col("opened_at") % 7).cast("string")))
 query("mark_to_market", lambda s, d: _round(B.mark_to_market(_held(s, d), _last(s, d)), "unrealized_pnl").select("opened_at", "symbol", "unrealized_pnl"), f"WITH {sql.TICKS}, {N.POS}, l AS (SELECT symbol, arg_max(price, event_id) AS price FROM ticks GROUP BY symbol), h AS (SELECT *, 'S' || c_custkey % 7 AS sy FROM ps) SELECT c_custkey AS opened_at, sy AS symbol, round(CASE WHEN l.price IS NULL THEN unrealized_pnl ELSE (l.price - entry_price) * quantity * CASE WHEN side = 'BUY' THEN 1 ELSE -1 END END, 6) AS unrealized_pnl FROM h LEFT JOIN l ON l.symbol = sy")
@@ -151,7 +151,16 @@ def _rollout(s, d):
 
 
 query("momentum_rollout", _rollout)
-query("episode_samples", lambda s, d: E.episode_rows(series.number_rows(A.candles(s, d)).select("symbol", "rn", "close"), E.sample_episodes(s, {"S0": 1000, "S1": 1000}, 3, 7, 10, 100)))
+
+
+def _episodes(s, d):
+    """Stretches of every symbol, drawn from all of its bars; one driver row a symbol."""
+    c = A.candles(s, d).checkpoint()
+    sizes = {r.symbol: r["count"] for r in c.groupBy("symbol").count().collect()}
+    return E.episode_rows(series.number_rows(c).select("symbol", "rn", "close"), E.sample_episodes(s, sizes, 3, 7, 10, 100))
+
+
+query("episode_samples", _episodes)
 query("prioritized_sample", lambda s, d: E.prioritized_sample(_steps(s, d).where("symbol = 'S0'").select("step", F.col("reward").alias("priority")), 50, 3))
 
 
