@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE, STEPS, LEAST = 0.75, 3, 20
-#: Squared distance above which a row is an outlier, and up to which it counts in the last estimate.
-CUT, NEAR = 40.0, 9.5
+#: Squared distance above which a row is an outlier (chi-square with four degrees, 0.9999), and up to which it counts in the last estimate.
+CUT, NEAR = 23.5, 9.5
 #: Standard deviations that are added to those of a group, so that a statistic that hardly varies rejects nothing by itself.
 FLOORS = {"x_length": 0.35, "x_symbols": 0.25, "x_lines": 0.15, "x_repeats": 0.15}
 #: Groups up to which their estimates (about 200 bytes each) are broadcast; above it, joined with salt.
