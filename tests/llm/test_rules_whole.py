@@ -17,3 +17,16 @@ def test_junk_a_little_off_is_rejected(frame, prose):
     rows = {r.doc_id: r for r in rules.judge(frame([*docs, *bars, *signs, *fine])).collect()}
     assert all(23.5 < rows[k].distance < 40 and not rows[k].kept for k in (900, 901, 902))
     assert rows[903].kept and all(rows[d[0]].kept for d in docs)
+
+
+def test_small_groups_are_judged_by_a_larger_one(frame, prose):
+    docs = [(100 + i, prose(120, seed=i), "en", "s") for i in range(80)]
+    small = [(300 + 10 * k + i, prose(120, seed=200 + 10 * k + i), lang, source) for k, (lang, source) in enumerate([("en", "t"), ("xx", "u"), (None, None)]) for i in range(4)]
+    junk = [(900 + i, " ".join(w + "$$$" for w in prose(120, seed=i).split()), lang, source) for i, (lang, source) in enumerate([("en", "t"), ("xx", "u"), (None, None), ("en", "alone"), ("yy", "alone")])]
+    rows = {r.doc_id: r.kept for r in rules.judge(frame([*docs, *small, *junk])).collect()}
+    assert len(rows) == len(docs) + len(small) + len(junk)
+    assert {k for k, kept in rows.items() if not kept} == {r[0] for r in junk}
+
+
+def test_too_few_rows_for_any_estimate(frame, prose):
+    assert all(r.kept for r in rules.judge(frame([(i, prose(60 + i, seed=i), "en", "s") for i in range(5)])).collect())

@@ -7,9 +7,11 @@ covariance of the half (``SHARE``) of rows that lie nearest, again and again; a
 last step reweights them with all rows that are not far. A document whose
 Mahalanobis distance is above the cut is rejected.
 
-A null language or source counts as a group value of its own. Groups of fewer
-than ``LEAST`` rows reject nothing. Rows that fail the base rules take no part
-in the estimates. Null texts have no words.
+A null language or source counts as a group value of its own. A group whose last
+estimate holds fewer than ``LEAST`` rows is judged by the estimate of its
+language, or where that is too small by the one of all rows, made by the same
+steps; only where all rows together are too few is nothing rejected. Rows that
+fail the base rules take no part in the estimates. Null texts have no words.
 """
 
 from __future__ import annotations
@@ -132,9 +134,44 @@ def _estimates(rows: DataFrame, widen: float) -> DataFrame:
 
 def _place(stats: DataFrame) -> DataFrame:
     """The start of the steps: medians, and the spread between quartiles as a diagonal covariance."""
-    quart = stats.groupBy("_group").agg(F.count("*").alias("rows"), *(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(X)))
+    keys = [c for c in ("_group", "_lang") if c in stats.columns]
+    quart = stats.groupBy(*keys).agg(F.count("*").alias("rows"), *(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(X)))
     spread = lambda i: ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[X[i]] ** 2
-    return quart.select("_group", "rows", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(X))), *((1 / spread(i) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS))
+    return quart.select(*keys, "rows", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(X))), *((1 / spread(i) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS))
+
+
+def _fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The last estimate of each ``_group``, all groups (with their ``_lang``, if given), and the number of them."""
+    every = _place(rows).checkpoint()
+    rows, groups, n = rows.select("_group", *X), every.drop("_lang"), every.count()
+    few = n <= MOST_GROUPS
+    for _ in range(STEPS):
+        near = _attach(rows, groups, few).withColumn("_d", _distance()).select("_group", *X, "_d")
+        limit = near.groupBy("_group").agg(F.percentile_approx("_d", SHARE).alias("_limit")).checkpoint()
+        inner = _attach(near, limit, few).where("_d <= _limit")
+        groups = _estimates(inner, 1.6).checkpoint()
+    last = _attach(rows, groups, few).withColumn("_d", _distance()).where(F.col("_d") <= NEAR).select("_group", *X)
+    return _estimates(last, 1.1).checkpoint(), every, n
+
+
+def _judges(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The estimate that judges each ``_group`` of ``rows`` (with ``_lang``): its own, its language's, or that of all rows.
+
+    The larger estimates are made only where a group needs them.
+    """
+    own, every, n = _fit(rows)
+    strong, few = own.where(F.col("rows") >= LEAST), n <= MOST_GROUPS
+    if strong.count() == n:
+        return strong, few
+    left = every.select("_group", "_lang").join(strong.select("_group"), "_group", "left_anti").checkpoint()
+    for up in (F.col("_lang"), F.lit("")):
+        wide = _fit(rows.select(up.alias("_group"), *X))[0].where(F.col("rows") >= LEAST).withColumnRenamed("_group", "_up")
+        met = left.withColumn("_up", up).join(wide, "_up", "left").drop("_up").checkpoint()
+        strong = strong.unionByName(met.where(F.col("rows").isNotNull()).drop("_lang"))
+        left = met.where(F.col("rows").isNull()).select("_group", "_lang")
+        if left.isEmpty():
+            break
+    return strong, few
 
 
 def judge(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -144,21 +181,12 @@ def judge(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     one row a group. A row is read a few times, as four numbers.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("s"), F.regexp_replace(c, "\x01", "\x01\x01")), F.lit("n"))
-    d = statistics(df, text).withColumn("base_failed", base_failed()).withColumn("_group", F.concat_ws("\x01|", mark(lang), mark(source)))
+    d = statistics(df, text).withColumn("base_failed", base_failed()).withColumns({"_lang": mark(lang), "_group": F.concat_ws("\x01|", mark(lang), mark(source))})
     d = _vectors(d).checkpoint()
-    rows = d.where(~F.col("base_failed")).select("_group", *X)
-    groups = _place(rows).checkpoint()
-    few = groups.count() <= MOST_GROUPS
-    for _ in range(STEPS):
-        near = _attach(rows, groups, few).withColumn("_d", _distance()).select("_group", *X, "_d")
-        limit = near.groupBy("_group").agg(F.percentile_approx("_d", SHARE).alias("_limit")).checkpoint()
-        inner = _attach(near, limit, few).where("_d <= _limit")
-        groups = _estimates(inner, 1.6).checkpoint()
-    last = _attach(rows, groups, few).withColumn("_d", _distance()).where(F.col("_d") <= NEAR).select("_group", *X)
-    final = _estimates(last, 1.1).checkpoint()
+    final, few = _judges(d.where(~F.col("base_failed")).select("_group", "_lang", *X))
     out = _attach_left(d, final, few).withColumn("distance", _distance())
-    far = F.coalesce((F.col("distance") > CUT) & (F.col("rows") >= LEAST), F.lit(False))
-    names = [c for c in d.columns if c not in (*X, "_group")]
+    far = F.coalesce(F.col("distance") > CUT, F.lit(False))
+    names = [c for c in d.columns if c not in (*X, "_group", "_lang")]
     return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*names, "distance", "kept")
 
 
