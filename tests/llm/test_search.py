@@ -145,3 +145,40 @@ def test_nearest_of_few(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r["rank"]) for r in ann.search(d).orderBy("rank").collect()] == [(2, 1), (1, 2)]
     assert ann.search(d.limit(0)).count() == 0
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(1)
+    rows = [(0, [1.0] + [0.0] * 15), *((i, [0.5, *rng.normal(0, 1, 15).tolist()]) for i in range(1, 400))]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 21)) and {r.score for r in found} == {0.5}
+
+
+def test_recall_with_production_parameters(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in d.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for r in ann.search(d).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_split_files_and_chunks_of_queries_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 1, (300, 8)), rng.normal(5, 0.01, (600, 8))])  # most of them near one pivot
+    d = spark.createDataFrame([(i, x.tolist(), "x", 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, id string, v int")
+    want = sorted(tuple(r) for r in ann.search(d).collect())
+    for name, value in (("INDEX_BLOCK", 50), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(ann, name, value)
+    monkeypatch.setattr(ann, "FLOOR", 10_000)
+    got = sorted(tuple(r) for r in ann.search(d).collect())
+    assert {r[0] for r in got} == {r[0] for r in want} and len(got) == len(want)
+    best = brute([(i, x.tolist()) for i, x in enumerate(v)])
+    hit = sum(len({j for j, _ in best[q]} & {r[2] for r in got if r[0] == q}) for q in best)
+    assert hit >= 0.97 * sum(map(len, best.values()))
