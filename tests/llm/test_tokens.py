@@ -28,8 +28,8 @@ def test_ids_equal_the_library(path):
     want = t.encode_batch(texts, add_special_tokens=False)
     for text, w, e, n in zip(texts, want, ends, counts):
         assert ids[e - n : e].tolist() == w.ids, text
-        if path == WORD:
-            assert b.decode(ids[e - n : e].tolist()) == t.decode(w.ids, skip_special_tokens=False)
+        assert b.decode(ids[e - n : e].tolist()) == t.decode(w.ids, skip_special_tokens=False)
+        assert b.decode(w.ids[1:]) == t.decode(w.ids[1:], skip_special_tokens=False)
 
 
 def test_long_words_equal_short_ones():
@@ -134,3 +134,18 @@ def test_files_round_trip(spark, frame, odd, prose, tmp_path, monkeypatch):
         want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_code_point_and_mixtures_equal_the_library(path):
+    b, t = bpe.load(path), Tokenizer.from_file(path)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(6)
+    texts = ["a" + "".join(every[i : i + 5]) + "1" for i in range(0, len(every), 5) if i < 0x32000 or i > 0xE0000 and i < 0xE0300]
+    texts += [f"a{c}1 {c}" for c in every[0x1C80:0x1C90] + every[0xA7C0:0xA7E0] + every[0x10000:0x11400:7] + every[0x14000:0x14200:5] + every[0x1E500:0x1E600:3]]
+    pool = every[:0x3000] + every[0xA000:0xB000] + every[0x10000:0x14400] + every[0x1E000:0x1F000]
+    texts += ["".join(rng.choice(pool if rng.random() < 0.5 else "ab' 1\ńΣ") for _ in range(rng.randint(1, 40))) for _ in range(6000)]
+    ids, counts = b.encode_slice(texts)
+    ends = np.cumsum(counts)
+    wrong = [x for x, w, e, n in zip(texts, t.encode_batch(texts, add_special_tokens=False), ends, counts) if ids[e - n : e].tolist() != w.ids]
+    assert not wrong, [ascii(x) for x in wrong[:5]]

@@ -8,7 +8,8 @@ them; words of more than ``SHORT`` bytes use a heap of pairs. Each distinct
 word is encoded once per cache; texts are cut into words with array operations.
 
 Null and empty texts have no tokens. Strings of special tokens inside a text
-become their ids, as in the tokenizers library.
+become their ids, as in the tokenizers library, whose classes of characters are
+asked of the library itself. Repeated rows keep a row each.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbatch import Flat, PieceCache, bare_pieces, spaced_pieces, text_slices
+from .textbatch import Flat, PieceCache, bare_pieces, slices, spaced_pieces, text_slices
 
 #: Bytes up to which a word goes through the rank array.
 SHORT = 40
+HIGH = re.compile("[\u0300-\U0010ffff]")
 NONE = np.int32(2**31 - 1)
 
 
@@ -57,7 +58,9 @@ class Bpe:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lower = bool(spec["normalizer"])
+        self.lower, self.normalizer = bool(spec["normalizer"]), None
+        self.bytes = {c: b for b, c in enumerate(letters)} if (spec["decoder"] or {}).get("type") == "ByteLevel" else None
+        self.path = path
         self.pieces = bare_pieces if suffix else spaced_pieces
         size = max(max(vocab.values()), *self.special.values()) + 1
         self.tokens = [""] * size
@@ -149,12 +152,16 @@ class Bpe:
         return [p for p in part if p >= 0]
 
     def normal(self, text: str) -> str:
+        """The text in composed, lower-case form; below U+0300 nothing composes and Python's letters are the library's."""
         if not self.lower or not text:
             return text
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # One character at a time, a final capital sigma becomes a plain small one.
-        return text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
+        if text.isascii() or not HIGH.search(text):
+            return text.lower()
+        if self.normalizer is None:
+            from tokenizers import Tokenizer
+
+            self.normalizer = Tokenizer.from_file(self.path).normalizer
+        return self.normalizer.normalize_str(text)
 
     def encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and the number of ids of each text."""
@@ -184,8 +191,12 @@ class Bpe:
         return ids, np.bincount(np.array(owner), counts, len(texts)).astype(np.int64)
 
     def decode(self, ids) -> str:
-        """Tokens joined by a space: the files without a decoder have them so."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        """The bytes that the tokens spell, where the file has a decoder for bytes; else the tokens joined by a space."""
+        tokens = map(self.tokens.__getitem__, ids)
+        if self.bytes is None:
+            return " ".join(tokens)
+        known = self.bytes
+        return b"".join(bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t in tokens).decode("utf-8", "replace")
 
 
 @functools.lru_cache(2)
@@ -194,10 +205,10 @@ def load(path: str) -> Bpe:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with an array of token ids; other columns pass through."""
+    """``df`` with an array of token ids; other columns pass through, one that has the name of the result gives way to it."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([f for f in df.schema.fields if f.name.lower() != out.lower()] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches):
@@ -214,10 +225,10 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text that the tokens of ``ids`` spell."""
+    """``df`` with the text that the tokens of ``ids`` spell (empty where they are null); an older column of that name gives way."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.StringType(), False)])
+    schema = T.StructType([f for f in df.schema.fields if f.name.lower() != out.lower()] + [T.StructField(out, T.StringType(), False)])
     names = [f.name for f in schema.fields[:-1]]
 
     def run(batches):
@@ -225,8 +236,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for batch in batches:
             column = batch.column(ids)
             sizes = [4 * (len(x) if x.is_valid else 0) for x in column]
-            from .textbatch import slices
-
             for lo, hi in slices(sizes):
                 part = batch.slice(lo, hi - lo)
                 texts = [bpe.decode(x or ()) for x in part.column(ids).to_pylist()]

@@ -28,13 +28,32 @@ _U = np.uint64
 
 @functools.lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of every code point: white space, letter, number or other."""
+    """Class of every code point: white space, letter, number or other, by Python's Unicode tables."""
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     table[WHITE_SPACE] = SPACE
     return table
 
 
+@functools.lru_cache(1)
+def library_classes() -> np.ndarray:
+    """The same classes as the pattern engine of the tokenizers library has them, whatever Unicode version it knows.
+
+    Each class is asked for once a process: the engine takes its characters out of a text that holds every code point.
+    """
+    from tokenizers import Regex, normalizers
+
+    table = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    points = np.frombuffer(every.encode("utf-32-le"), np.uint32)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        rest = normalizers.Replace(Regex(pattern), "").normalize_str(every)
+        inside = np.ones(0x110000, bool)
+        inside[np.frombuffer(rest.encode("utf-32-le"), np.uint32)] = False
+        table[points[inside[points]]] = kind
+    return table
+
+
 def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about ``limit``; a longer row stands alone."""
     lo, held = 0, 0
@@ -151,7 +170,7 @@ def spaced_pieces(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[points]
+    kind = library_classes()[points]
     start = first | np.concatenate(([True], kind[1:] != kind[:-1]))
     last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~first[1:])
     start[last] = True
@@ -167,7 +186,7 @@ def bare_pieces(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[points]
+    kind = library_classes()[points]
     start = (first | np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == NUMBER)) & (kind != SPACE)
     _contractions(points, kind, start, first)
     cut = np.flatnonzero(start | (kind == SPACE) | first)
