@@ -11,7 +11,8 @@ from .shared import shared_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"), pii.selector())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.selector(docs))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
