@@ -1,5 +1,11 @@
 """Junk a little off the rest, and groups too small for an estimate of their own."""
 
+import math
+from collections import defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
+
 from tidebar.llm import rules
 
 
@@ -30,3 +36,53 @@ def test_small_groups_are_judged_by_a_larger_one(frame, prose):
 
 def test_too_few_rows_for_any_estimate(frame, prose):
     assert all(r.kept for r in rules.judge(frame([(i, prose(60 + i, seed=i), "en", "s") for i in range(5)])).collect())
+
+
+def plain_verdicts(x):
+    """Squared distances by robust starts, concentration and reweighting, row after row."""
+    floor = np.diag([f**2 for f in rules.FLOORS.values()])
+
+    def moments(w, widen):
+        m = (w[:, None] * x).sum(0) / w.sum()
+        return m, np.linalg.inv((w[:, None] * (x - m)).T @ (x - m) / w.sum() * widen + floor), np.linalg.det((w[:, None] * (x - m)).T @ (x - m) / w.sum() * widen + floor)
+
+    def distance(e):
+        return np.einsum("ij,jk,ik->i", x - e[0], e[1], x - e[0])
+
+    def step(e):
+        bins = np.floor(16 * np.log2(1 + distance(e)))
+        before = np.array([(bins < b).sum() for b in bins])
+        return moments((before < rules.SHARE * len(x)).astype(float), rules.WIDEN)
+
+    b = np.sort(np.floor(np.arcsinh(x * 4) * 64), 0)
+    q = [np.sinh((b[max(0, math.ceil(f * len(x)) - 1)] + 0.5) / 64) / 4 for f in rules.QUANTILES]
+    spread = ((q[3] - q[1]) / 1.349) ** 2 + np.diag(floor)
+    box = ((x >= q[0] - 0.01) & (x <= q[4] + 0.01)).all(1).astype(float)
+    starts = [(q[2], np.diag(1 / spread), 0.0), *([moments(box, 1.0)] if box.any() else []), moments(1 / (1 + ((x - q[2]) ** 2 / spread).sum(1)), 1.0), moments(np.ones(len(x)), 1.0)]
+    for _ in range(rules.STEPS):
+        starts = [step(e) for e in starts]
+    best = step(min(starts, key=lambda e: e[2]))
+    return distance(moments((distance(best) <= rules.NEAR).astype(float), rules.WIDEN_NEAR))
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("s")).withColumn("Kept", F.lit("x")).withColumn("mean", F.lit("y"))
+    rows = rules.judge(docs).collect()
+    assert len(rows) == docs.count() and rows[0]["mean"] == "y"
+    groups = defaultdict(list)
+    for r in rows:
+        if not r.base_failed:
+            n = max(1, r.n_words)
+            groups[r.lang, r.source].append((r, [r.word_chars / n, np.log1p(10 * r.n_symbols / n), r.n_dup_lines / max(1, r.n_lines), r.n_repeat_words / n]))
+    seen = 0
+    for members in groups.values():
+        d = plain_verdicts(np.array([x for _, x in members]))
+        if len(members) >= 2 * rules.LEAST:
+            seen += len(members)
+            for (r, _), want in zip(members, d):
+                assert abs(r.distance - want) <= 1e-6 * max(1, want) and r.kept == (want <= rules.CUT)
+    assert seen > 500
+
+
+def test_quantiles_of_chi_square():
+    assert abs(rules.CUT - 23.513) < 1e-3 and abs(rules.NEAR - 9.4877) < 1e-4

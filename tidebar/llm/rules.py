@@ -1,32 +1,64 @@
 """Quality rules by robust multivariate outliers (operator 8), DataFrame operations only.
 
 Method: minimum-covariance-determinant estimates per language and source. The
-transformed statistics of a document form a vector; in each group, from the
-median and the spread around it, concentration steps take the mean and the
-covariance of the half (``SHARE``) of rows that lie nearest, again and again; a
-last step reweights them with all rows that are not far. A document whose
-Mahalanobis distance is above the cut is rejected.
+transformed statistics of a document form a vector. In each group several robust
+starts (medians with the spread between quartiles; moments inside the box of the
+5 % and 95 % quantiles; moments weighted down with the distance from the median;
+moments of all rows) go through concentration steps, each of which takes the mean
+and the covariance of the share ``SHARE`` of rows that lie nearest; the start
+whose covariance has the least determinant goes on, and a last step reweights
+with all rows below the ``NEAR`` quantile. A document whose Mahalanobis distance
+is above the ``CUT`` quantile of chi-square is rejected.
+
+Quantiles come from fixed histograms, whose counts add up in any order, and the
+bins of a distance hold the moments of their rows too, so that a step is one
+pass; the nearest share ends with the bin that fills it.
 
 A null language or source counts as a group value of its own. A group whose last
 estimate holds fewer than ``LEAST`` rows is judged by the estimate of its
 language, or where that is too small by the one of all rows, made by the same
 steps; only where all rows together are too few is nothing rejected. Rows that
 fail the base rules take no part in the estimates. Null texts have no words.
+Repeated rows count each; an empty table gives an empty result. Columns of the
+input other than the text stay, but for those named as one of the results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARE, STEPS, LEAST = 0.75, 3, 20
-#: Squared distance above which a row is an outlier (chi-square with four degrees, 0.9999), and up to which it counts in the last estimate.
-CUT, NEAR = 23.5, 9.5
+from .shared import quoted
+
+SHARE, STEPS, LEAST = 0.75, 2, 20
 #: Standard deviations that are added to those of a group, so that a statistic that hardly varies rejects nothing by itself.
 FLOORS = {"x_length": 0.35, "x_symbols": 0.25, "x_lines": 0.15, "x_repeats": 0.15}
-#: Groups up to which their estimates (about 200 bytes each) are broadcast; above it, joined with salt.
+#: Groups up to which their estimates (about 700 bytes each) are broadcast; above it, joined with salt.
 MOST_GROUPS, SALTS = 20_000, 32
 
+
+def below(x: float, degrees: int) -> float:
+    """Share of chi-square with 4 or 6 degrees below ``x``."""
+    h = x / 2
+    return 1 - math.exp(-h) * (1 + h + (h * h / 2 if degrees == 6 else 0))
+
+
+def quantile(p: float) -> float:
+    """Quantile of chi-square with 4 degrees, one for each statistic."""
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        low, high = ((low + high) / 2, high) if below((low + high) / 2, 4) < p else (low, (low + high) / 2)
+    return low
+
+
+#: Squared distance above which a row is an outlier, and up to which it counts in the last estimate.
+CUT, NEAR = quantile(0.9999), quantile(0.95)
+#: What makes up for the rows left out, where the statistics are normal.
+WIDEN, WIDEN_NEAR = SHARE / below(quantile(SHARE), 6), 0.95 / below(NEAR, 6)
+
 GAP, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 
 
@@ -90,68 +122,108 @@ def _vectors(d: DataFrame) -> DataFrame:
 
 
 X = list(FLOORS)
-PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
-
-
-def _inverse(cov) -> dict[tuple[int, int], Column]:
-    """The inverse of a positive definite matrix of columns, by Gauss-Jordan steps written out."""
-    n = len(X)
-    m = [[cov(i, j) for j in range(n)] + [F.lit(float(i == j)) for j in range(n)] for i in range(n)]
-    # Each step is stored by the caller's checkpoint only at the end; the expressions stay small for four statistics.
-    for k in range(n):
-        pivot = m[k][k]
-        m[k] = [x / pivot for x in m[k]]
-        for i in range(n):
-            if i != k:
-                by = m[i][k]
-                m[i] = [x - by * y for x, y in zip(m[i], m[k])]
-    return {(i, j): m[i][n + j] for i, j in PAIRS}
-
-
-def _attach(d: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    """Rows with the estimates of their group. A group of any size stays spread over all tasks."""
-    if few:
-        return d.join(F.broadcast(groups), "_group")
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return d.withColumn("_salt", F.pmod(F.xxhash64(*X, "_group"), F.lit(SALTS)).cast("int")).join(salted, ["_group", "_salt"]).drop("_salt")
-
+N = len(X)
+PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
+_sum, _array = sum, F.array
 
-def _distance() -> Column:
-    total = F.lit(0.0)
-    dx = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(X)]
-    for i, j in PAIRS:
-        total = total + F.col(f"p{i}{j}") * dx[i] * dx[j] * (1.0 if i == j else 2.0)
-    return total
 
-
-def _estimates(rows: DataFrame, widen: float) -> DataFrame:
-    """Mean and inverse covariance of the rows of each group; ``widen`` makes up for rows left out."""
-    moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)] + [F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in PAIRS]
-    d = rows.groupBy("_group").agg(F.count("*").alias("rows"), *moments)
-    cov = lambda i, j: F.col(f"c{max(i, j)}{min(i, j)}") * widen + (FLOORS[X[i]] ** 2 if i == j else 0.0)
-    return d.select("_group", "rows", *(f"m{i}" for i in range(len(X))), *(x.alias(f"p{i}{j}") for (i, j), x in _inverse(cov).items()))
-
-
-def _place(stats: DataFrame) -> DataFrame:
-    """The start of the steps: medians, and the spread between quartiles as a diagonal covariance."""
-    keys = [c for c in ("_group", "_lang") if c in stats.columns]
-    quart = stats.groupBy(*keys).agg(F.count("*").alias("rows"), *(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(X)))
-    spread = lambda i: ((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[X[i]] ** 2
-    return quart.select(*keys, "rows", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(X))), *((1 / spread(i) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS))
+def _attach(d: DataFrame, groups: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with what is known of their group. A group of any size stays spread over all tasks."""
+    if few:
+        return d.join(F.broadcast(groups), "_group", how)
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return d.withColumn("_salt", F.pmod(F.xxhash64(*X, "_group"), F.lit(SALTS)).cast("int")).join(salted, ["_group", "_salt"], how).drop("_salt")
+
+
+def _distance(mean: str, inverse: str) -> Column:
+    dx = [F.col(x) - F.col(mean)[i] for i, x in enumerate(X)]
+    terms = [F.col(inverse)[k] * dx[i] * dx[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)]
+    return F.greatest(_sum(terms[1:], terms[0]), F.lit(0.0))
+
+
+def _moments(weight: Column | None = None, mark: str = "") -> list[Column]:
+    """Sums of the weights, of the statistics and of their products, by weight."""
+    w = F.lit(1.0) if weight is None else weight
+    return [F.sum(w).alias(f"n{mark}"), *(F.sum(w * F.col(x)).alias(f"a{i}{mark}") for i, x in enumerate(X)), *(F.sum(w * F.col(X[i]) * F.col(X[j])).alias(f"c{i}{j}{mark}") for i, j in PAIRS)]
+
+
+def _estimate(d: DataFrame, keys: list[str], widen: float) -> DataFrame:
+    """Rows, mean, inverse covariance and determinant from the sums of _moments, by minors of two rows."""
+    cov = lambda i, j: ((F.col(f"c{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("n") / F.col("n")) * widen + (FLOORS[X[i]] ** 2 if i == j else 0.0)).alias(f"v{i}{j}")
+    d = d.where("n > 0").select(*keys, "n", _array(*(F.col(f"a{i}") / F.col("n") for i in range(N))).alias("mean"), *(cov(i, j) for i, j in PAIRS))
+    v = lambda i, j: F.col(f"v{max(i, j)}{min(i, j)}")
+    two = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    minor = lambda r, q: {(i, j): v(r, i) * v(q, j) - v(q, i) * v(r, j) for i, j in two}
+    d = d.select("*", *(m.alias(f"s{i}{j}") for (i, j), m in minor(0, 1).items()), *(m.alias(f"t{i}{j}") for (i, j), m in minor(2, 3).items()))
+    s, t = ({p: F.col(f"{k}{p[0]}{p[1]}") for p in two} for k in "st")
+    det = s[0, 1] * t[2, 3] - s[0, 2] * t[1, 3] + s[0, 3] * t[1, 2] + s[1, 2] * t[0, 3] - s[1, 3] * t[0, 2] + s[2, 3] * t[0, 1]
+    adjugate = {
+        (0, 0): v(1, 1) * t[2, 3] - v(1, 2) * t[1, 3] + v(1, 3) * t[1, 2],
+        (1, 0): v(0, 2) * t[1, 3] - v(0, 1) * t[2, 3] - v(0, 3) * t[1, 2],
+        (1, 1): v(0, 0) * t[2, 3] - v(0, 2) * t[0, 3] + v(0, 3) * t[0, 2],
+        (2, 0): v(3, 1) * s[2, 3] - v(3, 2) * s[1, 3] + v(3, 3) * s[1, 2],
+        (2, 1): v(3, 2) * s[0, 3] - v(3, 0) * s[2, 3] - v(3, 3) * s[0, 2],
+        (2, 2): v(3, 0) * s[1, 3] - v(3, 1) * s[0, 3] + v(3, 3) * s[0, 1],
+        (3, 0): v(2, 2) * s[1, 3] - v(2, 1) * s[2, 3] - v(2, 3) * s[1, 2],
+        (3, 1): v(2, 0) * s[2, 3] - v(2, 2) * s[0, 3] + v(2, 3) * s[0, 2],
+        (3, 2): v(2, 1) * s[0, 3] - v(2, 0) * s[1, 3] - v(2, 3) * s[0, 1],
+        (3, 3): v(2, 0) * s[1, 2] - v(2, 1) * s[0, 2] + v(2, 2) * s[0, 1],
+    }
+    return d.withColumn("det", det).select(*keys, F.col("n").alias("rows"), "mean", _array(*(adjugate[p] / F.col("det") for p in PAIRS)).alias("inverse"), "det")
+
+
+#: Bins of a statistic: even near 0, in proportion above.
+_bin = lambda x: F.floor(F.asinh(x * 4) * 64)
+_middle = lambda b: F.sinh((b + F.lit(0.5)) / 64) / 4
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def _quantiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group its rows, and ``q``: for each statistic the quantiles, from fixed histograms."""
+    d = rows.select(*keys, F.posexplode(_array(*(_bin(F.col(x)) for x in X)))).groupBy(*keys, "pos", "col").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*keys, "pos")
+    d = d.withColumns({"upto": F.sum("n").over(w.orderBy("col")), "rows": F.sum("n").over(w)})
+    found = d.groupBy(*keys, "pos").agg(F.max("rows").alias("rows"), _array(*(_middle(F.min(F.when(F.col("upto") >= f * F.col("rows"), F.col("col")))) for f in QUANTILES)).alias("q"))
+    return found.groupBy(*keys).agg(F.max("rows").alias("rows"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "q"))), lambda x: x["q"]).alias("q"))
+
+
+def _starts(rows: DataFrame, quantiles: DataFrame, few: bool) -> DataFrame:
+    """The starts of each group: ``_group``, ``start``, ``mean`` and ``inverse``."""
+    q = lambda i, k: F.col("q")[i][k]
+    spread = lambda i: ((q(i, 3) - q(i, 1)) / 1.349) ** 2 + FLOORS[X[i]] ** 2
+    middle = quantiles.select("_group", F.lit(0).alias("start"), _array(*(q(i, 2) for i in range(N))).alias("mean"), _array(*(1 / spread(i) if i == j else F.lit(0.0) for i, j in PAIRS)).alias("inverse"))
+    near = _attach(rows, quantiles.select("_group", "q"), few)
+    box = _sum(((F.col(x) < q(i, 0) - 0.01) | (F.col(x) > q(i, 4) + 0.01)).cast("int") for i, x in enumerate(X)) == 0
+    far = _sum((F.col(x) - q(i, 2)) ** 2 / spread(i) for i, x in enumerate(X))
+    weights = {"p": F.when(box, 1.0).otherwise(0.0), "q": 1 / (1 + far), "r": F.lit(1.0)}
+    sums = near.groupBy("_group").agg(*(m for k, w in weights.items() for m in _moments(w, k)))
+    names = ["n", *(f"a{i}" for i in range(N)), *(f"c{i}{j}" for i, j in PAIRS)]
+    each = F.explode(_array(*(F.struct(F.lit(at).alias("start"), *(F.col(n + k).alias(n) for n in names)) for at, k in enumerate(weights, 1)))).alias("e")
+    return middle.union(_estimate(sums.select("_group", each).select("_group", "e.*"), ["_group", "start"], 1.0).select("_group", "start", "mean", "inverse"))
+
+
+def _step(rows: DataFrame, starts: DataFrame, few: bool) -> DataFrame:
+    """One concentration step of every start: the estimate of the nearest share of its group."""
+    known = starts.groupBy("_group").agg(F.collect_list(F.struct("start", "mean", "inverse")).alias("e"))
+    near = _attach(rows, known, few).select("_group", *X, F.explode("e").alias("e")).select("_group", *X, "e.*")
+    bins = near.groupBy("_group", "start", F.floor(16 * F.log2(1 + _distance("mean", "inverse"))).alias("bin")).agg(*_moments())
+    w = W.partitionBy("_group", "start")
+    bins = bins.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("before") < SHARE * F.col("all"))
+    return _estimate(bins.groupBy("_group", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c[0] in "nac" and c not in ("all",))), ["_group", "start"], WIDEN).checkpoint()
 
 
 def _fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The last estimate of each ``_group``, all groups (with their ``_lang``, if given), and the number of them."""
-    every = _place(rows).checkpoint()
-    rows, groups, n = rows.select("_group", *X), every.drop("_lang"), every.count()
+    every = _quantiles(rows, [c for c in ("_group", "_lang") if c in rows.columns]).checkpoint()
+    rows, n = rows.select("_group", *X), every.count()
     few = n <= MOST_GROUPS
+    tried = _starts(rows, every.drop("_lang"), few)
     for _ in range(STEPS):
-        near = _attach(rows, groups, few).withColumn("_d", _distance()).select("_group", *X, "_d")
-        limit = near.groupBy("_group").agg(F.percentile_approx("_d", SHARE).alias("_limit")).checkpoint()
-        inner = _attach(near, limit, few).where("_d <= _limit")
-        groups = _estimates(inner, 1.6).checkpoint()
-    last = _attach(rows, groups, few).withColumn("_d", _distance()).where(F.col("_d") <= NEAR).select("_group", *X)
-    return _estimates(last, 1.1).checkpoint(), every, n
+        tried = _step(rows, tried, few)
+    best = tried.groupBy("_group").agg(F.min(F.struct("det", "start", "mean", "inverse")).alias("e")).select("_group", "e.start", "e.mean", "e.inverse")
+    best = _step(rows, best, few).select("_group", "mean", "inverse")
+    inner = _attach(rows, best, few).where(_distance("mean", "inverse") <= NEAR)
+    return _estimate(inner.groupBy("_group").agg(*_moments()), ["_group"], WIDEN_NEAR).drop("det").checkpoint(), every.drop("q", "rows"), n
 
 
 def _judges(rows: DataFrame) -> tuple[DataFrame, bool]:
@@ -174,6 +246,9 @@ def _judges(rows: DataFrame) -> tuple[DataFrame, bool]:
     return strong, few
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
 def judge(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """``df`` without its text, with the statistics, base_failed, distance and kept.
 
@@ -181,18 +256,11 @@ def judge(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     one row a group. A row is read a few times, as four numbers.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("s"), F.regexp_replace(c, "\x01", "\x01\x01")), F.lit("n"))
-    d = statistics(df, text).withColumn("base_failed", base_failed()).withColumns({"_lang": mark(lang), "_group": F.concat_ws("\x01|", mark(lang), mark(source))})
-    d = _vectors(d).checkpoint()
+    others = [c for c in df.columns if c.lower() != text.lower()]
+    packed = df.select(F.struct(*map(quoted, others)).alias("_row"), mark(lang).alias("_lang"), F.concat_ws("\x01|", mark(lang), mark(source)).alias("_group"), F.col(text).alias("text"))
+    d = _vectors(statistics(packed).withColumn("base_failed", base_failed())).checkpoint()
     final, few = _judges(d.where(~F.col("base_failed")).select("_group", "_lang", *X))
-    out = _attach_left(d, final, few).withColumn("distance", _distance())
+    out = _attach(d, final.select("_group", "mean", "inverse"), few, "left").withColumn("distance", F.when(F.col("mean").isNotNull(), _distance("mean", "inverse")))
     far = F.coalesce(F.col("distance") > CUT, F.lit(False))
-    names = [c for c in d.columns if c not in (*X, "_group", "_lang")]
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*names, "distance", "kept")
-
-
-def _attach_left(d: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    """As _attach, but rows of groups without an estimate stay."""
-    if few:
-        return d.join(F.broadcast(groups), "_group", "left")
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return d.withColumn("_salt", F.pmod(F.xxhash64(*X, "_group"), F.lit(SALTS)).cast("int")).join(salted, ["_group", "_salt"], "left").drop("_salt")
+    kept = [F.col(f"_row.{quoted(c)}").alias(c) for c in others if c.lower() not in RESULTS]
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*kept, *RESULTS)

@@ -45,3 +45,8 @@ def unused(columns, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def quoted(column: str) -> str:
+    """A column's name as text for the parser, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
