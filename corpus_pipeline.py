@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
-the columns of ``documents``; ``n_chars`` follows the text.
+the columns of ``documents``; ``n_chars`` follows the text. Every stage keeps
+extra columns, whatever their names, treats a null text as an empty one, keeps
+repeated rows apart (near-duplicate removal keeps one of them), and makes an
+empty table of an empty table.
 """
 
 from __future__ import annotations
@@ -12,15 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import bpe, language, mixing, neardup, pii
-from tidebar.llm.shared import checkpoints, shared_path, ship
+from tidebar.llm.shared import checkpoints, quoted, shared_path, ship, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (no text, or no letter) go; a missing ``lang`` is filled with the prediction."""
     checkpoints(ship(spark))
-    model = language.prototypes(docs)
-    found = language.classify(docs, model, label="_lang", score="_score")
-    return found.where(F.col("_lang") != "und").withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    label, score = unused(docs.columns, "said", "score")
+    found = language.classify(docs, language.prototypes(docs), label=label, score=score)
+    return found.where(F.col(label) != "und").withColumn("lang", F.coalesce("lang", label)).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +35,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to the name of their kind."""
     checkpoints(ship(spark))
-    return _counted(pii.redact(docs, pii.selector()))
+    return _counted(pii.redact(docs, pii.selector(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; the last of a source is cut at its budget."""
     checkpoints(ship(spark))
-    mixed = mixing.mix(docs.withColumn("_size", mixing.n_words()), size="_size")
-    return _counted(mixing.taken_rows(mixed, size="_size").select(*docs.columns))
+    (whole,) = unused(docs.columns, "whole")
+    names = [quoted(c) for c in docs.columns]
+    # The document travels as one column, so that none of its columns meets one of the operator's.
+    packed = docs.select("doc_id", "source", "text", mixing.n_words().alias("size"), F.struct(*names).alias(whole))
+    taken = mixing.taken_rows(mixing.mix(packed))
+    return _counted(taken.select(*(F.col("text") if c == "text" else F.col(f"{whole}.{quoted(c)}").alias(c) for c in docs.columns)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row."""
+    """The rows with their token ids, the number of these, and what they decode to, in columns that no other column is named as."""
     checkpoints(ship(spark))
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return ids.drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, decoded, n_tokens = unused(docs.columns, "ids", "decoded", "n_tokens")
+    return bpe.decode(bpe.encode(docs, path, out=ids), path, ids=ids, out=decoded).withColumn(n_tokens, F.size(ids).cast("long"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
