@@ -8,7 +8,7 @@ cosine wins, ties going to the first in code-point order.
 
 Letters are in lower case, a run of other characters counts as one gap. Null
 texts and texts without a letter are ``und`` with score 0, and so is every text
-if nothing could be learned.
+if nothing could be learned. Rows are kept one for one, repeated ones too.
 """
 
 from __future__ import annotations
@@ -99,12 +99,12 @@ def _row_slices(texts: list[str]):
     return slices([max(len(t), 4096) for t in texts])
 
 
-def prototypes(docs: DataFrame, lang: str = "lang", text: str = "text", most_languages: int = 4096) -> tuple[list[str], np.ndarray]:
+def prototypes(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Sums of the vectors of all texts of each language.
 
     Each task adds up its texts; the sums are added in two rounds, so that no
-    task gets more than a share of them. Only one vector for each language
-    reaches the driver; more than ``most_languages`` is an error.
+    task gets more than a share of them. One vector for each language (8 kB)
+    reaches the driver; their number is that of languages, not of texts.
     """
     from pyspark.sql import types as T
 
@@ -132,21 +132,18 @@ def prototypes(docs: DataFrame, lang: str = "lang", text: str = "text", most_lan
 
     sums = docs.where(F.col(lang).isNotNull()).select(lang, text).mapInArrow(learn, kind)
     sums = sums.groupBy("lang", "part").applyInArrow(add, kind).groupBy("lang").applyInArrow(add, kind)
-    rows = sums.orderBy("lang").limit(most_languages + 1).collect()
-    if len(rows) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    rows = sorted((r for r in rows if any(r["total"])), key=lambda r: r["lang"])
+    rows = sorted((r for r in sums.toLocalIterator() if any(r["total"])), key=lambda r: r["lang"])
     vectors = np.array([r["total"] for r in rows]).reshape(len(rows), SIZE)
     return [r["lang"] for r in rows], vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def classify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the nearest language and its cosine, cut to 0 to 1; other columns pass through."""
+    """``df`` with the nearest language and its cosine, cut to 0 to 1; other columns pass through, those named as a result give way."""
     from pyspark.sql import types as T
 
     names, table = model
     table = table.T.astype(np.float32)
-    fields = [f for f in df.schema.fields if f.name not in (label, score)]
+    fields = [f for f in df.schema.fields if f.name.lower() not in (label.lower(), score.lower())]
     schema = T.StructType([*fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
     kept = [f.name for f in fields]
 

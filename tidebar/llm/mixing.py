@@ -9,7 +9,8 @@ same order.
 
 A null source is a source of its own and comes last; null or empty texts have
 size 0 and are taken 0 times. Repeated rows count each; ties of the key are
-broken by size. An empty table gives an empty result.
+broken by size. An empty table gives an empty result. Other columns stay as they
+are; those named as one of the results give way to it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import quoted, unused
+
 #: Characters of words (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,22 +57,24 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
     sums (at most that many rows a source) are what the running sum over ranges
     works on. ``df`` is read twice, so cut its lineage if its sizes are costly.
     """
-    mark = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    d = df.withColumns({"_mark": mark, "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))})
-    d = d.withColumn("_range", F.substring("_mark", 1, digits))
-    ranges = d.groupBy("_source", "_range").agg(F.sum(size).alias("_sum"), F.first(source, True).alias("source_key"))
-    sizes = ranges.groupBy("_source").agg(F.sum("_sum").alias("source_size"), F.max("source_key").alias("source_key"))
-    targets = budgets(sizes, share, most, weights).select(F.coalesce(F.concat(F.lit("s"), "source_key"), F.lit("n")).alias("_source"), "source_size", "target")
-    begin = F.sum("_sum").over(W.partitionBy("_source").orderBy("_range")) - F.col("_sum")
-    placed = ranges.select("_source", "_range", begin.alias("_begin")).join(targets, "_source")
-    own = F.sum(size).over(W.partitionBy("_source", "_range").orderBy("_mark", size).rowsBetween(W.unboundedPreceding, -1))
-    d = d.withColumn("_own", F.coalesce(own, F.lit(0))).join(placed, ["_source", "_range"])
-    place = F.col("_begin") + F.col("_own")
+    results = ("source_size", "target", "taken")
+    d = df.select(*(quoted(c) for c in df.columns if c.lower() not in results))
+    mark, name, part, own, begin, sums, plain = unused([*d.columns, *results], "mark", "name", "part", "own", "begin", "sums", "source_key")
+    d = d.withColumns({mark: F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), name: F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))})
+    d = d.withColumn(part, F.substring(mark, 1, digits))
+    ranges = d.groupBy(name, part).agg(F.sum(size).alias(sums), F.first(source, True).alias(plain))
+    sizes = ranges.groupBy(name).agg(F.sum(sums).alias("source_size"), F.max(plain).alias("source_key"))
+    targets = budgets(sizes, share, most, weights).select(F.coalesce(F.concat(F.lit("s"), "source_key"), F.lit("n")).alias(name), "source_size", "target")
+    before = F.sum(sums).over(W.partitionBy(name).orderBy(part)) - F.col(sums)
+    placed = ranges.select(name, part, before.alias(begin)).join(targets, name)
+    sum_before = F.sum(size).over(W.partitionBy(name, part).orderBy(mark, size).rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn(own, F.coalesce(sum_before, F.lit(0))).join(placed, [name, part])
+    place = F.col(begin) + F.col(own)
     budget = F.floor("target")
     within = lambda x: F.greatest(F.lit(0), F.least(F.col(size), x))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)  # whole epochs
     taken = epochs * F.col(size) + within(budget - epochs * F.col("source_size") - place)
-    return d.withColumn("taken", taken.cast("long")).drop("_mark", "_source", "_range", "_own", "_begin")
+    return d.withColumn("taken", taken.cast("long")).drop(mark, name, part, own, begin)
 
 
 def taken_rows(df: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
@@ -77,11 +82,12 @@ def taken_rows(df: DataFrame, text: str = "text", size: str = "size") -> DataFra
 
     Documents without a word have nothing to take and go.
     """
-    d = df.where(F.col("taken") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col(size)) - 1).cast("int"))))
-    words = F.least(F.col(size), F.col("taken") - F.col("_copy") * F.col(size))
+    (copy,) = unused(df.columns, "copy")
+    d = df.where(F.col("taken") > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col(size)) - 1).cast("int"))))
+    words = F.least(F.col(size), F.col("taken") - F.col(copy) * F.col(size))
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
-    return d.withColumn(text, F.when(words >= F.col(size), F.col(text)).otherwise(cut)).drop("_copy")
+    return d.withColumn(text, F.when(words >= F.col(size), F.col(text)).otherwise(cut)).drop(copy)
 
 
 ORACLE = """

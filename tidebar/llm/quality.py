@@ -103,10 +103,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(df: DataFrame, trees: Trees, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the score of each text; other columns pass through."""
+    """``df`` with the score of each text; other columns pass through, one named as the result gives way."""
     from pyspark.sql import types as T
 
-    fields = [f for f in df.schema.fields if f.name != out]
+    fields = [f for f in df.schema.fields if f.name.lower() != out.lower()]
     kept = [f.name for f in fields]
 
     def run(batches):

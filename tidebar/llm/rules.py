@@ -124,7 +124,6 @@ def _vectors(d: DataFrame) -> DataFrame:
 X = list(FLOORS)
 N = len(X)
 PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
-_sum, _array = sum, F.array
 
 
 def _attach(d: DataFrame, groups: DataFrame, few: bool, how: str = "inner") -> DataFrame:
@@ -135,41 +134,45 @@ def _attach(d: DataFrame, groups: DataFrame, few: bool, how: str = "inner") -> D
     return d.withColumn("_salt", F.pmod(F.xxhash64(*X, "_group"), F.lit(SALTS)).cast("int")).join(salted, ["_group", "_salt"], how).drop("_salt")
 
 
-def _distance(mean: str, inverse: str) -> Column:
-    dx = [F.col(x) - F.col(mean)[i] for i, x in enumerate(X)]
-    terms = [F.col(inverse)[k] * dx[i] * dx[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)]
-    return F.greatest(_sum(terms[1:], terms[0]), F.lit(0.0))
+# Sums over all pairs of statistics are written as SQL text, which costs one call for each, not one for each operation.
 
 
-def _moments(weight: Column | None = None, mark: str = "") -> list[Column]:
+def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
+    dx = [f"({x} - {mean}[{i}])" for i, x in enumerate(X)]
+    terms = [f"{inverse}[{k}] * {dx[i]} * {dx[j]} * {1 if i == j else 2}D" for k, (i, j) in enumerate(PAIRS)]
+    return F.expr(f"greatest({' + '.join(terms)}, 0D)")
+
+
+SUMS = ["n", *(f"a{i}" for i in range(N)), *(f"c{i}{j}" for i, j in PAIRS)]
+
+
+def _moments(weight: str = "1D", mark: str = "") -> list[Column]:
     """Sums of the weights, of the statistics and of their products, by weight."""
-    w = F.lit(1.0) if weight is None else weight
-    return [F.sum(w).alias(f"n{mark}"), *(F.sum(w * F.col(x)).alias(f"a{i}{mark}") for i, x in enumerate(X)), *(F.sum(w * F.col(X[i]) * F.col(X[j])).alias(f"c{i}{j}{mark}") for i, j in PAIRS)]
+    terms = [weight, *(f"{weight} * {x}" for x in X), *(f"{weight} * {X[i]} * {X[j]}" for i, j in PAIRS)]
+    return [F.expr(f"sum({t}) AS {k}{mark}") for k, t in zip(SUMS, terms)]
 
 
 def _estimate(d: DataFrame, keys: list[str], widen: float) -> DataFrame:
     """Rows, mean, inverse covariance and determinant from the sums of _moments, by minors of two rows."""
-    cov = lambda i, j: ((F.col(f"c{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("n") / F.col("n")) * widen + (FLOORS[X[i]] ** 2 if i == j else 0.0)).alias(f"v{i}{j}")
-    d = d.where("n > 0").select(*keys, "n", _array(*(F.col(f"a{i}") / F.col("n") for i in range(N))).alias("mean"), *(cov(i, j) for i, j in PAIRS))
-    v = lambda i, j: F.col(f"v{max(i, j)}{min(i, j)}")
+    cov = [f"(c{i}{j} / n - a{i} * a{j} / n / n) * {widen}D + {FLOORS[X[i]] ** 2 if i == j else 0.0}D AS v{i}{j}" for i, j in PAIRS]
+    d = d.where("n > 0").selectExpr(*keys, "n", f"array({', '.join(f'a{i} / n' for i in range(N))}) AS mean", *cov)
+    v = lambda i, j: f"v{max(i, j)}{min(i, j)}"
     two = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    minor = lambda r, q: {(i, j): v(r, i) * v(q, j) - v(q, i) * v(r, j) for i, j in two}
-    d = d.select("*", *(m.alias(f"s{i}{j}") for (i, j), m in minor(0, 1).items()), *(m.alias(f"t{i}{j}") for (i, j), m in minor(2, 3).items()))
-    s, t = ({p: F.col(f"{k}{p[0]}{p[1]}") for p in two} for k in "st")
-    det = s[0, 1] * t[2, 3] - s[0, 2] * t[1, 3] + s[0, 3] * t[1, 2] + s[1, 2] * t[0, 3] - s[1, 3] * t[0, 2] + s[2, 3] * t[0, 1]
+    d = d.selectExpr("*", *(f"{v(r, i)} * {v(q, j)} - {v(q, i)} * {v(r, j)} AS {k}{i}{j}" for k, r, q in (("s", 0, 1), ("t", 2, 3)) for i, j in two))
     adjugate = {
-        (0, 0): v(1, 1) * t[2, 3] - v(1, 2) * t[1, 3] + v(1, 3) * t[1, 2],
-        (1, 0): v(0, 2) * t[1, 3] - v(0, 1) * t[2, 3] - v(0, 3) * t[1, 2],
-        (1, 1): v(0, 0) * t[2, 3] - v(0, 2) * t[0, 3] + v(0, 3) * t[0, 2],
-        (2, 0): v(3, 1) * s[2, 3] - v(3, 2) * s[1, 3] + v(3, 3) * s[1, 2],
-        (2, 1): v(3, 2) * s[0, 3] - v(3, 0) * s[2, 3] - v(3, 3) * s[0, 2],
-        (2, 2): v(3, 0) * s[1, 3] - v(3, 1) * s[0, 3] + v(3, 3) * s[0, 1],
-        (3, 0): v(2, 2) * s[1, 3] - v(2, 1) * s[2, 3] - v(2, 3) * s[1, 2],
-        (3, 1): v(2, 0) * s[2, 3] - v(2, 2) * s[0, 3] + v(2, 3) * s[0, 2],
-        (3, 2): v(2, 1) * s[0, 3] - v(2, 0) * s[1, 3] - v(2, 3) * s[0, 1],
-        (3, 3): v(2, 0) * s[1, 2] - v(2, 1) * s[0, 2] + v(2, 2) * s[0, 1],
+        (0, 0): "v11 * t23 - v21 * t13 + v31 * t12",
+        (1, 0): "v20 * t13 - v10 * t23 - v30 * t12",
+        (1, 1): "v00 * t23 - v20 * t03 + v30 * t02",
+        (2, 0): "v31 * s23 - v32 * s13 + v33 * s12",
+        (2, 1): "v32 * s03 - v30 * s23 - v33 * s02",
+        (2, 2): "v30 * s13 - v31 * s03 + v33 * s01",
+        (3, 0): "v22 * s13 - v21 * s23 - v32 * s12",
+        (3, 1): "v20 * s23 - v22 * s03 + v32 * s02",
+        (3, 2): "v21 * s03 - v20 * s13 - v32 * s01",
+        (3, 3): "v20 * s12 - v21 * s02 + v22 * s01",
     }
-    return d.withColumn("det", det).select(*keys, F.col("n").alias("rows"), "mean", _array(*(adjugate[p] / F.col("det") for p in PAIRS)).alias("inverse"), "det")
+    d = d.withColumn("det", F.expr("s01 * t23 - s02 * t13 + s03 * t12 + s12 * t03 - s13 * t02 + s23 * t01"))
+    return d.selectExpr(*keys, "n AS rows", "mean", f"array({', '.join(f'({adjugate[p]}) / det' for p in PAIRS)}) AS inverse", "det")
 
 
 #: Bins of a statistic: even near 0, in proportion above.
@@ -180,36 +183,35 @@ QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 def _quantiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     """For each group its rows, and ``q``: for each statistic the quantiles, from fixed histograms."""
-    d = rows.select(*keys, F.posexplode(_array(*(_bin(F.col(x)) for x in X)))).groupBy(*keys, "pos", "col").agg(F.count("*").alias("n"))
+    d = rows.select(*keys, F.posexplode(F.array(*(_bin(F.col(x)) for x in X)))).groupBy(*keys, "pos", "col").agg(F.count("*").alias("n"))
     w = W.partitionBy(*keys, "pos")
     d = d.withColumns({"upto": F.sum("n").over(w.orderBy("col")), "rows": F.sum("n").over(w)})
-    found = d.groupBy(*keys, "pos").agg(F.max("rows").alias("rows"), _array(*(_middle(F.min(F.when(F.col("upto") >= f * F.col("rows"), F.col("col")))) for f in QUANTILES)).alias("q"))
+    found = d.groupBy(*keys, "pos").agg(F.max("rows").alias("rows"), F.array(*(_middle(F.min(F.when(F.col("upto") >= f * F.col("rows"), F.col("col")))) for f in QUANTILES)).alias("q"))
     return found.groupBy(*keys).agg(F.max("rows").alias("rows"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "q"))), lambda x: x["q"]).alias("q"))
 
 
 def _starts(rows: DataFrame, quantiles: DataFrame, few: bool) -> DataFrame:
     """The starts of each group: ``_group``, ``start``, ``mean`` and ``inverse``."""
-    q = lambda i, k: F.col("q")[i][k]
-    spread = lambda i: ((q(i, 3) - q(i, 1)) / 1.349) ** 2 + FLOORS[X[i]] ** 2
-    middle = quantiles.select("_group", F.lit(0).alias("start"), _array(*(q(i, 2) for i in range(N))).alias("mean"), _array(*(1 / spread(i) if i == j else F.lit(0.0) for i, j in PAIRS)).alias("inverse"))
-    near = _attach(rows, quantiles.select("_group", "q"), few)
-    box = _sum(((F.col(x) < q(i, 0) - 0.01) | (F.col(x) > q(i, 4) + 0.01)).cast("int") for i, x in enumerate(X)) == 0
-    far = _sum((F.col(x) - q(i, 2)) ** 2 / spread(i) for i, x in enumerate(X))
-    weights = {"p": F.when(box, 1.0).otherwise(0.0), "q": 1 / (1 + far), "r": F.lit(1.0)}
-    sums = near.groupBy("_group").agg(*(m for k, w in weights.items() for m in _moments(w, k)))
-    names = ["n", *(f"a{i}" for i in range(N)), *(f"c{i}{j}" for i, j in PAIRS)]
-    each = F.explode(_array(*(F.struct(F.lit(at).alias("start"), *(F.col(n + k).alias(n) for n in names)) for at, k in enumerate(weights, 1)))).alias("e")
-    return middle.union(_estimate(sums.select("_group", each).select("_group", "e.*"), ["_group", "start"], 1.0).select("_group", "start", "mean", "inverse"))
+    spread = [f"(pow((q[{i}][3] - q[{i}][1]) / 1.349D, 2) + {FLOORS[x] ** 2}D)" for i, x in enumerate(X)]
+    inverse = ", ".join(f"1 / {spread[i]}" if i == j else "0D" for i, j in PAIRS)
+    middle = quantiles.selectExpr("_group", "0 AS start", f"array({', '.join(f'q[{i}][2]' for i in range(N))}) AS mean", f"array({inverse}) AS inverse")
+    box = " AND ".join(f"{x} BETWEEN q[{i}][0] - 0.01D AND q[{i}][4] + 0.01D" for i, x in enumerate(X))
+    far = " + ".join(f"pow({x} - q[{i}][2], 2) / {spread[i]}" for i, x in enumerate(X))
+    near = _attach(rows, quantiles.select("_group", "q"), few).selectExpr("_group", *X, f"IF({box}, 1D, 0D) AS w1", f"1D / (1D + {far}) AS w2", "1D AS w3")
+    sums = near.groupBy("_group").agg(*(m for k in (1, 2, 3) for m in _moments(f"w{k}", f"_{k}")))
+    each = ", ".join(f"named_struct('start', {k}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}_{k}' for n in SUMS)})" for k in (1, 2, 3))
+    sums = sums.selectExpr("_group", f"explode(array({each})) AS e").select("_group", "e.*")
+    return middle.union(_estimate(sums, ["_group", "start"], 1.0).select("_group", "start", "mean", "inverse"))
 
 
 def _step(rows: DataFrame, starts: DataFrame, few: bool) -> DataFrame:
     """One concentration step of every start: the estimate of the nearest share of its group."""
     known = starts.groupBy("_group").agg(F.collect_list(F.struct("start", "mean", "inverse")).alias("e"))
     near = _attach(rows, known, few).select("_group", *X, F.explode("e").alias("e")).select("_group", *X, "e.*")
-    bins = near.groupBy("_group", "start", F.floor(16 * F.log2(1 + _distance("mean", "inverse"))).alias("bin")).agg(*_moments())
+    bins = near.groupBy("_group", "start", F.floor(16 * F.log2(1 + _distance())).alias("bin")).agg(*_moments())
     w = W.partitionBy("_group", "start")
     bins = bins.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(w)}).where(F.col("before") < SHARE * F.col("all"))
-    return _estimate(bins.groupBy("_group", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c[0] in "nac" and c not in ("all",))), ["_group", "start"], WIDEN).checkpoint()
+    return _estimate(bins.groupBy("_group", "start").agg(*(F.sum(c).alias(c) for c in SUMS)), ["_group", "start"], WIDEN).checkpoint()
 
 
 def _fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -222,7 +224,7 @@ def _fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         tried = _step(rows, tried, few)
     best = tried.groupBy("_group").agg(F.min(F.struct("det", "start", "mean", "inverse")).alias("e")).select("_group", "e.start", "e.mean", "e.inverse")
     best = _step(rows, best, few).select("_group", "mean", "inverse")
-    inner = _attach(rows, best, few).where(_distance("mean", "inverse") <= NEAR)
+    inner = _attach(rows, best, few).where(_distance() <= NEAR)
     return _estimate(inner.groupBy("_group").agg(*_moments()), ["_group"], WIDEN_NEAR).drop("det").checkpoint(), every.drop("q", "rows"), n
 
 
@@ -260,7 +262,7 @@ def judge(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     packed = df.select(F.struct(*map(quoted, others)).alias("_row"), mark(lang).alias("_lang"), F.concat_ws("\x01|", mark(lang), mark(source)).alias("_group"), F.col(text).alias("text"))
     d = _vectors(statistics(packed).withColumn("base_failed", base_failed())).checkpoint()
     final, few = _judges(d.where(~F.col("base_failed")).select("_group", "_lang", *X))
-    out = _attach(d, final.select("_group", "mean", "inverse"), few, "left").withColumn("distance", F.when(F.col("mean").isNotNull(), _distance("mean", "inverse")))
+    out = _attach(d, final.select("_group", "mean", "inverse"), few, "left").withColumn("distance", F.when(F.col("mean").isNotNull(), _distance()))
     far = F.coalesce(F.col("distance") > CUT, F.lit(False))
     kept = [F.col(f"_row.{quoted(c)}").alias(c) for c in others if c.lower() not in RESULTS]
     return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*kept, *RESULTS)
