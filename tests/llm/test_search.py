@@ -72,12 +72,40 @@ def test_classes(spark, prose, odd):
 
 def test_classes_in_small_blocks_and_without_broadcast(spark, prose, odd, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(neardup, "LED_ROWS", 5)
+    monkeypatch.setattr(neardup, "HOT", 2)
     monkeypatch.setattr(neardup, "MOST_BROADCAST", 0)
     rows = corpus(prose, odd)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter((r.doc_id, r.class_id) for r in neardup.classes(d).collect()) == plain_classes(rows)
 
 
+def test_texts_that_share_a_template_are_not_compared_one_by_one(spark, prose, monkeypatch):
+    """Eighty of 102 words are the same, so all meet in buckets and none is linked."""
+    template, compare, seen = prose(80, seed="t"), neardup._compare, []
+
+    def counted(rows, threshold):
+        seen.append(rows.count())
+        return compare(rows, threshold)
+
+    monkeypatch.setattr(neardup, "_compare", counted)
+    sums = []
+    for n in (300, 900):
+        seen.clear()
+        d = spark.createDataFrame([(i, template + " " + " ".join(f"w{i}x{k}" for k in range(22))) for i in range(n)], "doc_id long, text string")
+        assert all(r.doc_id == r.class_id for r in neardup.classes(d).collect())
+        sums.append(sum(seen))
+    assert sums[1] < 3.6 * sums[0]
+
+
+def test_clashing_columns(spark, prose, odd):
+    rows = corpus(prose, odd)[:150]
+    d = spark.createDataFrame([(k, t, "a", 1, "b", "c", "d") for k, t in rows], "doc_id long, text string, node string, n int, d string, copies string, `row.x` string")
+    kept = neardup.keep_one(d).collect()
+    assert kept[0].asDict().keys() == set(d.columns) and all((r.node, r.n, r.copies) == ("a", 1, "c") for r in kept)
+    assert Counter(r.doc_id for r in kept) == Counter({c for _, c in plain_classes(rows)})
+
+
 def test_one_of_each_class_stays(spark, prose, odd):
     rows = corpus(prose, odd)
     d = spark.createDataFrame(rows, "doc_id long, text string")

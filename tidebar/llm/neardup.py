@@ -9,15 +9,22 @@ points that cannot be first any more are never made. Two signatures agree in a
 component with the probability of the weighted Jaccard similarity.
 
 Bands of components are posted to buckets; exact copies are one node from the
-start. In each bucket the node with the most company leads, all others are
-compared with it by exact multiset overlap, and members that the leader does not
-hold are compared with the whole company of this leader, in blocks. So a bucket
-never emits its pairs, and no link between different texts in a bucket is lost.
-Classes are the connected components of the links.
+start. In each bucket the node with the most company leads, and all others are
+compared with it by exact multiset overlap. Members that the leader does not
+hold stay open. An open text can only be linked to a text that shares one of its
+rarest shingles (as many as a linked text may lack, and one more), so it is
+compared with the texts that do; where such a shingle is held by more than
+``HOT`` texts, it is compared with the whole company of its leader, in blocks. So
+a bucket never emits its pairs, texts that share a template only aren't compared
+one by one, and no link between different texts in a bucket is lost. Classes are
+the connected components of the links.
 
 Words are runs of characters other than space and U+0009 to U+000D. Texts of one
 to four words have one shingle; texts without a word (null ones too) stand alone
-unless they are exact copies. Rows are kept one for one.
+unless they are exact copies. Rows are kept one for one, repeated ones too; rows
+without a key belong to the class of their text, which may have no key at all.
+Other columns, whatever their names, don't matter, and ``keep_one`` passes them
+through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .shared import shared_path
+from .shared import dropped, kept, quoted
 from .textbatch import Flat, plain_words, slices, text_slices
 
 WORDS, THRESHOLD = 5, 0.8
 #: 25 bands of 5 of the 125 components: at similarity 0.8 a pair shares no bucket with probability 5e-5.
 BANDS, DEPTH = 25, 5
 SIZE = BANDS * DEPTH
-#: Members of a block, and characters of its texts, that are compared at once.
-BLOCK_ROWS, BLOCK_CHARS = 400, 2_000_000
+#: Members that are compared with one leader at once; members of a block, and characters of texts, when blocks are compared.
+LED_ROWS, BLOCK_ROWS, BLOCK_CHARS = 64, 256, 1_000_000
+#: Texts that hold a shingle, up to which an open text is compared with just these.
+HOT = 64
 #: Nodes up to which their keys (24 bytes each) are broadcast to pick out texts.
 MOST_BROADCAST = 400_000
 
@@ -230,37 +239,73 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _held(df: DataFrame) -> DataFrame:
     """The rows kept on the executors' disks while they are read several times; a lost executor's part is worked out again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    return df.persist(StorageLevel.DISK_ONLY)  # unpersisted by its caller
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written below the shared folder and read again: its lineage ends there."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, for nodes that have links.
 
     Each round takes the smallest label around a node and then the label of that
     label, so long chains halve; rounds end when no label changes.
     """
-    both = _kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = _kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = low.join(labels.select(F.col("node").alias("low"), F.col("label").alias("far")), "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved"))
-        stepped = _kept(jump, "labels")
-        labels = stepped.select("node", "label")
-        if stepped.where("moved").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    both = kept(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.lit(True).alias("moved")), "labels")
+    while not labels.where("moved").isEmpty():
+        old = labels.select("node", "label")
+        near = both.join(old.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = old.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        jump = low.join(old.select(F.col("node").alias("low"), F.col("label").alias("far")), "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved"))
+        stepped = kept(jump, "labels")
+        dropped(labels)
+        labels = stepped
+    dropped(both)
+    return labels.select("node", "label")
+
+
+def _led(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Links among distinct pairs (leader, node), a leader's members in blocks of a bounded size; each block meets the leader's text."""
+    held = pairs.join(sizes, "node")
+    blocks = F.ceil(F.greatest(F.count("*") / LED_ROWS, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    placed = _held(pairs.join(held.groupBy("leader").agg(blocks), "leader").select("leader", "node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("unit")))
+    lead = placed.select("unit", "leader").distinct().select("unit", F.lit(0).alias("side"), F.col("leader").alias("node"))
+    links = kept(_compare(lead.union(placed.select("unit", F.lit(1).alias("side"), "node")).join(texts, "node"), threshold), "links")
+    placed.unpersist()
+    return links
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """node, and the elements of its text."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, texts in text_slices(batch.column(1), 1 << 19):
+                held = _elements(texts)
+                ends = np.concatenate(([0], np.cumsum([len(e) for e in held]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int64)))], names=["node", "e"])
+
+    return rows.select("node", "text").mapInArrow(run, "node binary, e array<long>")
+
+
+def rare_elements(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, df, e): of each node the elements, rarest first, of which two linked texts share at least one.
+
+    A linked text holds at least ``threshold`` of the elements, so it can lack
+    all but that many; elements that no other text has come first and need no row.
+    """
+    sets = kept(_sets(nodes.join(texts, "node")), "sets")
+    each = sets.select("node", F.explode("e").alias("e"))
+    shared = each.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    listed = each.join(shared, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("common"))
+    n = F.col("n")
+    first = n - F.ceil(n * threshold - 1e-9) + 1 - (n - F.size("common"))
+    rare = sets.select("node", F.size("e").alias("n")).join(listed, "node").select("node", F.explode(F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("r"))
+    found = kept(rare.select("node", "r.df", "r.e"), "rare")
+    dropped(sets)
+    return found
 
 
 def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Links (a, b) between nodes: all leader pairs and all open members of each company."""
+    """Links (a, b) between nodes: those with leaders, and all those of open members."""
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("keys").alias("keys"))
     nodes = _held(nodes)
     posted = nodes.select("node", F.explode("keys").alias("key"))
@@ -269,59 +314,75 @@ def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold:
     company = live.groupBy("node").agg(F.sum("n").alias("company"))
     ranked = live.join(company, "node").select("key", F.struct("company", "node").alias("who"))
     leaders = ranked.groupBy("key").agg(F.max("who").alias("lead")).select("key", F.col("lead.node").alias("leader"))
-    members = live.join(leaders, "key").where("node != leader").select("leader", "node").distinct()
+    members = kept(live.join(leaders, "key").where("node != leader").select("leader", "node").distinct(), "members")
 
-    picked = nodes.join(company, "node", "left_semi").select("node", "doc_id", "n_chars")
-    wanted = _held(picked)
+    wanted = kept(nodes.join(company, "node", "left_semi").select("node", "doc_id", "n_chars"), "wanted")
     few = wanted.count() <= MOST_BROADCAST
     sought = wanted.select("node", F.col("doc_id").alias("_id"))
     source = df.select(F.col(key).alias("_key"), _node(text).alias("node"), F.col(text).alias("text"))
     found = source.join(F.broadcast(sought) if few else sought, (source.node == sought.node) & source["_key"].eqNullSafe(sought["_id"])).select(source.node, "text")
-    texts = _kept(found.groupBy("node").agg(F.first("text").alias("text")) if not few else found, "texts")
-    texts = texts.dropDuplicates(["node"])
+    texts = kept(found.groupBy("node").agg(F.first("text").alias("text")) if not few else found, "texts").dropDuplicates(["node"])
+    sizes = wanted.select("node", "n_chars")
+    for used in (nodes, live):
+        used.unpersist()
 
-    sizes = members.join(wanted.select("node", "n_chars"), "node").groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)).cast("int")
-    sizes = sizes.select("leader", blocks.alias("blocks"), "n")
-    placed = _held(members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    first = _led(members, texts, sizes, threshold)
+    held = first.select(F.col("a").alias("leader"), F.col("b").alias("node")).union(first.select(F.col("b").alias("leader"), F.col("a").alias("node")))
+    loose = kept(members.join(held, ["leader", "node"], "left_anti"), "loose")
+    halls = members.join(loose.select("leader").distinct(), "leader", "left_semi")
+    rare = rare_elements(halls.select("node").distinct(), texts, threshold)
+    open_ = loose.select("node").distinct()
+    hot = kept(rare.where(F.col("df") > HOT).select("node").distinct().join(open_, "node", "left_semi"), "hot")
+    own = rare.join(open_, "node", "left_semi").join(hot, "node", "left_anti").select(F.col("node").alias("leader"), "e")
+    second = _led(own.join(rare.select("node", "e"), "e").where("leader != node").select("leader", "node").distinct(), texts, sizes, threshold)
+    third = _in_blocks(halls, loose.join(hot, "node", "left_semi"), texts, sizes, threshold)
+    links = kept(first.union(second).union(third), "all-links")
+    for used in (members, wanted, first, second, third, loose, rare, hot, texts):
+        dropped(used)
+    return links
 
-    unit = lambda *parts: F.xxhash64("leader", *parts)
-    lead = placed.select("leader", "block").distinct().select(unit("block").alias("unit"), F.lit(0).alias("side"), F.col("leader").alias("node"))
-    follow = placed.select(unit("block").alias("unit"), F.lit(1).alias("side"), "node")
-    first = _kept(_compare(lead.union(follow).join(texts, "node"), threshold), "links")
 
-    held = first.select(F.col("a").alias("leader"), F.col("b").alias("node")).union(first.select(F.col("b").alias("leader"), F.col("a").alias("node")))
-    loose = _held(placed.where("n > 1").join(held, ["leader", "node"], "left_anti"))
+def _in_blocks(members: DataFrame, loose: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Links between the open members of each leader and its whole company, block by block."""
+    members = members.join(loose.select("leader").distinct(), "leader", "left_semi")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    count = members.join(sizes, "node").groupBy("leader").agg(blocks)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    placed = _held(members.join(count, "leader").select("leader", "node", "blocks", block))
+    own = placed.join(loose, ["leader", "node"], "left_semi")
+    unit = F.xxhash64("leader", "open_block", "block").alias("unit")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    halls = loose.select("leader", F.col("block").alias("open_block"), "blocks").distinct().select("leader", "open_block", every)
-    right = placed.join(halls, ["leader", "block"]).select(unit("open_block", "block").alias("unit"), F.lit(1).alias("side"), "node")
-    left = loose.select("leader", F.col("block").alias("open_block"), "node", every).select(unit("open_block", "block").alias("unit"), F.lit(0).alias("side"), "node")
-    second = _compare(left.union(right).join(texts, "node"), threshold)
-    links = _kept(first.union(second), "all-links")
-    for used in (nodes, live, wanted, placed, loose):
-        used.unpersist()
+    open_block = F.col("block").alias("open_block")
+    pairs = own.select("leader", open_block, "blocks").distinct().select("leader", "open_block", every)
+    right = placed.join(pairs, ["leader", "block"]).select(unit, F.lit(1).alias("side"), "node")
+    left = own.select("leader", open_block, "node", "blocks").select("leader", "open_block", "node", every).select(unit, F.lit(0).alias("side"), "node")
+    links = kept(_compare(left.union(right).join(texts, "node"), threshold), "links")
+    placed.unpersist()
     return links
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, class_id) for each row; class_id is the smallest key in its class, null if it has none."""
-    signed = _held(sign(df, key, text))
+    """(node, doc_id, class_id) for each row; class_id is the smallest key in its class, null if it has none."""
+    signed = kept(sign(df, key, text), "signed")
     links = link_texts(signed, df, key, text, threshold)
     labels = components(links)
     least = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = grouped.groupBy("label").agg(F.min("least").alias("class_id"))
-    by_node = _kept(grouped.join(ids, "label").select("node", "class_id"), "classes")
+    by_node = kept(grouped.join(ids, "label").select("node", "class_id"), "classes")
+    for used in (links, labels):
+        dropped(used)
     return signed.select("doc_id", "node").join(by_node, "node")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay: of each class the one with the smallest key, once."""
-    found = _held(classes(df, key, text, threshold))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
-    kept = _kept(kept.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"), "copies"), "kept")
-    d = df.withColumn("_node", _node(text))
-    d = d.join(kept, (F.col("_node") == F.col("_n")) & F.col(key).eqNullSafe(F.col("_d")))
-    if not kept.where("copies > 1").isEmpty():
-        d = d.dropDuplicates([key, "_node"])
-    return d.select(*df.columns)
+    found = classes(df, key, text, threshold)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
+    stay = kept(stay.select(F.col("node").alias("n"), F.col("doc_id").alias("d"), "copies"), "kept")
+    dropped(found)
+    d = df.select(F.struct(*map(quoted, df.columns)).alias("row"), F.col(key).alias("id"), _node(text).alias("node"))
+    d = d.join(stay, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("d")))
+    if not stay.where("copies > 1").isEmpty():
+        d = d.dropDuplicates(["id", "node"])
+    return d.select("row.*")
