@@ -1,14 +1,18 @@
 """Token ids as compressed binary blocks, written and read back (operator 4).
 
-Method: adaptive context mixing in front of a range coder. The next id is
-predicted by the last successor of the two ids before it (order 2), by the last
-successor of the id before it (order 1) and by the ids seen so far (order 0);
-weights of the three, learned for each pair of confidences, mix them, and a
-range coder codes the id under the mixture. A block holds whole documents, has
-its own model from a clean state and its own CRC, and is cut into lanes that
-are coded in step, so that each step is a few array operations.
-
-Layout of a block (little endian): magic ``TBM1``, number of ids, number of
+Method: adaptive context mixing in front of a range coder. Three predictions are
+mixed: order 0 counts all ids so far; orders 1 and 2 hold for each context (the
+last id, a hash of the last two) the counts of up to ``SLOTS`` successors. The
+probability of the next id is the weighted sum of the three; the weights belong
+to a pair of confidences (how much, and how clear, the two contexts have seen)
+and are learned from each prediction's share in what was coded. All numbers are
+whole, so every machine decodes alike. A block holds whole documents, starts
+from a clean state and has its own CRC; it is cut into lanes that share the
+model and are coded in step, so that each step is a few array operations.
+
+Null and empty texts have the end id only; repeated keys keep a row each.
+
+Layout of a block (little endian): magic ``TBM2``, number of ids, number of
 lanes, size of the vocabulary (u32 each), CRC-32 of the ids as u32, number of
 16-bit words of each lane (u32 each), words of all lanes.
 """
@@ -26,101 +30,156 @@ from pyspark.sql import functions as F
 
 from .textbatch import PieceCache, ragged, text_slices
 
-MAGIC = b"TBM1"
-LANES, BLOCK_IDS, HASHES = 4096, 1 << 20, 1 << 16
-ID_BITS, FLAG_BITS = 20, 10
+MAGIC = b"TBM2"
+LANES, BLOCK_IDS = 4096, 1 << 20
+#: Successors that a context of order 1 and of order 2 holds; the largest count.
+SLOTS, TOP_COUNT = (4, 1), 250
+ID_BITS, WEIGHT_BITS = 20, 10
 _U = np.uint64
 _LOW32, _TOP = _U(0xFFFFFFFF), _U(1 << 32)
 
 
+class Context:
+    """Counts of a few successors for each context; a slot of all contexts is one array."""
+
+    def __init__(self, size: int, slots: int):
+        self.ids, self.counts = [np.full(size, -1, np.int32) for _ in range(slots)], [np.zeros(size, np.int16) for _ in range(slots)]
+
+    def look(self, at: np.ndarray) -> None:
+        self.at, self.seen, self.n = at, [x[at] for x in self.ids], [x[at] for x in self.counts]
+        total = top = self.n[0]
+        for n in self.n[1:]:
+            total, top = total + n, np.maximum(top, n)
+        self.total = total
+        # 0 nothing seen; then how often, in doublings, and whether one successor has nearly all of it
+        self.sure = DOUBLINGS[np.minimum(total, 63)] + (8 * top >= 7 * total)
+
+    def shares(self, mass: np.ndarray) -> list[np.ndarray]:
+        """The mass dealt by count; quotients of doubles, cut to whole numbers, are the same on every machine."""
+        each = mass / np.maximum(self.total, 1)
+        return [(n * each).astype(np.int32) for n in self.n]
+
+    def learn(self, now: np.ndarray, here: list[np.ndarray]) -> None:
+        """Count the ids ``now``, which stand in the slots ``here``; one that stands in none takes the place of the rarest."""
+        known, least = here[0], self.n[0]
+        for h, n in zip(here[1:], self.n[1:]):
+            known, least = known | h, np.minimum(least, n)
+        left = ~known
+        for k, (h, n) in enumerate(zip(here, self.n)):
+            new = left & (n == least)  # the first slot with the least count
+            left &= ~new
+            rows = np.flatnonzero(h | new)
+            at, fresh = self.at[rows], new[rows]
+            self.ids[k][at] = now[rows]
+            self.counts[k][at] = np.where(fresh, 1, np.minimum(n[rows] + 2, TOP_COUNT))
+
+
+#: Doublings of a total, twice, from 1; 0 for nothing.
+DOUBLINGS = np.where(np.arange(64) > 0, 1 + 2 * np.minimum(np.frexp(np.arange(64.0))[1] - 1, 5), -1).astype(np.int16)
+#: Confidences of one context, and how often the second order was right of late.
+SURE, RUN = 13, 4
+
+
 class Model:
     """What encoder and decoder both keep; each step shows it one id of each lane."""
 
-    def __init__(self, vocab: int, lanes: int):
+    def __init__(self, vocab: int, lanes: int, ids: int):
         self.vocab = vocab
-        self.next1, self.sure1 = np.full(vocab, -1, np.int32), np.zeros(vocab, np.int8)
-        self.next2, self.sure2 = np.full(HASHES, -1, np.int32), np.zeros(HASHES, np.int8)
-        self.cells = np.tile(np.array([1, 1, 6], np.int64), (16, 1))  # order 2, order 1, order 0
+        self.bits2 = int(np.clip(ids, 1 << 10, 1 << 20)).bit_length()
+        self.one, self.two = Context(vocab, SLOTS[0]), Context(1 << self.bits2, SLOTS[1])
+        # What each order has explained so far, for each pair of confidences; an order that has seen nothing has no share.
+        cells = np.tile(np.array([64, 32, 32], np.int64), (RUN, SURE, SURE, 1))
+        cells[:, :, 0, 1] = cells[:, 0, :, 2] = 0
+        self.cells = [cells[..., k].ravel() for k in range(3)]
         self.counts = np.zeros(vocab, np.int64)
-        self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.prev, self.prev2, self.run = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int16)
         self.step, self.pending = 0, []
-        self._weights()
         self._order0()
+        self._weights()
 
     def _weights(self) -> None:
-        top = (1 << FLAG_BITS) - 3
-        f = 1 + self.cells * top // self.cells.sum(1, keepdims=True)
-        self.flag_freq = f.astype(np.uint64).ravel()
-        self.flag_from = (np.cumsum(f, 1) - f).astype(np.uint64).ravel()
+        each = ((1 << WEIGHT_BITS) - 4) / (self.cells[0] + self.cells[1] + self.cells[2])
+        w = [(c * each).astype(np.int32) + (c > 0) for c in self.cells]
+        self.weight0, self.mass1, self.mass2 = w[0].astype(np.int32), w[1] * float(1 << ID_BITS), w[2] * float(1 << ID_BITS)
 
     def _order0(self) -> None:
         top = (1 << ID_BITS) - self.vocab
         f = 1 + self.counts * top // max(1, int(self.counts.sum()))
         if not self.counts.any():
             f += top // self.vocab
-        self.freq = f.astype(np.uint64)
-        self.start = (np.cumsum(f) - f).astype(np.uint64)
+        self.freq, self.start = f.astype(np.int32), (np.cumsum(f) - f).astype(np.int32)
         self.symbol = None
 
     def lookup(self) -> np.ndarray:
         """Id of each value below 2**ID_BITS."""
         if self.symbol is None:
-            s = np.repeat(np.arange(self.vocab, dtype=np.int32), self.freq.astype(np.int64))
+            s = np.repeat(np.arange(self.vocab, dtype=np.int32), self.freq)
             self.symbol = np.append(s, np.full((1 << ID_BITS) - len(s), self.vocab - 1, np.int32))
         return self.symbol
 
-    def _predict(self, n: int) -> np.ndarray:
+    def predict(self, n: int) -> None:
+        """Weights of the lanes, and the shares of all successors in 2**(ID_BITS + WEIGHT_BITS)."""
         p1, p2 = self.prev[:n], self.prev2[:n]
-        self.h = ((p2 * 0x9E3779B1 + p1) * 0x85EBCA6B & 0xFFFFFFFF) >> 16
-        self.g1, self.g2 = self.next1[p1], self.next2[self.h]
-        self.s1, self.s2 = self.sure1[p1], self.sure2[self.h]
-        self.cell = 12 * self.s2.astype(np.int64) + 3 * self.s1
-        return self.cell
+        self.one.look(p1)
+        self.two.look((((p2 * 0x9E3779B1 + p1) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - self.bits2))
+        self.cell = (SURE * self.run[:n] + self.two.sure) * SURE + self.one.sure
+        self.w = self.weight0[self.cell]
+        self.names = [*self.one.seen, *self.two.seen]
+        self.parts = [*self.one.shares(self.mass1[self.cell]), *self.two.shares(self.mass2[self.cell])]
 
     def interval(self, now: np.ndarray):
-        """First value and size of the share of the ids ``now`` in 2**(ID_BITS + FLAG_BITS)."""
-        cell = self._predict(len(now))
-        flags = np.where(self.g2 == now, 0, np.where(self.g1 == now, 1, 2))
-        first, size = self.flag_from[cell + flags] << _U(ID_BITS), self.flag_freq[cell + flags]
-        rest = np.flatnonzero(flags == 2)
-        ids, part = now[rest], size[rest]
-        first[rest] += part * self.start[ids]
-        size <<= _U(ID_BITS)
-        size[rest] = part * self.freq[ids]
-        return first, size, flags
-
-    def find(self, value: np.ndarray):
-        """The ids whose shares hold the values, and what interval() gives for them."""
-        cell = self._predict(len(value))
-        v = value >> _U(ID_BITS)
-        flags = (v >= self.flag_from[cell + 1]).astype(np.int64) + (v >= self.flag_from[cell + 2])
-        first, size = self.flag_from[cell + flags] << _U(ID_BITS), self.flag_freq[cell + flags]
-        now = np.where(flags == 0, self.g2, self.g1).astype(np.int64)
-        rest = np.flatnonzero(flags == 2)
-        part = size[rest]
-        ids = self.lookup()[np.minimum((value[rest] - first[rest]) // part, _U((1 << ID_BITS) - 1)).astype(np.int64)]
-        now[rest] = ids
-        first[rest] += part * self.start[ids]
-        size <<= _U(ID_BITS)
-        size[rest] = part * self.freq[ids]
-        if now.min(initial=0) < 0:
+        """First value and size of the share of the ids ``now``, mixed from all orders."""
+        now = now.astype(np.int32)
+        own0 = self.w * self.freq[now]
+        first, owns, self.here = self.w * self.start[now], [], []
+        for name, part in zip(self.names, self.parts):
+            here = name == now
+            self.here.append(here)
+            owns.append(part * here)
+            first += part * (name < now)
+        own1, own2 = sum(owns[1 : SLOTS[0]], owns[0]), sum(owns[SLOTS[0] + 1 :], owns[SLOTS[0]])
+        size = own0 + own1 + own2
+        each = 256.0 / size
+        self.share = [own * each for own in (own0, own1, own2)]
+        return first.astype(np.uint64), size.astype(np.uint64)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose shares hold the values."""
+        v, w, names, parts = value.astype(np.int32), self.w, self.names, self.parts
+        found, below = np.full(len(v), -1, np.int32), np.zeros(len(v), np.int32)
+        for i, name in enumerate(names):
+            safe = np.maximum(name, 0)
+            begin, end = w * self.start[safe], w * self.freq[safe]
+            for other, part in zip(names, parts):  # two orders may name one id: its share has both of their parts
+                begin += part * (other < name)
+                end += part * (other == name)
+            end += begin
+            below += parts[i] * (end <= v)
+            inside = (begin <= v) & (v < end) & (parts[i] > 0)
+            found[inside] = name[inside]
+        plain = np.minimum((v - below) // w, (1 << ID_BITS) - 1)
+        if plain.min(initial=0) < 0:
             raise ValueError("damaged block of token ids")
-        return now, first, size, flags
-
-    def learn(self, ids: np.ndarray, flags: np.ndarray) -> None:
-        n = len(ids)
-        p1 = self.prev[:n]
-        self.sure1[p1] = np.where(self.g1 == ids, np.minimum(self.s1 + 1, 3), 0)
-        self.next1[p1] = ids
-        self.sure2[self.h] = np.where(self.g2 == ids, np.minimum(self.s2 + 1, 3), 0)
-        self.next2[self.h] = ids
-        self.cells += np.bincount(self.cell + flags, minlength=48).reshape(16, 3)
-        self.prev2[:n] = p1
+        return np.where(found >= 0, found, self.lookup()[plain]).astype(np.int64)
+
+    def learn(self, ids: np.ndarray) -> None:
+        n, k = len(ids), SLOTS[0]
+        run = self.run[:n]
+        self.run[:n] = np.where(self.here[k], np.minimum(run + 1, RUN - 1), np.where(self.two.total > 0, 0, run >> 1))
+        self.one.learn(ids, self.here[:k])
+        self.two.learn(ids, self.here[k:])
+        for cells, share in zip(self.cells, self.share):
+            cells += np.bincount(self.cell, share.astype(np.int32), len(cells)).astype(np.int64)
+        if self.step % 8 == 0:
+            large = self.cells[0] + self.cells[1] + self.cells[2] > 1 << 22
+            for cells in self.cells:
+                cells[large] = (cells[large] + 1) >> 1
+        self._weights()
+        self.prev2[:n] = self.prev[:n]
         self.prev[:n] = ids
         self.pending.append(ids)
         self.step += 1
-        self._weights()
-        if self.step & (self.step - 1) == 0:  # order 0 is renewed whenever the steps have doubled
+        if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
             self.counts += np.bincount(np.concatenate(self.pending), minlength=self.vocab)
             self.pending = []
             self._order0()
@@ -128,7 +187,7 @@ class Model:
 
 def _shape(n: int) -> tuple[int, int]:
     """Lanes and steps for n ids: all lanes but the last few are full."""
-    lanes = max(1, min(LANES, n // 64))
+    lanes = max(1, min(LANES, n // 256))
     steps = -(-n // lanes)
     return -(-n // steps), steps
 
@@ -144,7 +203,7 @@ def compress(ids: np.ndarray, vocab: int) -> bytes:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = grid.reshape(lanes, steps).T.copy()
-    model = Model(vocab, lanes)
+    model = Model(vocab, lanes, n)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     width = 2 * steps + 4
     words = np.zeros(lanes * width, np.uint32)
@@ -153,8 +212,9 @@ def compress(ids: np.ndarray, vocab: int) -> bytes:
     for t in range(steps):
         m = lanes if t < last else lanes - 1
         now = grid[t, :m]
-        first, size, flags = model.interval(now)
-        r = span[:m] >> _U(ID_BITS + FLAG_BITS)
+        model.predict(m)
+        first, size = model.interval(now)
+        r = span[:m] >> _U(ID_BITS + WEIGHT_BITS)
         low[:m] += r * first
         span[:m] = r * size
         rows = np.flatnonzero(span[:m] < _TOP)
@@ -165,7 +225,7 @@ def compress(ids: np.ndarray, vocab: int) -> bytes:
             low[rows] = (x & _LOW32) << _U(16)
             span[rows] = y
             rows = rows[y < _TOP]
-        model.learn(now, flags)
+        model.learn(now)
     for shift in (32, 16, 0):
         words[at] = (low >> _U(shift)) if shift == 32 else (low >> _U(shift)) & _U(0xFFFF)
         at += 1
@@ -195,13 +255,15 @@ def expand(block: bytes) -> np.ndarray:
     code = words[at] << _U(32) | words[at + 1] << _U(16) | words[at + 2]
     at += 3
     span = np.full(lanes, 1 << 48, np.uint64)
-    model, grid = Model(vocab, lanes), np.zeros((steps, lanes), np.int64)
-    most, top = len(words) - 1, _U((1 << (ID_BITS + FLAG_BITS)) - 1)
+    model, grid = Model(vocab, lanes, n), np.zeros((steps, lanes), np.int64)
+    most, top = len(words) - 1, _U((1 << (ID_BITS + WEIGHT_BITS)) - 1)
     last = n - (lanes - 1) * steps
     for t in range(steps):
         m = lanes if t < last else lanes - 1
-        r = span[:m] >> _U(ID_BITS + FLAG_BITS)
-        now, first, size, flags = model.find(np.minimum(code[:m] // r, top))
+        r = span[:m] >> _U(ID_BITS + WEIGHT_BITS)
+        model.predict(m)
+        now = model.find(np.minimum(code[:m] // r, top))
+        first, size = model.interval(now)
         code[:m] -= r * first
         span[:m] = r * size
         rows = np.flatnonzero(span[:m] < _TOP)
@@ -212,7 +274,7 @@ def expand(block: bytes) -> np.ndarray:
             span[rows] = y
             rows = rows[y < _TOP]
         grid[t, :m] = now
-        model.learn(now, flags)
+        model.learn(now)
     ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("damaged block of token ids")
