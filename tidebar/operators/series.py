@@ -32,7 +32,8 @@ KEYS = ("symbol",)
 def number_rows(df: DataFrame, time: str = "open_time", keys: Sequence[str] = KEYS, ties: Sequence[str] = (), span: int = DAY) -> DataFrame:
     """``df`` with ``rn``, the place of each row in its series, from 1.
 
-    The result is worked out once and kept, as the steps over it read it twice each.
+    The result is worked out once and kept, as the steps over it read it twice
+    each; so select the columns that they need first.
     """
     d = df.withColumn("_span", F.floor(F.col(time) / span))
     counts = d.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
@@ -57,10 +58,10 @@ def frames(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], ba
 def running(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:
     """``df`` (with ``rn``) with running values from the start of each series, the row included.
 
-    A spec is (kind, value): sum, max, min or last (the last value that isn't null).
+    A spec is (kind, value): sum, product, max, min or last (the last value that isn't null).
     """
     d = df.withColumns({f"_v_{k}": v for k, (_, v) in specs.items()}).withColumn("_chunk", F.floor((F.col("rn") - 1) / size))
-    whole = {"sum": F.sum, "max": F.max, "min": F.min}
+    whole = {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min}
     agg = [(F.max_by(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), F.col("rn"))) if kind == "last" else whole[kind](f"_v_{k}")).alias(f"_t_{k}") for k, (kind, _) in specs.items()]
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     over = lambda kind, c, w: F.last(c, True).over(w) if kind == "last" else whole[kind](c).over(w)
@@ -68,11 +69,35 @@ def running(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: Sequence[
     totals = totals.select(*keys, "_chunk", *(over(kind, f"_t_{k}", earlier).alias(f"_b_{k}") for k, (kind, _) in specs.items()))
     inside = W.partitionBy(*keys, "_chunk").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumns({f"_i_{k}": over(kind, f"_v_{k}", inside) for k, (kind, _) in specs.items()}).join(totals, [*keys, "_chunk"])
-    join = {"sum": lambda b, i: F.coalesce(b, F.lit(0)) + F.coalesce(i, F.lit(0)), "max": F.greatest, "min": F.least, "last": lambda b, i: F.coalesce(i, b)}
+    join = {"sum": lambda b, i: F.coalesce(b, F.lit(0)) + F.coalesce(i, F.lit(0)), "product": lambda b, i: F.coalesce(b, F.lit(1.0)) * F.coalesce(i, F.lit(1.0)), "max": F.greatest, "min": F.least, "last": lambda b, i: F.coalesce(i, b)}
     d = d.withColumns({k: join[kind](F.col(f"_b_{k}"), F.col(f"_i_{k}")) for k, (kind, _) in specs.items()})
     return d.drop("_chunk", *(f"_{x}_{k}" for k in specs for x in "vbi"))
 
 
+def states(df: DataFrame, start: int, count: int, step: Callable[[Column, Column], Column], keys: Sequence[str] = KEYS, size: int = BLOCK) -> DataFrame:
+    """``df`` (with ``rn`` and ``event``) with ``was`` and ``now``: the state before and after each event of a small automaton.
+
+    ``step(state, event)`` gives the next of the states 0 to ``count`` - 1. A block
+    of rows is a map from its first state to its last; only these maps, a row a
+    block, are followed in order.
+    """
+    d = df.withColumn("_block", F.floor((F.col("rn") - 1) / size)).groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("rn", "event"))).alias("_e"))
+    whole = d.select(*keys, "_block", *(F.aggregate("_e", F.lit(s), lambda now, e: step(now, e["event"])).alias(f"_{s}") for s in range(count)))
+    names = [*keys, "_block", "_start"]
+
+    def follow(p):
+        state, out = start, []
+        for row in p.sort_values("_block").itertuples(index=False):
+            out.append((*row[: len(keys) + 1], state))
+            state = row[len(keys) + 1 + state]
+        return type(p)(out, columns=names)
+
+    starts = whole.groupBy(*keys).applyInPandas(follow, whole.select(*keys, "_block", F.lit(0).alias("_start")).schema)
+    walk = F.aggregate("_e", F.struct(F.col("_start").alias("now"), F.array().cast("array<struct<rn:bigint,was:int,now:int>>").alias("out")), lambda acc, e: F.struct(step(acc["now"], e["event"]).alias("now"), F.concat(acc["out"], F.array(F.struct(e["rn"].alias("rn"), acc["now"].alias("was"), step(acc["now"], e["event"]).alias("now")))).alias("out")))
+    walked = d.join(starts, [*keys, "_block"]).select(*keys, F.explode(walk["out"]).alias("_w")).select(*keys, "_w.rn", "_w.was", "_w.now")
+    return df.join(walked, [*keys, "rn"])
+
+
 def _step(factor: float):
     return lambda total, end: total * factor + end
 
@@ -107,10 +132,9 @@ def drop_forming(df: DataFrame, time: str = "open_time", keys: Sequence[str] = K
 
 
 def tail(df: DataFrame, n: int, time: str = "open_time", keys: Sequence[str] = KEYS) -> DataFrame:
-    """The last ``n`` rows of each series."""
-    d = number_rows(df, time, keys)
-    size = d.groupBy(*keys).agg(F.max("rn").alias("_size"))
-    return d.join(size, list(keys)).where(F.col("rn") > F.col("_size") - n).drop("_size")
+    """The last ``n`` rows of each series; the filter on the rank lets each task keep its own last ``n`` only."""
+    w = W.partitionBy(*keys).orderBy(F.col(time).desc())
+    return df.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= n).drop("_back")
 
 
 def islands(df: DataFrame, same: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

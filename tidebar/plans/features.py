@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I
@@ -57,8 +58,8 @@ def feature_matrix(candles: DataFrame, cvd_window: int = 15) -> DataFrame:
 
 def last_window(candles: DataFrame, cvd_window: int = 15) -> DataFrame:
     """Only the last ``cvd_window`` bars of each symbol, the delta sum starting with the first of them."""
-    d = tail(candles, cvd_window).select("symbol", F.col("close_time").alias("timestamp"), "rn", I.delta().alias("_d"))
-    d = frames(d, lambda w: {"_cum": F.sum("_d").over(w)}, cvd_window - 1)
+    d = tail(candles, cvd_window).select("symbol", F.col("close_time").alias("timestamp"), I.delta().alias("_d"))
+    d = d.withColumn("_cum", F.sum("_d").over(W.partitionBy("symbol").orderBy("timestamp")))  # a few rows a symbol
     m = feature_matrix(candles, cvd_window).join(d.select("symbol", "timestamp", "_cum"), ["symbol", "timestamp"])
     return m.withColumn("cvd_cumulative", F.col("_cum")).drop("_cum")
 

@@ -157,12 +157,12 @@ def episode_rows(d: DataFrame, sample: DataFrame) -> DataFrame:
     return places.join(d, ["symbol", "rn"]).withColumn("step", F.col("rn") - F.col("start_rn")).drop("start_rn")
 
 
-def prioritized_sample(d: DataFrame, draws: int, seed: int, alpha: float = 0.6, order: str = "step") -> DataFrame:
+def prioritized_sample(d: DataFrame, draws: int, seed: int, alpha: float = 0.6, order: str = "step", ties: Sequence[str] = ()) -> DataFrame:
     """Rows drawn with weight (|priority| + 1e-6)^alpha: each draw falls into one row's stretch of the running sum."""
     from ..operators.asof import asof_join
 
     one = F.lit("").alias("_all")
-    x = number_rows(d.select("*", one), order, ["_all"], span=4096)
+    x = number_rows(d.select("*", one), order, ["_all"], ties, span=4096)
     x = cut(running(x, {"_to": ("sum", F.pow(F.abs("priority") + 1e-6, F.lit(alpha)))}, ["_all"]))
     scale = 1 << 40
     total = x.agg(F.max("_to")).first()[0]

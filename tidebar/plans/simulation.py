@@ -1,9 +1,12 @@
 """Backtests: from actions to positions, trades, equity and statistics.
 
-Which position is open follows from the few rows that carry an action; that is
-the one step that needs their order, and a small grouped fold over these rows.
-All money is then columns: with a fixed share of the balance at risk, a trade
-multiplies the balance by a factor of its own, so balances are running products.
+Which position is open follows from the few rows that carry an action: three
+states, followed block by block. All money is then columns: with a fixed share
+of the balance at risk, a trade multiplies the balance by a factor of its own,
+so balances are running products. Kelly sizes depend on the results of earlier
+trades; there a fold over the trades of a series, not its bars, follows them.
+
+``keys`` tell series apart: symbols, or trials and symbols.
 
 An action of bar i is filled at the close of bar i + 1. The entry fee and the
 funding leave the balance and not the profit of the trade, and funding is in the
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.series import number_rows, running
+from ..operators.series import frames, number_rows, running, states
 from ..shared import cut
 from .analytics import ratio
 
@@ -34,57 +37,96 @@ class BacktestConfig:
     size: float = 0.1
 
 
+FLAT, LONG, SHORT = 0, 1, 2
+
+
+def _next(state: Column, action: Column) -> Column:
+    return F.when((state == FLAT) & (action == "EnterLong"), LONG).when((state == FLAT) & (action == "EnterShort"), SHORT).when(((state == LONG) & (action == "ExitLong")) | ((state == SHORT) & (action == "ExitShort")), FLAT).otherwise(state)
+
+
 def open_positions(actions: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, trade, side, entry_rn, exit_rn) from rows (keys, rn, action): an entry counts only when flat, an exit only against its own side; exit_rn is null while open."""
-    import pandas as pd
-    from pyspark.sql import types as T
+    d = number_rows(actions.where("action IS NOT NULL").select(*keys, F.col("rn").alias("_at"), F.col("action").alias("event")), "_at", keys, span=4096)
+    changes = states(d, FLAT, 3, _next, keys).where("was <> now").select(*keys, "_at", "now")
+    # Entries and exits take turns, an entry first.
+    changes = frames(number_rows(changes, "_at", keys, span=4096), lambda w: {"exit_rn": F.lead("_at").over(w)}, ahead=1, keys=keys)
+    entries = changes.where(F.col("rn") % 2 == 1)
+    return entries.select(*keys, F.floor((F.col("rn") + 1) / 2).alias("trade"), F.when(F.col("now") == LONG, "BUY").otherwise("SELL").alias("side"), F.col("_at").alias("entry_rn"), "exit_rn")
 
-    long = T.LongType()
-    schema = T.StructType([*(actions.schema[k] for k in keys), T.StructField("trade", long), T.StructField("side", T.StringType()), T.StructField("entry_rn", long), T.StructField("exit_rn", long)])
-    opens, closes = {"EnterLong": "BUY", "EnterShort": "SELL"}, {"ExitLong": "BUY", "ExitShort": "SELL"}
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        side, entry, found = None, None, []
-        key = [p[k].iloc[0] for k in keys]
-        for rn, action in p.sort_values("rn")[["rn", "action"]].itertuples(index=False):
-            if side is None and action in opens:
-                side, entry = opens[action], rn
-            elif side is not None and closes.get(action) == side:
-                found.append((*key, len(found) + 1, side, entry, rn))
-                side = None
-        if side is not None:
-            found.append((*key, len(found) + 1, side, entry, None))
-        return pd.DataFrame(found, columns=schema.names).astype({"trade": "int64", "entry_rn": "int64", "exit_rn": "Int64"})
-
-    return actions.where("action IS NOT NULL").select(*keys, "rn", "action").groupBy(*keys).applyInPandas(fold, schema)
-
-
-def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
-    """Trades from numbered candles with ``action``; a position still open is closed at the last bar."""
+def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None) -> DataFrame:
+    """Trades with entry and exit bar, and their result in shares of the entry value: ``_net``, ``_funding``, ``_fee_rate``, ``_size``.
+
+    ``trials`` is a small table with trial_id, fee_rate, size and min_volume (an
+    action counts on bars of at least this volume); every trial sees all candles.
+    """
     c = F.col
     facts = d.groupBy("symbol").agg(F.max("rn").alias("_n"), (F.max(F.when(c("rn") == 2, c("open_time"))) - F.min("open_time")).alias("_step"))
     facts = facts.select("symbol", "_n", F.greatest(F.floor(EIGHT_HOURS / F.greatest(F.coalesce("_step", F.lit(900_000)), F.lit(1))), F.lit(1)).alias("_every"))
-    acts = d.where("action IS NOT NULL").join(facts, "symbol").where(c("rn") < c("_n")).select("symbol", (c("rn") + 1).alias("rn"), "action")
-    t = open_positions(acts).join(facts, "symbol").withColumn("exit_rn", F.coalesce("exit_rn", "_n"))
+    acts, keys = d.where("action IS NOT NULL").join(facts, "symbol").where(c("rn") < c("_n")), ("symbol",)
+    if trials is not None:
+        keys = ("trial_id", "symbol")
+        acts = acts.join(F.broadcast(trials), c("volume") >= c("min_volume"))  # one row a trial
+    t = open_positions(acts.select(*keys, (c("rn") + 1).alias("rn"), "action"), keys).join(facts, "symbol").withColumn("exit_rn", F.coalesce("exit_rn", "_n"))
+    if trials is not None:
+        t = t.join(F.broadcast(trials.select("trial_id", c("fee_rate").alias("_fee_rate"), c("size").alias("_size"))), "trial_id")
+    else:
+        t = t.withColumns({"_fee_rate": F.lit(config.fee_rate), "_size": F.lit(config.size)})
     bar = lambda x: d.select("symbol", c("rn").alias(f"{x}_rn"), c("open_time").alias(f"{x}_time"), c("close").alias(f"{x}_price"))
     t = t.join(bar("entry"), ["symbol", "entry_rn"]).join(bar("exit"), ["symbol", "exit_rn"])
-    share, move = config.size * config.leverage, c("exit_price") / c("entry_price")
-    held = c("exit_rn") - c("entry_rn")
-    funding = F.floor(held / c("_every")) * config.funding_rate  # in shares of the entry value
+    move, held = c("exit_price") / c("entry_price"), c("exit_rn") - c("entry_rn")
+    funding = F.floor(held / c("_every")) * config.funding_rate
     gain = F.when(c("side") == "BUY", move - 1).otherwise(1 - move)
-    net = gain - move * config.fee_rate - funding
-    t = t.withColumns({"_net": net, "_funding": funding, "_factor": 1 - share * config.fee_rate - share * funding + share * net})
-    t = cut(t)
-    before = F.coalesce(F.product("_factor").over(W.partitionBy("symbol").orderBy("trade").rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)) * config.initial_balance
-    t = t.withColumn("_balance", before)
-    value = c("_balance") * share
+    return t.withColumns({"_move": move, "_funding": funding, "_net": gain - move * c("_fee_rate") - funding})
+
+
+def _records(t: DataFrame, keys: tuple[str, ...], value: Column, config: BacktestConfig) -> DataFrame:
+    """Trade records from priced positions with ``_balance`` and ``_factor``; ``value`` is what a trade puts in."""
+    c = F.col
     return t.select(
-        F.concat(F.lit("bt-"), c("trade").cast("string")).alias("id"), "symbol", "trade", "side", "entry_rn", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", (value / c("entry_price")).alias("quantity"), (value * c("_net")).alias("profit"),
-        (c("_net") * 100 * config.leverage).alias("profit_pct"), held.alias("duration_candles"), F.lit("Signal").alias("exit_reason"), F.lit(config.leverage).alias("leverage"), (value * (config.fee_rate + move * config.fee_rate + c("_funding"))).alias("fee"),
+        F.concat(F.lit("bt-"), c("trade").cast("string")).alias("id"), *keys, "trade", "side", "entry_rn", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", (value / c("entry_price")).alias("quantity"), (value * c("_net")).alias("profit"),
+        (c("_net") * 100 * config.leverage).alias("profit_pct"), (c("exit_rn") - c("entry_rn")).alias("duration_candles"), F.lit("Signal").alias("exit_reason"), F.lit(config.leverage).alias("leverage"), (value * (c("_fee_rate") + c("_move") * c("_fee_rate") + c("_funding"))).alias("fee"),
         c("_balance").alias("balance_before"), (c("_balance") * c("_factor")).alias("balance_after"), c("_every").alias("funding_every"),
     )
 
 
+def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None) -> DataFrame:
+    """Trades from numbered candles with ``action``; a position still open is closed at the last bar."""
+    c, keys = F.col, ("symbol",) if trials is None else ("trial_id", "symbol")
+    share = c("_size") * config.leverage
+    t = cut(priced_positions(d, config, trials).withColumn("_factor", 1 - share * c("_fee_rate") - share * c("_funding") + share * c("_net")))
+    t = running(t.withColumn("rn", c("trade")), {"_all": ("product", c("_factor"))}, keys).withColumn("_balance", c("_all") / c("_factor") * config.initial_balance)
+    return _records(t, keys, c("_balance") * share, config)
+
+
+def kelly_backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), multiplier: float = 0.5, min_trades: int = 10, fallback: float = 0.02, most: float = 0.25) -> DataFrame:
+    """Trades sized by the Kelly share of the trades before: ``fallback`` while they are few, nothing put in while the share isn't above zero."""
+    import pandas as pd
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        balance, wins, losses, won, lost, out = config.initial_balance, 0, 0, 0.0, 0.0, []
+        for trade, net, funding, fee in p.sort_values("trade")[["trade", "_net", "_funding", "_fee_rate"]].itertuples(index=False):
+            n, size = wins + losses, fallback
+            if n >= min_trades:
+                share, gain, loss = wins / n, won / wins if wins else 0.0, lost / losses if losses else 0.0
+                odds = gain / loss if loss > 0 else 999.0
+                size = min(max(0.0, share - (1 - share) / odds) * multiplier, most) if gain > 0 else 0.0
+            put = size * config.leverage
+            factor = 1 - put * fee - put * funding + put * net
+            out.append((p["symbol"].iloc[0], trade, size, balance, factor))
+            profit = balance * put * net
+            if size > 0:
+                wins, losses = wins + (profit > 0), losses + (profit <= 0)
+                won, lost = won + max(profit, 0.0), lost + max(-profit, 0.0)
+            balance *= factor
+        return pd.DataFrame(out, columns=["symbol", "trade", "_share", "_balance", "_factor"])
+
+    t = cut(priced_positions(d, config))
+    sized = t.select("symbol", "trade", "_net", "_funding", "_fee_rate").groupBy("symbol").applyInPandas(fold, "symbol string, trade long, _share double, _balance double, _factor double")
+    t = t.join(sized, ["symbol", "trade"]).where("_share > 0")
+    return _records(t, ("symbol",), F.col("_balance") * F.col("_share") * config.leverage, config)
+
+
 def equity_path(d: DataFrame, trades: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
     """Equity at each bar: the balance, less what the open position has paid, and its unrealised result."""
     c = F.col
@@ -100,18 +142,25 @@ def equity_path(d: DataFrame, trades: DataFrame, config: BacktestConfig = Backte
     return x.select("symbol", "rn", "open_time", "close", equity.alias("equity"))
 
 
-def backtest_stats(trades: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
-    """Statistics by symbol: here only profits below zero are losses, the win rate is a fraction, 999 stands for gains without losses."""
+def backtest_stats(trades: DataFrame, config: BacktestConfig = BacktestConfig(), keys: tuple[str, ...] = ("symbol",), every: DataFrame | None = None) -> DataFrame:
+    """Statistics by symbol: here only profits below zero are losses, the win rate is a fraction, 999 stands for gains without losses.
+
+    ``every`` has the keys of all series; one without a trade has zeros and its initial balance.
+    """
     c, p = F.col, F.col("profit")
-    d = trades.groupBy("symbol").agg(
+    d = trades.groupBy(*keys).agg(
         F.count("*").alias("total_trades"), F.count_if(p > 0).alias("winning_trades"), F.count_if(p < 0).alias("losing_trades"), F.max_by("balance_after", "trade").alias("final_balance"), F.avg("duration_candles").alias("avg_duration_candles"),
         F.max(p).alias("best_trade"), F.min(p).alias("worst_trade"), F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)).alias("_won"), F.coalesce(F.sum(F.when(p < 0, -p)), F.lit(0.0)).alias("_lost"), F.sum("fee").alias("total_fees"),
     )
     total = c("final_balance") - config.initial_balance
-    return d.select(
-        "symbol", "total_trades", "winning_trades", "losing_trades", ratio(c("winning_trades"), c("total_trades")).alias("win_rate"), total.alias("total_profit"), (total / config.initial_balance * 100).alias("total_profit_pct"), (total / c("total_trades")).alias("avg_profit"),
+    found = d.select(
+        *keys, "total_trades", "winning_trades", "losing_trades", ratio(c("winning_trades"), c("total_trades")).alias("win_rate"), total.alias("total_profit"), (total / config.initial_balance * 100).alias("total_profit_pct"), (total / c("total_trades")).alias("avg_profit"),
         "avg_duration_candles", "best_trade", "worst_trade", F.when(c("_lost") > 0, c("_won") / c("_lost")).when(c("_won") > 0, 999.0).otherwise(0.0).alias("profit_factor"), "total_fees", "final_balance",
     )
+    if every is None:
+        return found
+    zeros = {n: 0 for n in found.columns if n not in keys} | {"final_balance": config.initial_balance}
+    return every.select(*keys).distinct().join(found, list(keys), "left").fillna(zeros)
 
 
 def fills(orders: DataFrame, prices: DataFrame, horizon: int, bucket: int = 3_600_000) -> DataFrame:
@@ -172,6 +221,13 @@ def position_events(fills_: DataFrame) -> DataFrame:
     return fills_.groupBy("symbol").applyInPandas(fold, "symbol string, seq long, event string, quantity double, entry_price double, realized_pnl double")
 
 
+def position_quantities(fills_: DataFrame) -> DataFrame:
+    """The signed quantity held after each fill: a running sum, whatever the prices."""
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    d = number_rows(fills_.select("symbol", "seq", signed.alias("_signed")), "seq", span=4096)
+    return running(d, {"quantity": ("sum", F.col("_signed"))}).select("symbol", "seq", "quantity")
+
+
 def mark_to_market(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Unrealised results at the prices known; positions without a price keep theirs."""
     d = positions.join(prices.select("symbol", F.col("price").alias("_now")), "symbol", "left")

@@ -59,9 +59,8 @@ query("max_drawdown", lambda s, d: _r(N.max_drawdown(_curve(s, d)), "max_drawdow
 query("trade_ratios", lambda s, d: _r(N.trade_ratios(A.trades(s, d), ("symbol",)), "sharpe", "sortino"), f"{T} SELECT symbol, round(avg(profit_pct) / stddev_samp(profit_pct), 6) AS sharpe, round(avg(profit_pct) / sqrt(sum(CASE WHEN profit_pct < 0 THEN profit_pct * profit_pct ELSE 0 END) / (count(*) - 1)), 6) AS sortino FROM trades GROUP BY symbol")
 _NOW, _DAY = 1_005_000_000_000, 86_400_000
 _stops = lambda s, d: A.trades(s, d).withColumn("exit_reason", F.when(F.col("profit") < -100, "Stoploss").otherwise("Signal"))
-_mixed = lambda s, d: _stops(s, d).where(F.col("profit") < 4000)
-query("protections", lambda s, d: N.protections(_mixed(s, d), _NOW, 60 * _DAY, _DAY, 9, 150.0, 400 * _DAY, 60.0),
-      f"""{T}, x AS (SELECT *, exit_time > {_NOW} - {60 * _DAY} AS recent FROM trades WHERE profit < 4000), y AS (SELECT symbol, count(*) FILTER (recent AND profit < -100) AS stops, round(sum(CASE WHEN recent THEN profit_pct END), 9) AS pct, count(*) FILTER (recent) AS n, max(exit_time) AS last FROM x GROUP BY symbol),
+query("protections", lambda s, d: N.protections(_stops(s, d), _NOW, 60 * _DAY, _DAY, 9, 150.0, 400 * _DAY, 60.0),
+      f"""{T}, x AS (SELECT *, exit_time > {_NOW} - {60 * _DAY} AS recent FROM trades), y AS (SELECT symbol, count(*) FILTER (recent AND profit < -100) AS stops, round(sum(CASE WHEN recent THEN profit_pct END), 9) AS pct, count(*) FILTER (recent) AS n, max(exit_time) AS last FROM x GROUP BY symbol),
 z AS (SELECT symbol, CASE WHEN stops >= 9 THEN 'StoplossGuard' WHEN pct < 0 AND abs(pct) >= 150 THEN 'MaxDrawdownProtection' WHEN {_NOW} - last < {400 * _DAY} THEN 'CooldownPeriod' WHEN n > 0 AND pct < 60 THEN 'LowProfitPairs' END AS reason, last FROM y)
 SELECT symbol, reason, CASE WHEN reason = 'CooldownPeriod' THEN last + {400 * _DAY} ELSE {_NOW + _DAY} END AS until FROM z WHERE reason IS NOT NULL""")
 query("stoploss_guard_history", lambda s, d: N.stoploss_guard_history(_stops(s, d), 30 * _DAY, 3), f"{T} SELECT id, symbol, exit_time, count(*) FILTER (profit < -100) OVER (PARTITION BY symbol ORDER BY exit_time RANGE BETWEEN {30 * _DAY - 1} PRECEDING AND CURRENT ROW) AS stops, count(*) FILTER (profit < -100) OVER (PARTITION BY symbol ORDER BY exit_time RANGE BETWEEN {30 * _DAY - 1} PRECEDING AND CURRENT ROW) >= 3 AS locked FROM trades")

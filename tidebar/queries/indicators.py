@@ -39,7 +39,7 @@ _cents = lambda d: d.withColumn("quote_volume", F.round("quote_volume", 2))  # n
 query("resample_1h", lambda s, d: _cents(bars.resample(A.candles(s, d), H1)), f"WITH {sql.CANDLES} SELECT symbol, {MERGED} FROM candles GROUP BY symbol, open_time // {H1}")
 query("resample_factor_5", lambda s, d: _cents(bars.resample_every(A.candles(s, d), 5)), f"WITH {sql.SERIES} SELECT symbol, {MERGED} FROM s GROUP BY symbol, (rn - 1) // 5")
 query("drop_forming", lambda s, d: series.drop_forming(A.candles(s, d)).select(*AT, "close"), f"WITH {sql.CANDLES} SELECT symbol, open_time, close FROM candles QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) > 1")
-query("tail_200", lambda s, d: series.tail(A.candles(s, d), 200).select(*AT, "close", "rn"), f"WITH {sql.SERIES} SELECT symbol, open_time, close, rn FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) <= 200")
+query("tail_200", lambda s, d: series.tail(A.candles(s, d), 200).select(*AT, "close"), f"WITH {sql.SERIES} SELECT symbol, open_time, close FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) <= 200")
 _frame = lambda n: f"(PARTITION BY symbol ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 query("sma_20", lambda s, d: I.sma(numbered(s, d), 20).select(*AT, *_r("sma")), f"WITH {sql.SERIES} SELECT symbol, open_time, CASE WHEN rn >= 20 THEN round(avg(close) OVER {_frame(20)}, 6) END AS sma FROM s")
 query("volume_sma_20", lambda s, d: I.volume_sma(numbered(s, d), 20).select(*AT, *_r("volume_sma")), f"WITH {sql.SERIES} SELECT symbol, open_time, round(avg(volume) OVER {_frame(20)}, 6) AS volume_sma FROM s")

@@ -9,6 +9,7 @@ from ..operators import series
 from ..plans import learning as E
 from ..plans import risk as R
 from ..plans import simulation as B
+from ..plans import trials as T
 from ..sinks import output as O
 from ..sources import market as M
 from ..streaming import queries as Y
@@ -56,6 +57,48 @@ query(
     lambda s, d: B.breaker(_path(s, d), 10_000.0, 0.05).groupBy("symbol").agg(F.count_if("breaker").alias("blocked"), F.round(F.max("peak"), 6).alias("peak")),
     f"{AUTO}, {EQ}, bk AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY symbol ORDER BY rn)) AS peak FROM eq), bl AS (SELECT *, max(CASE WHEN (peak - equity) / peak >= 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY rn) AS b FROM bk) SELECT symbol, CAST(sum(b) AS BIGINT) AS blocked, round(max(peak), 6) AS peak FROM bl GROUP BY symbol",
 )
+query(
+    "backtest_kelly",
+    lambda s, d: _round(B.kelly_backtest(_acted(s, d)), "quantity", "profit", "balance_after").select("symbol", "trade", "side", "entry_rn", "quantity", "profit", "balance_after"),
+    f"""{AUTO}, kb AS (SELECT symbol, trade, side, pos, entry_rn, ep, net, fu FROM tf),
+kr AS (SELECT symbol, 0::BIGINT AS trade, 10000.0::DOUBLE AS bal, 0::BIGINT AS w, 0::BIGINT AS l, 0.0::DOUBLE AS won, 0.0::DOUBLE AS lost, 0.0::DOUBLE AS sh, 0.0::DOUBLE AS was FROM ln UNION ALL
+  SELECT symbol, trade, b0 * (1 - z * 0.0004::DOUBLE - z * fu + z * net), w + CASE WHEN z > 0 AND b0 * net > 0 THEN 1 ELSE 0 END, l + CASE WHEN z > 0 AND b0 * net <= 0 THEN 1 ELSE 0 END, won + greatest(b0 * z * net, 0), lost + greatest(-b0 * z * net, 0), z, b0 FROM (
+    SELECT kb.symbol, kb.trade, net, fu, w, l, won, lost, bal AS b0, CASE WHEN w + l < 10 THEN 0.02::DOUBLE WHEN won <= 0 THEN 0 ELSE least(greatest(0, w * 1.0::DOUBLE / (w + l) - l * 1.0::DOUBLE / (w + l) / CASE WHEN lost > 0 THEN (won / w) / (lost / l) ELSE 999 END) * 0.5, 0.25) END AS z
+    FROM kr JOIN kb ON kb.symbol = kr.symbol AND kb.trade = kr.trade + 1))
+SELECT kr.symbol, kr.trade, side, entry_rn, round(was * sh / ep, 6) AS quantity, round(was * sh * net, 6) AS profit, round(bal, 6) AS balance_after FROM kr JOIN kb ON kb.symbol = kr.symbol AND kb.trade = kr.trade WHERE sh > 0""",
+)
+query(
+    "backtest_every_symbol",
+    lambda s, d: _round(B.backtest_stats(B.backtest(_acted(s, d).withColumn("action", F.when(F.col("symbol") != "S3", F.col("action")))), every=A.candles(s, d)), "win_rate", "total_profit", "final_balance").select("symbol", "total_trades", "win_rate", "total_profit", "final_balance"),
+    f"{AUTO}, tp AS (SELECT *, bal * 0.1::DOUBLE * net AS p FROM tb WHERE symbol <> 'S3'), gr AS (SELECT symbol, count(*) AS n, count(*) FILTER (p > 0) * 1.0::DOUBLE / count(*) AS w, arg_max(bal * fc, trade) AS b FROM tp GROUP BY symbol) SELECT ln.symbol, coalesce(gr.n, 0) AS total_trades, round(coalesce(w, 0), 6) AS win_rate, round(coalesce(b - 10000, 0), 6) AS total_profit, round(coalesce(b, 10000), 6) AS final_balance FROM ln LEFT JOIN gr ON gr.symbol = ln.symbol",
+)
+
+
+def _trials(s):
+    """Twelve trials: every combination of three fees, two sizes and two least volumes, numbered in order."""
+    from itertools import product
+
+    return s.createDataFrame([(i, *map(float, v)) for i, v in enumerate(product((0.0, 0.0004, 0.001), (0.1, 0.3), (0, 100)))], "trial_id long, fee_rate double, size double, min_volume double")
+
+
+TRIALS = f"""WITH RECURSIVE {sql.SERIES}, {Q.CVD}, ln AS (SELECT symbol, max(rn) AS n FROM s GROUP BY symbol), fe AS (SELECT symbol, greatest(28800000 // greatest(max(CASE WHEN rn = 2 THEN open_time END) - min(open_time), 1), 1) AS ev FROM s GROUP BY symbol),
+tp AS (SELECT (f * 4 + z * 2 + v)::BIGINT AS trial_id, [0.0, 0.0004, 0.001][f + 1]::DOUBLE AS fee, [0.1, 0.3][z + 1]::DOUBLE AS size, v * 100.0::DOUBLE AS least FROM range(3) a(f), range(2) b(z), range(2) c(v)),
+sg AS (SELECT trial_id, act.symbol, act.rn + 1 AS rn, action, row_number() OVER (PARTITION BY trial_id, act.symbol ORDER BY act.rn) AS k FROM act JOIN ln USING (symbol) JOIN s ON s.symbol = act.symbol AND s.rn = act.rn JOIN tp ON s.volume >= least WHERE action IS NOT NULL AND act.rn < n),
+st AS (SELECT trial_id, symbol, 0::BIGINT AS k, 0::BIGINT AS rn, 0 AS pos, 0 AS was FROM ln CROSS JOIN tp UNION ALL
+  SELECT g.trial_id, g.symbol, g.k, g.rn, CASE WHEN st.pos = 0 AND action = 'EnterLong' THEN 1 WHEN st.pos = 0 AND action = 'EnterShort' THEN -1 WHEN st.pos = 1 AND action = 'ExitLong' THEN 0 WHEN st.pos = -1 AND action = 'ExitShort' THEN 0 ELSE st.pos END, st.pos FROM st JOIN sg g ON g.trial_id = st.trial_id AND g.symbol = st.symbol AND g.k = st.k + 1),
+cg AS (SELECT *, lead(rn) OVER (PARTITION BY trial_id, symbol ORDER BY k) AS nx FROM st WHERE pos <> was),
+tr AS (SELECT c.*, n, coalesce(nx, n) AS xr FROM cg c JOIN ln USING (symbol) WHERE pos <> 0),
+tm AS (SELECT tr.*, fee, size, row_number() OVER (PARTITION BY tr.trial_id, tr.symbol ORDER BY tr.rn) AS trade, b.close / a.close AS mv, (xr - tr.rn) // ev * 0.0001::DOUBLE AS fu FROM tr JOIN tp USING (trial_id) JOIN s a ON a.symbol = tr.symbol AND a.rn = tr.rn JOIN s b ON b.symbol = tr.symbol AND b.rn = xr JOIN fe ON fe.symbol = tr.symbol),
+tn AS (SELECT *, pos * (mv - 1) - mv * fee - fu AS net FROM tm),
+tb AS (SELECT *, 1 - size * fee - size * fu + size * net AS fc, 10000.0::DOUBLE * product(1 - size * fee - size * fu + size * net) OVER (PARTITION BY trial_id, symbol ORDER BY trade) AS bal FROM tn),
+tk AS (SELECT *, greatest(10000, max(bal) OVER (PARTITION BY trial_id, symbol ORDER BY trade)) AS pk FROM tb),
+ts AS (SELECT trial_id, symbol, count(*) AS n, count(*) FILTER (bal / fc * net > 0) AS w, arg_max(bal, trade) - 10000 AS gain, max((pk - bal) / pk) AS down FROM tk GROUP BY ALL),
+tt AS (SELECT trial_id, CAST(sum(n) AS BIGINT) AS total_trades, sum(w) * 1.0::DOUBLE / sum(n) AS win_rate, sum(gain) AS total_profit, max(down) AS max_drawdown FROM ts GROUP BY trial_id),
+te AS (SELECT trial_id, avg(net * 100) / stddev_samp(net * 100) AS sharpe FROM tn GROUP BY trial_id),
+tz AS (SELECT tp.trial_id, fee AS fee_rate, size, least AS min_volume, coalesce(total_trades, 0) AS total_trades, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(total_profit, 0), 4) AS total_profit, round(coalesce(max_drawdown, 0), 6) AS max_drawdown, round(coalesce(sharpe, 0), 6) AS sharpe_ratio FROM tp LEFT JOIN tt USING (trial_id) LEFT JOIN te USING (trial_id))"""
+_ranked = lambda d: _round(_round(d, "total_profit", digits=4), "win_rate", "max_drawdown", "sharpe_ratio")
+query("optimize_trials", lambda s, d: _ranked(T.run_trials(_acted(s, d), _trials(s))), f"{TRIALS} SELECT * FROM tz")
+query("hyperopt_best", lambda s, d: _ranked(T.optimize(_acted(s, d), _trials(s), "drawdown", 3)).select("trial_id", "total_trades", "max_drawdown"), f"{TRIALS} SELECT trial_id, total_trades, max_drawdown FROM (SELECT tz.*, down FROM tz LEFT JOIN (SELECT trial_id, max_drawdown AS down FROM tt) USING (trial_id)) ORDER BY coalesce(down, 0), trial_id LIMIT 3")
 YEAR = 35_064.0
 query(
     "episode_metrics",
@@ -68,20 +111,21 @@ KINDS = ("Market", "Limit", "StopMarket", "TakeProfitMarket", "TrailingStopMarke
 
 
 def _orders(s, d):
-    """Every fortieth tick places an order of one of five types a little off its price."""
-    t = A.ticks(s, d).where("event_id % 40 = 0")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), ((F.col("event_id") / 40).cast("long") % 5 + 1).cast("int"))
+    """Every tick places an order of one of five types a little off its price."""
+    t = A.ticks(s, d)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 5 + 1).cast("int"))
     stop = F.when(kind == "TrailingStopMarket", F.lit(0.5)).otherwise(F.floor(F.col("price") * F.when(F.col("side") == "BUY", 150.0).otherwise(50.0)) / 100.0)
     return t.select(F.col("event_id").alias("id"), "symbol", "side", kind.alias("order_type"), "quantity", (F.floor(F.col("price") * F.when(F.col("side") == "BUY", 50.0).otherwise(150.0)) / 100.0).alias("price"), stop.alias("stop_price"), (F.col("timestamp") + 1).alias("created_at"))
 
 
-DAY = 86_400_000
-ORD = """od AS (SELECT *, ['Market', 'Limit', 'StopMarket', 'TakeProfitMarket', 'TrailingStopMarket'][event_id // 40 % 5 + 1] AS kind FROM ticks WHERE event_id % 40 = 0),
+#: How long an order stays open.
+OPEN_FOR = 7_200_000
+ORD = f"""od AS (SELECT *, ['Market', 'Limit', 'StopMarket', 'TakeProfitMarket', 'TrailingStopMarket'][event_id % 5 + 1] AS kind FROM ticks),
 oo AS (SELECT event_id AS id, symbol, side, kind, quantity, floor(price * CASE WHEN side = 'BUY' THEN 50.0::DOUBLE ELSE 150.0::DOUBLE END) / 100.0::DOUBLE AS price, CASE WHEN kind = 'TrailingStopMarket' THEN 0.5::DOUBLE ELSE floor(price * CASE WHEN side = 'BUY' THEN 150.0::DOUBLE ELSE 50.0::DOUBLE END) / 100.0::DOUBLE END AS stop, timestamp + 1 AS created FROM od),
-op AS (SELECT o.*, t.timestamp AS seen, t.price AS now, CASE WHEN o.side = 'BUY' THEN min(t.price) OVER w ELSE max(t.price) OVER w END AS best FROM oo o JOIN ticks t ON t.symbol = o.symbol AND t.timestamp BETWEEN o.created AND o.created + 86400000 WINDOW w AS (PARTITION BY o.id ORDER BY t.timestamp)),
+op AS (SELECT o.*, t.timestamp AS seen, t.price AS now, CASE WHEN o.side = 'BUY' THEN min(t.price) OVER w ELSE max(t.price) OVER w END AS best FROM oo o JOIN ticks t ON t.symbol = o.symbol AND t.timestamp BETWEEN o.created AND o.created + {OPEN_FOR} WINDOW w AS (PARTITION BY o.id ORDER BY t.timestamp)),
 oh AS (SELECT id, min(seen) AS filled_at, arg_min(CASE WHEN kind = 'Limit' THEN price ELSE now END, seen) AS fill_price FROM op WHERE CASE kind WHEN 'Market' THEN true WHEN 'Limit' THEN CASE WHEN side = 'BUY' THEN now <= price ELSE now >= price END WHEN 'StopMarket' THEN CASE WHEN side = 'BUY' THEN now >= stop ELSE now <= stop END
   WHEN 'TakeProfitMarket' THEN CASE WHEN side = 'BUY' THEN now <= stop ELSE now >= stop END ELSE CASE WHEN side = 'BUY' THEN now >= best * (1 + stop) ELSE now <= best * (1 - stop) END END GROUP BY id)"""
-query("paper_fills", lambda s, d: B.fills(_orders(s, d), A.ticks(s, d), DAY).select("id", "symbol", "order_type", "status", "filled_at", "fill_price"), f"WITH {sql.TICKS}, {ORD} SELECT oo.id, symbol, kind AS order_type, CASE WHEN filled_at IS NULL THEN 'Open' ELSE 'Filled' END AS status, filled_at, fill_price FROM oo LEFT JOIN oh ON oh.id = oo.id")
+query("paper_fills", lambda s, d: B.fills(_orders(s, d), A.ticks(s, d), OPEN_FOR).select("id", "symbol", "order_type", "status", "filled_at", "fill_price"), f"WITH {sql.TICKS}, {ORD} SELECT oo.id, symbol, kind AS order_type, CASE WHEN filled_at IS NULL THEN 'Open' ELSE 'Filled' END AS status, filled_at, fill_price FROM oo LEFT JOIN oh ON oh.id = oo.id")
 
 
 def _fills(s, d):
@@ -90,7 +134,7 @@ def _fills(s, d):
 
 
 query("position_events", lambda s, d: _round(B.position_events(_fills(s, d)), "entry_price", "realized_pnl"))
-query("position_quantities", lambda s, d: B.position_events(_fills(s, d).where("seq % 10 = 0")).select("symbol", "seq", "quantity"), f"WITH {sql.TICKS} SELECT symbol, event_id AS seq, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY event_id) AS quantity FROM ticks WHERE event_id % 10 = 0")
+query("position_quantities", lambda s, d: B.position_quantities(_fills(s, d)), f"WITH {sql.TICKS} SELECT symbol, event_id AS seq, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY event_id) AS quantity FROM ticks")
 _last = lambda s, d: A.ticks(s, d).groupBy("symbol").agg(F.max_by("price", "event_id").alias("price"))
 _held = lambda s, d: N.positions(s, d).withColumn("symbol", F.concat(F.lit("S"), (F.col("opened_at") % 7).cast("string")))
 query("mark_to_market", lambda s, d: _round(B.mark_to_market(_held(s, d), _last(s, d)), "unrealized_pnl").select("opened_at", "symbol", "unrealized_pnl"), f"WITH {sql.TICKS}, {N.POS}, l AS (SELECT symbol, arg_max(price, event_id) AS price FROM ticks GROUP BY symbol), h AS (SELECT *, 'S' || c_custkey % 7 AS sy FROM ps) SELECT c_custkey AS opened_at, sy AS symbol, round(CASE WHEN l.price IS NULL THEN unrealized_pnl ELSE (l.price - entry_price) * quantity * CASE WHEN side = 'BUY' THEN 1 ELSE -1 END END, 6) AS unrealized_pnl FROM h LEFT JOIN l ON l.symbol = sy")
@@ -125,10 +169,10 @@ def _leverage(s, d):
 
 query("liquidation_price", _leverage, f"""WITH {N.POS}, z AS (SELECT *, {P_SQL} AS price, {SG} AS g FROM ps), y AS (SELECT *, entry_price * (1 - g * (1.0::DOUBLE / leverage)) AS iso FROM z) SELECT symbol, round(quantity * price / leverage, 6) AS margin, round(iso, 6) AS isolated, round(entry_price * (1 - g * (0.8::DOUBLE / leverage)), 6) AS cross_margin, g * (price - iso) / entry_price <= 0.05::DOUBLE AS near, round(CASE WHEN side = 'BUY' THEN price - entry_price ELSE entry_price - price END * quantity, 6) AS pnl, leverage <= 15 AS valid, round(quantity * entry_price * 0.0001::DOUBLE, 6) AS funding FROM y""")
 _requests = lambda s, d: A.table(s, d, "supplier").select(F.concat(F.lit("C"), (_c("s_suppkey") * 7).cast("string"), F.lit("USDT")).alias("symbol"), F.when(_c("s_acctbal") > 3000, "BUY").otherwise("SELL").alias("side"), (_c("s_suppkey") % 12).cast("double").alias("quantity"), F.lit(100.0).alias("price"))
-_book = lambda s, d: N.positions(s, d).where("opened_at <= 200")
-REQ = "rq AS (SELECT 'C' || s_suppkey * 7 || 'USDT' AS symbol, CASE WHEN s_acctbal > 3000 THEN 'BUY' ELSE 'SELL' END AS side, CAST(s_suppkey % 12 AS DOUBLE) AS quantity, 100.0::DOUBLE AS price FROM supplier), bk AS (SELECT * FROM ps WHERE c_custkey <= 200), tt AS (SELECT count(*) AS n, sum(quantity * entry_price) AS ex FROM bk)"
-query("order_checks", lambda s, d: R.check_orders(_requests(s, d), _book(s, d), False, 250, 20.0, 62_000.0).select("symbol", "quantity", "rejected"), f"WITH {N.POS}, {REQ} SELECT rq.symbol, rq.quantity, CASE WHEN bk.symbol IS NULL AND n >= 250 THEN 'max open positions' WHEN CASE WHEN bk.symbol IS NULL THEN rq.quantity WHEN bk.side = rq.side THEN rq.quantity + bk.quantity END > 20 THEN 'position size' WHEN ex + rq.quantity * price > 62000 THEN 'total exposure' END AS rejected FROM rq LEFT JOIN bk ON bk.symbol = rq.symbol CROSS JOIN tt")
-query("portfolio_can_open", lambda s, d: R.can_open(_requests(s, d), _book(s, d), 250, 1_200.0, 70_000.0).select("symbol", "quantity", "can_open"), f"WITH {N.POS}, {REQ} SELECT rq.symbol, rq.quantity, NOT (bk.symbol IS NULL AND n >= 250) AND coalesce(bk.quantity * bk.entry_price, 0) + rq.quantity * price <= 1200 AND ex + rq.quantity * price <= 70000 AS can_open FROM rq LEFT JOIN bk ON bk.symbol = rq.symbol CROSS JOIN tt")
+_book = N.positions
+REQ = "rq AS (SELECT 'C' || s_suppkey * 7 || 'USDT' AS symbol, CASE WHEN s_acctbal > 3000 THEN 'BUY' ELSE 'SELL' END AS side, CAST(s_suppkey % 12 AS DOUBLE) AS quantity, 100.0::DOUBLE AS price FROM supplier), bk AS (SELECT * FROM ps), tt AS (SELECT count(*) AS n, sum(quantity * entry_price) AS ex FROM bk)"
+query("order_checks", lambda s, d: R.check_orders(_requests(s, d), _book(s, d), False, 1_000_000, 20.0, 497_000.0).select("symbol", "quantity", "rejected"), f"WITH {N.POS}, {REQ} SELECT rq.symbol, rq.quantity, CASE WHEN bk.symbol IS NULL AND n >= 1000000 THEN 'max open positions' WHEN CASE WHEN bk.symbol IS NULL THEN rq.quantity WHEN bk.side = rq.side THEN rq.quantity + bk.quantity END > 20 THEN 'position size' WHEN ex + rq.quantity * price > 497000 THEN 'total exposure' END AS rejected FROM rq LEFT JOIN bk ON bk.symbol = rq.symbol CROSS JOIN tt")
+query("portfolio_can_open", lambda s, d: R.can_open(_requests(s, d), _book(s, d), 1_000_000, 1_200.0, 497_500.0).select("symbol", "quantity", "can_open"), f"WITH {N.POS}, {REQ} SELECT rq.symbol, rq.quantity, NOT (bk.symbol IS NULL AND n >= 1000000) AND coalesce(bk.quantity * bk.entry_price, 0) + rq.quantity * price <= 1200 AND ex + rq.quantity * price <= 497500 AS can_open FROM rq LEFT JOIN bk ON bk.symbol = rq.symbol CROSS JOIN tt")
 query("order_gate", lambda s, d: N.positions(s, d).select("symbol", R.gate(_c("opened_at") % 4, _c("side") == "SELL", _c("quantity"), _c("entry_price"), 1, 20.0, 40.0).alias("buy"), R.gate(_c("opened_at") % 4, _c("side") == "SELL", _c("quantity"), _c("entry_price"), 2, 20.0, 40.0).alias("sell")), f"WITH {N.POS} SELECT symbol, c_custkey % 4 & 1 > 0 AND side <> 'SELL' AND quantity < 20 AND entry_price < 40 AS buy, c_custkey % 4 & 2 > 0 AND side <> 'SELL' AND quantity < 20 AND entry_price < 40 AS sell FROM ps")
 query("position_sizes", lambda s, d: N.positions(s, d).select("symbol", F.round(R.size_by_stop(F.lit(10_000.0), _c("entry_price"), _c("quantity") - 1), 6).alias("by_stop"), F.round(R.half_kelly_size(F.lit(10_000.0), _c("quantity") / 30, F.lit(3.0), F.lit(2.0), _c("entry_price"), 500.0), 6).alias("half_kelly")), f"WITH {N.POS}, k AS (SELECT *, (quantity / 30 * 3 - (1 - quantity / 30) * 2) / 3 AS f FROM ps) SELECT symbol, round(CASE WHEN quantity = 1 THEN 0 ELSE least(200 / (quantity - 1), 10) END, 6) AS by_stop, round(CASE WHEN f > 0 THEN least(10000 * f / 2 / entry_price, 500) ELSE 0 END, 6) AS half_kelly FROM k")
 
@@ -161,14 +205,21 @@ def _episodes(s, d):
 
 
 query("episode_samples", _episodes)
-query("prioritized_sample", lambda s, d: E.prioritized_sample(_steps(s, d).where("symbol = 'S0'").select("step", F.col("reward").alias("priority")), 50, 3))
+_draws = E.lcg(3)
+_weight = "pow(abs(reward) + 1e-6, 0.6::DOUBLE)"
+query(
+    "prioritized_sample",
+    lambda s, d: E.prioritized_sample(_steps(s, d).select("symbol", "step", F.col("reward").alias("priority")), 50, 3, ties=("symbol",)),
+    f"""WITH {sql.SERIES}, st AS (SELECT symbol, rn AS step, close / 3 AS reward FROM s), cu AS (SELECT *, sum({_weight}) OVER (ORDER BY step, symbol) AS upto FROM st), fr AS (SELECT *, ceil((upto - {_weight}) / max(upto) OVER () * {1 << 40}) AS low FROM cu),
+dr(draw, pt) AS (VALUES {", ".join(f"({i}::BIGINT, {int(next(_draws) * (1 << 40))}::DOUBLE)" for i in range(50))}) SELECT draw, symbol, step, reward AS priority FROM dr ASOF JOIN fr ON dr.pt >= fr.low""",
+)
 
 
 def _softmax(s, d):
     from ..plans.features import labels
 
     c = labels(A.candles(s, d), 3).withColumns({"a": F.col("taker_buy_volume") / F.col("volume"), "b": (F.col("close") - F.col("open")) / F.col("open")})
-    return _round(E.fit_softmax(c, ["a", "b"], epochs=3)[1], "accuracy", "loss")
+    return _round(E.fit_softmax(c, ["a", "b"], epochs=20)[1], "accuracy", "loss")
 
 
 query("table_model_training", _softmax)
@@ -217,4 +268,4 @@ def _events(s, d):
 
 
 query("streamed_bars", lambda s, d: Y.drain(Y.bars(_events(s, d), A.M15, tie="event_id"), "bars").withColumn("quote_volume", F.round("quote_volume", 2)), f"WITH {sql.CANDLES} SELECT {BARS} FROM candles WHERE close_time < (SELECT max(timestamp) FROM ticks)")
-query("streamed_positions", lambda s, d: Y.drain(Y.positions(_events(s, d).where("event_id % 10 = 0").select("symbol", F.col("event_id").alias("seq"), "side", "quantity", "price")), "positions").select("symbol", "seq", "quantity"), SQL["position_quantities"])
+query("streamed_positions", lambda s, d: Y.drain(Y.positions(_events(s, d).select("symbol", F.col("event_id").alias("seq"), "side", "quantity", "price")), "positions").select("symbol", "seq", "quantity"), SQL["position_quantities"])
