@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .textbatch import PieceCache, ragged, text_slices
 
 MAGIC = b"TBM2"
-LANES, BLOCK_IDS = 4096, 1 << 20
+LANES, BLOCK_IDS = 4096, 1 << 21
 #: Successors that a context of order 1 and of order 2 holds; the largest count.
-SLOTS, TOP_COUNT = (4, 1), 250
+SLOTS, TOP_COUNT = (2, 1), 250
 ID_BITS, WEIGHT_BITS = 20, 10
 _U = np.uint64
 _LOW32, _TOP = _U(0xFFFFFFFF), _U(1 << 32)
@@ -149,10 +149,12 @@ class Model:
         found, below = np.full(len(v), -1, np.int32), np.zeros(len(v), np.int32)
         for i, name in enumerate(names):
             safe = np.maximum(name, 0)
-            begin, end = w * self.start[safe], w * self.freq[safe]
-            for other, part in zip(names, parts):  # two orders may name one id: its share has both of their parts
-                begin += part * (other < name)
-                end += part * (other == name)
+            begin, end = w * self.start[safe], w * self.freq[safe] + parts[i]
+            for k, (other, part) in enumerate(zip(names, parts)):
+                if k != i:
+                    begin += part * (other < name)
+                    if (k < SLOTS[0]) != (i < SLOTS[0]):  # both orders name one id: its share has both of their parts
+                        end += part * (other == name)
             end += begin
             below += parts[i] * (end <= v)
             inside = (begin <= v) & (v < end) & (parts[i] > 0)
@@ -168,13 +170,13 @@ class Model:
         self.run[:n] = np.where(self.here[k], np.minimum(run + 1, RUN - 1), np.where(self.two.total > 0, 0, run >> 1))
         self.one.learn(ids, self.here[:k])
         self.two.learn(ids, self.here[k:])
-        for cells, share in zip(self.cells, self.share):
-            cells += np.bincount(self.cell, share.astype(np.int32), len(cells)).astype(np.int64)
-        if self.step % 8 == 0:
+        if self.step < 16 or self.step % 4 == 0:  # the weights follow a part of the steps
+            for cells, share in zip(self.cells, self.share):
+                cells += np.bincount(self.cell, share.astype(np.int32), len(cells)).astype(np.int64)
             large = self.cells[0] + self.cells[1] + self.cells[2] > 1 << 22
             for cells in self.cells:
                 cells[large] = (cells[large] + 1) >> 1
-        self._weights()
+            self._weights()
         self.prev2[:n] = self.prev[:n]
         self.prev[:n] = ids
         self.pending.append(ids)
