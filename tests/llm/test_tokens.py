@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidebar.llm import bpe, idcodec, token_counts
@@ -68,17 +69,23 @@ def test_encode_and_decode_columns(frame, odd):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_recount_equals_a_full_count(seed, prose):
-    b, rng = bpe.load(BYTE), random.Random(seed)
-    docs = [*TEXTS, "'s" * 200, "  \n " * 200, *(prose(rng.randint(1, 900), seed=i) for i in range(60))]
-    edits = []
-    for t in docs:
-        p = sorted(rng.randint(0, len(t) + 2) for _ in range(2 * rng.randint(0, 4)))
-        edits.append([{"start": a, "end": z, "text": rng.choice(["", "x", " ", "\n", "'", "'s", " 12 ", None, "ab cd" * 20])} for a, z in zip(p[::2], p[1::2])])
-    plain = [token_counts.edited(t, token_counts._checked(e, len(t))) for t, e in zip(docs, edits)]
-    want = [x.tokens[1] for x in token_counts.trees(b, plain)[0]]
-    forest, pieces, again = token_counts.recount(b, docs, edits)
-    assert [x.tokens[1] for x in forest] == want
-    assert again.sum() < pieces.sum()
+    """Batch after batch of edits is applied to the leaves that the one before left."""
+    b, t, rng = bpe.load(BYTE), Tokenizer.from_file(BYTE), random.Random(seed)
+    docs = [*TEXTS, "'s" * 200, "  \n " * 200, "<|endof", *(prose(rng.randint(1, 900), seed=i) for i in range(60))]
+    forest = token_counts.trees(b, docs)
+    for _ in range(4):
+        edits = []
+        for d in docs:
+            p = sorted(rng.randint(0, len(d) + 2) for _ in range(2 * rng.randint(0, 4)))
+            edits.append([{"start": a, "end": z, "text": rng.choice(["", "x", " ", "\n", "'", "'s", " 12 ", None, "ab cd" * 20, "text|>", "<|endoftext|>"])} for a, z in zip(p[::2], p[1::2])])
+        plain = [token_counts.edited(d, token_counts._checked(e, len(d))) for d, e in zip(docs, edits)]
+        pieces = sum(x.total(1) for x in forest)
+        docs, forest, again = token_counts.recount(b, docs, forest, edits)
+        assert docs == plain
+        assert [x.total(2) for x in forest] == [len(e.ids) for e in t.encode_batch(docs, add_special_tokens=False)]
+        assert [x.total(0) for x in forest] == [len(d) for d in docs]
+        assert all(x.of_leaves()[1].max(initial=0) <= token_counts.LEAF for x, d in zip(forest, docs) if "<|" not in d)
+        assert again.sum() < 0.5 * pieces
 
 
 def test_overlapping_edits_are_an_error():
@@ -86,14 +93,24 @@ def test_overlapping_edits_are_an_error():
         token_counts._checked([{"start": 0, "end": 5, "text": ""}, {"start": 3, "end": 6, "text": ""}], 10)
 
 
-def test_counts_query_shape(frame, odd):
-    d = frame(odd).withColumn("edits", token_counts.sample_edits())
-    rows = token_counts.count_edited(d, BYTE).collect()
-    b = bpe.load(BYTE)
-    for r, w in zip(rows, d.collect()):
+def test_stored_leaves(spark, frame, odd, tmp_path):
+    d = frame(odd).withColumn("N_Tokens", F.lit("clash"))
+    token_counts.build(d, BYTE).write.parquet(path := f"file://{tmp_path}/leaves")
+    t = Tokenizer.from_file(BYTE)
+    full = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    stored = spark.read.parquet(path).withColumn("edits", token_counts.sample_edits())
+    rows = token_counts.renew(stored, BYTE).collect()
+    assert len(rows) == len(odd)
+    for r, w in zip(rows, stored.collect()):
         text = w.text or ""
-        full = token_counts.edited(text, token_counts._checked([e.asDict() for e in w.edits], len(text)))
-        assert (r.n_tokens, r.n_tokens_edited) == (len(b.encode_slice([text])[0]), len(b.encode_slice([full])[0]))
+        assert r.text == token_counts.edited(text, token_counts._checked([e.asDict() for e in w.edits], len(text)))
+        assert (r.n_tokens, r.n_tokens_edited, sum(r.leaf_tokens)) == (full(text), full(r.text), full(r.text))
+    edits = spark.createDataFrame([(6, 5, 9, "new words"), (6, 100, 100, "more")], "doc_id long, start int, end int, text string")
+    again = {r.doc_id: r for r in token_counts.renew(token_counts.with_edits(spark.read.parquet(path), edits), BYTE).collect()}
+    assert again[6].n_reencoded > 0 and again[6].n_tokens_edited == full(again[6].text) and again[8].n_reencoded == 0
+    assert token_counts.renew(stored.limit(0), BYTE).count() == 0
+    with pytest.raises(Exception, match="changes texts"):
+        token_counts.build(d, WORD).collect()
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 70_001])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, idcodec, language, mixing, neardup, pii, quality, rules, token_counts
-from .shared import shared_path, table
+from .shared import kept, shared_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.sample_edits())
-    return token_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    stored = kept(token_counts.build(table(spark, sf_dir, "documents").select("doc_id", "text"), path), "leaves")
+    return token_counts.renew(stored.withColumn("edits", token_counts.sample_edits()), path).select("doc_id", *token_counts.RESULTS)
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
