@@ -262,11 +262,18 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
+def _blocked(pairs: DataFrame, sizes: DataFrame, rows: int) -> DataFrame:
+    """Pairs (leader, node) with the number of blocks that the leader's members fill; only leaders of more than one need a lookup."""
+    blocks = F.ceil(F.greatest(F.count("*") / rows, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    large = kept(pairs.join(sizes, "node").groupBy("leader").agg(blocks).where("blocks > 1"), "blocks")
+    found = pairs.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "leader", "left")
+    return found.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
 def _led(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """Links among distinct pairs (leader, node), a leader's members in blocks of a bounded size; each block meets the leader's text."""
-    held = pairs.join(sizes, "node")
-    blocks = F.ceil(F.greatest(F.count("*") / LED_ROWS, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    placed = _held(pairs.join(held.groupBy("leader").agg(blocks), "leader").select("leader", "node", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("unit")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = _held(_blocked(pairs, sizes, LED_ROWS).select("leader", "node", F.xxhash64("leader", block).alias("unit")))
     lead = placed.select("unit", "leader").distinct().select("unit", F.lit(0).alias("side"), F.col("leader").alias("node"))
     links = kept(_compare(lead.union(placed.select("unit", F.lit(1).alias("side"), "node")).join(texts, "node"), threshold), "links")
     placed.unpersist()
@@ -334,10 +341,11 @@ def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold:
     open_ = loose.select("node").distinct()
     hot = kept(rare.where(F.col("df") > HOT).select("node").distinct().join(open_, "node", "left_semi"), "hot")
     own = rare.join(open_, "node", "left_semi").join(hot, "node", "left_anti").select(F.col("node").alias("leader"), "e")
-    second = _led(own.join(rare.select("node", "e"), "e").where("leader != node").select("leader", "node").distinct(), texts, sizes, threshold)
+    met = kept(own.join(rare.select("node", "e"), "e").where("leader != node").select("leader", "node").distinct(), "met")
+    second = _led(met, texts, sizes, threshold)
     third = _in_blocks(halls, loose.join(hot, "node", "left_semi"), texts, sizes, threshold)
     links = kept(first.union(second).union(third), "all-links")
-    for used in (members, wanted, first, second, third, loose, rare, hot, texts):
+    for used in (members, wanted, first, second, third, loose, rare, hot, met, texts):
         dropped(used)
     return links
 
@@ -345,10 +353,8 @@ def link_texts(signed: DataFrame, df: DataFrame, key: str, text: str, threshold:
 def _in_blocks(members: DataFrame, loose: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """Links between the open members of each leader and its whole company, block by block."""
     members = members.join(loose.select("leader").distinct(), "leader", "left_semi")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    count = members.join(sizes, "node").groupBy("leader").agg(blocks)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    placed = _held(members.join(count, "leader").select("leader", "node", "blocks", block))
+    placed = _held(_blocked(members, sizes, BLOCK_ROWS).select("leader", "node", "blocks", block))
     own = placed.join(loose, ["leader", "node"], "left_semi")
     unit = F.xxhash64("leader", "open_block", "block").alias("unit")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
