@@ -1,7 +1,11 @@
 """The stages against brute force, and the registered queries."""
 
+import hashlib
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from tidebar.llm import mixing, pii
 
@@ -25,7 +29,7 @@ def test_stages_one_by_one(spark, tmp_path):
     came, stayed = seen["near_duplicates"]
     assert Counter(r.doc_id for r in stayed) == Counter({c for _, c in plain_classes([(r.doc_id, r.text) for r in came])})
     came, stayed = seen["personal_data"]
-    s = pii.selector()
+    s = pii.selector(spark.createDataFrame(came))
     assert {r.doc_id: r.text for r in stayed} == {r.doc_id: pii.redacted(r.text, s.spans(r.text)) for r in came}
     assert all(r.n_chars == len(r.text) for r in stayed)
     came, stayed = seen["mixing"]
@@ -36,7 +40,11 @@ def test_stages_one_by_one(spark, tmp_path):
         taken[r.source] += len(r.text.split())
     assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= len(sizes)
     came, stayed = seen["bpe"]
-    assert len(came) == len(stayed) and all(r.n_tokens == len(r.ids) for r in stayed)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted((r.doc_id, r.text) for r in came) == sorted((r.doc_id, r.text) for r in stayed)
+    for r in stayed:
+        assert r.ids == t.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_run(spark):

@@ -58,7 +58,7 @@ def test_stages_on_odd_rows(spark, frame, odd, prose, stage):
     got = out.collect()
     if stage == "bpe":
         assert out.columns[: len(docs.columns)] == docs.columns and len(got) == len(rows)
-        assert all(len(r[len(docs.columns)]) == r[-1] for r in got)
+        assert all(len(r[len(docs.columns)]) == r[-1] and len(r[-2]) == 64 for r in got)
     else:
         assert out.columns == docs.columns and got
     for r in got:

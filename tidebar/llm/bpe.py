@@ -204,12 +204,17 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with an array of token ids; other columns pass through, one that has the name of the result gives way to it."""
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with an array of token ids, and under the name ``decoded`` the SHA-256 of the text that they decode to.
+
+    Other columns pass through, one that has the name of a result gives way to it.
+    """
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in df.schema.fields if f.name.lower() != out.lower()] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
-    names = [f.name for f in schema.fields[:-1]]
+    results = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded, T.StringType(), False)] * bool(decoded)
+    gone = {f.name.lower() for f in results}
+    schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in gone] + results)
+    names = [f.name for f in schema.fields[: -len(results)]]
 
     def run(batches):
         bpe = load(path)
@@ -218,8 +223,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                 ids, counts = bpe.encode_slice(texts)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 part = batch.slice(lo, len(texts))
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), column], names=[*names, out])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
+                if decoded:
+                    held = ids.tolist()
+                    columns.append(pa.array([hashlib.sha256(bpe.decode(held[a:b]).encode()).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
