@@ -50,11 +50,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with their token ids, the number of these, and what they decode to, in columns that no other column is named as."""
+    """The rows with their token ids, a digest of what these decode to, and their number, in columns that no other column is named as."""
     checkpoints(ship(spark))
-    path = public_tokenizers.path("word_bpe_49k.json")
-    ids, decoded, n_tokens = unused(docs.columns, "ids", "decoded", "n_tokens")
-    return bpe.decode(bpe.encode(docs, path, out=ids), path, ids=ids, out=decoded).withColumn(n_tokens, F.size(ids).cast("long"))
+    ids, decoded, n_tokens = unused(docs.columns, "ids", "decoded_sha256", "n_tokens")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), out=ids, decoded=decoded).withColumn(n_tokens, F.size(ids).cast("long"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
