@@ -186,7 +186,12 @@ BACK = "bw AS (SELECT symbol, rn, row_number() OVER (PARTITION BY symbol, ep ORD
 query("discounted_returns", lambda s, d: _round(E.discounted_returns(_steps(s, d), 0.99, ("symbol",), done="done").select("symbol", "step", F.col("return").alias("discounted")), "discounted"), f"WITH RECURSIVE {sql.SERIES}, {BACK}, rr AS (SELECT symbol, ep, rn, b, reward AS y FROM bw WHERE b = 1 UNION ALL SELECT w.symbol, w.ep, w.rn, w.b, w.reward + 0.99::DOUBLE * rr.y FROM rr JOIN bw w ON w.symbol = rr.symbol AND w.ep = rr.ep AND w.b = rr.b + 1) SELECT symbol, rn AS step, round(y, 6) AS discounted FROM rr")
 query("advantages", lambda s, d: _round(E.advantages(_steps(s, d), keys=("symbol",)).select("symbol", "step", "advantage"), "advantage"), f"WITH RECURSIVE {sql.SERIES}, {BACK}, dl AS (SELECT *, reward + 0.99::DOUBLE * coalesce(lag(value) OVER (PARTITION BY symbol, ep ORDER BY b), 0) - value AS de FROM bw), rr AS (SELECT symbol, ep, rn, b, de AS y FROM dl WHERE b = 1 UNION ALL SELECT w.symbol, w.ep, w.rn, w.b, w.de + 0.99::DOUBLE * 0.95::DOUBLE * rr.y FROM rr JOIN dl w ON w.symbol = rr.symbol AND w.ep = rr.ep AND w.b = rr.b + 1) SELECT symbol, rn AS step, round(y, 6) AS advantage FROM rr")
 query("param_grid", lambda s, d: E.grid(s, {"fee": E.spread(0.0, 0.002, 5), "hold": E.spread(10, 50, 5), "bonus": E.spread(0.0, 1.0, 3)}), "SELECT f * 0.002::DOUBLE / 4 AS fee, 10 + 40.0::DOUBLE * h / 4 AS hold, b / 2.0::DOUBLE AS bonus FROM range(5) a(f), range(5) c(h), range(3) e(b)")
-query("random_trials", lambda s, d: E.random_grid(s, {"fee": (0.0, 0.01), "window": (10, 50)}, 20))
+query(
+    "random_trials",
+    lambda s, d: E.random_grid(s, {"fee": (0.0, 0.01), "window": (10, 50)}, 20),
+    """WITH RECURSIVE l AS (SELECT 0 AS i, 43::HUGEINT AS st UNION ALL SELECT i + 1, (st * 6364136223846793005::HUGEINT + 1) % 18446744073709551616::HUGEINT FROM l WHERE i < 40), u AS (SELECT (i - 1) // 2 AS t, (i - 1) % 2 AS k, CAST(st // 2048 AS DOUBLE) / 9007199254740992.0::DOUBLE AS x FROM l WHERE i > 0)
+SELECT CAST(a.t AS BIGINT) AS trial_id, 0.01::DOUBLE * a.x AS fee, 10 + 40.0::DOUBLE * b.x AS "window" FROM u a JOIN u b ON a.t = b.t AND a.k = 0 AND b.k = 1""",
+)
 
 
 def _rollout(s, d):
