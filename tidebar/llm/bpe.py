@@ -211,7 +211,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decod
     """
     from pyspark.sql import types as T
 
-    results = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded, T.StringType(), False)] * bool(decoded)
+    results = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])]
     gone = {f.name.lower() for f in results}
     schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in gone] + results)
     names = [f.name for f in schema.fields[: -len(results)]]
