@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, idcodec, language, mixing, neardup, pii, quality, rules, token_counts
+from . import ann, bpe, codes, idcodec, language, mixing, neardup, phrases, pieces, pii, quality, rules, token_counts
 from .shared import kept, shared_path, table
 
 
@@ -62,5 +62,17 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_token_counts, op4_token_ids, op5_language, op6_mixing, op7_quality, op8_rules, op9_near_duplicates, op10_nearest)}
-SQL = {"op6_mixing": mixing.ORACLE}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_bpe, op3_token_counts, op4_token_ids, op5_language, op6_mixing, op7_quality, op8_rules, op9_near_duplicates, op10_nearest, op11_pieces, op12_codes, op13_phrases)}
+SQL = {"op6_mixing": mixing.ORACLE, "op12_codes": codes.ORACLE, "op13_phrases": phrases.ORACLE}
