@@ -19,6 +19,9 @@ COLUMNS = {
     "op7_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_near_duplicates": "doc_id bigint, class_id bigint",
+    "op11_pieces": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint",
+    "op12_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op13_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op10_nearest": "query_id bigint, rank int, vec_id bigint, score double",
 }
 
@@ -33,6 +36,9 @@ def test_registered(spark, name):
         asked = {r.query_id for r in rows}
         assert len(rows) == len(asked) * min(20, n - 1) and all(q % 20 == 0 for q in asked)
         return
+    if name in ("op12_codes", "op13_phrases"):
+        assert rows and (name != "op12_codes" or len(rows) == spark.read.parquet(f"{DATA}/embeddings.parquet").count())
+        return
     ids = [r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert sorted(r.doc_id for r in rows) == sorted(ids)
     for r in rows:

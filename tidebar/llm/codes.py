@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import dropped, kept, quoted
+from .shared import kept, quoted
+from .textbatch import ragged
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Components of a chunk at most, points of a leaf, entries of a leaf, labels that are broadcast at most.
@@ -48,7 +49,7 @@ class Tree:
 
     def __init__(self, rows: np.ndarray, leaf: int, ordered: bool = False):
         n = len(rows)
-        self.depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
+        self.depth = max(0, (n // leaf).bit_length() - 1)  # no node is empty
         order = np.arange(n)
         if not ordered:
             for t in range(self.depth):
@@ -98,6 +99,7 @@ def assign(points: Tree, entries: Tree) -> Iterator[tuple[int, int, np.ndarray |
     """
     n, a, b = len(points.rows), 0, 0
     p, e = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    ends = Tree.cuts(len(entries.rows), entries.depth)
     while True:
         near, far = _bounds(points, a, p, entries, b, e)
         best = np.full(1 << a, np.iinfo(np.int64).max)
@@ -107,8 +109,8 @@ def assign(points: Tree, entries: Tree) -> Iterator[tuple[int, int, np.ndarray |
         if b == entries.depth:
             left = np.bincount(p, minlength=1 << a)
             cuts = Tree.cuts(n, a)
-            alone = left[p] == 1
-            for node, entry in zip(p[alone].tolist(), e[alone].tolist()):
+            alone = (left[p] == 1) & (ends[e + 1] - ends[e] == 1)
+            for node, entry in zip(p[alone].tolist(), ends[e[alone]].tolist()):
                 yield int(cuts[node]), int(cuts[node + 1]), int(entries.order[entry]), points.sum[a][node]
             p, e = p[~alone], e[~alone]
             if a == points.depth:
@@ -119,8 +121,10 @@ def assign(points: Tree, entries: Tree) -> Iterator[tuple[int, int, np.ndarray |
             a, p, e = a + 1, np.concatenate((2 * p, 2 * p + 1)), np.concatenate((e, e))
         if b < entries.depth:
             b, p, e = b + 1, np.concatenate((p, p)), np.concatenate((2 * e, 2 * e + 1))
+    # What is left: leaves with the entries of their nodes.
     order = np.argsort(p, kind="stable")
-    p, e = p[order], np.asarray(entries.order)[e[order]]
+    p, e = p[order], e[order]
+    p, e = np.repeat(p, ends[e + 1] - ends[e]), entries.order[ragged(ends[e], ends[e + 1] - ends[e])]
     book = np.empty_like(entries.rows)
     book[entries.order] = entries.rows
     edges = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else np.zeros(1, np.int64)
