@@ -286,10 +286,11 @@ def collocations(docs: DataFrame, support: int = SUPPORT, words: int = WORDS, be
 ORACLE = rf"""WITH p AS (SELECT coalesce(lang, '{NOBODY}') AS lang, row_number() OVER () AS piece, v FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS v FROM documents)),
 w AS (SELECT lang, piece, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT lang, piece, regexp_extract_all(v, '[^\x20\x09]+') AS x FROM p)),
 s AS (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)),
-g AS (SELECT lang, phrase, k, count(*) AS f FROM (SELECT lang, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3, w || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS phrase, unnest([1, 2, 3, 4]) AS k FROM s) WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+g AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM (SELECT lang, unnest([w, w || ' ' || w2, w || ' ' || w2 || ' ' || w3, w || ' ' || w2 || ' ' || w3 || ' ' || w4]) AS phrase, unnest([1, 2, 3, 4]) AS k FROM s) WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= {SUPPORT}),
 t AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
 c AS (SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS v FROM g WHERE k > 1),
-u AS (SELECT c.lang, c.phrase, c.a, x.k, h.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (h.f::HUGEINT + r.f))::BIGINT AS score FROM c, range(1, {WORDS}) x(k) JOIN g h ON h.lang = c.lang AND h.phrase = array_to_string(c.v[1 : x.k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.v[x.k + 1 :], ' ') WHERE x.k < c.size),
+x AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(v[1 : k], ' ') AS head, array_to_string(v[k + 1 :], ' ') AS rest FROM (SELECT lang, phrase, a, v, unnest(range(1, size)) AS k FROM c)),
+u AS (SELECT x.lang, x.phrase, a, x.k, h.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (h.f::HUGEINT + r.f))::BIGINT AS score FROM x JOIN g h ON h.lang = x.lang AND h.phrase = head JOIN g r ON r.lang = x.lang AND r.phrase = rest),
 b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 e AS (SELECT c.lang, array_to_string(c.v[i.i : i.i + m.m - 1], ' ') AS phrase, max(c.a) AS longer FROM c, range(2, {WORDS}) m(m), range(1, {WORDS}) i(i) WHERE m.m < c.size AND i.i + m.m - 1 <= c.size GROUP BY ALL),
 z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < {COVER}::HUGEINT * a)
