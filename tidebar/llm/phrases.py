@@ -39,7 +39,8 @@ WORDS, SUPPORT, COVER, BEST = 4, 30, 80, 2000
 SAMPLE, PROPOSED = 8, 2
 #: Bits of the table of known phrases, of which a phrase sets two.
 BITS = 1 << 27
-SLICE = 1 << 22
+#: Characters of text handled at once.
+SLICE = 1 << 20
 NOBODY = "und"
 _U = np.uint64
 
