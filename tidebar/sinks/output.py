@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.reach import chain, first_reach
+from ..operators.series import CHUNK, number_rows
 from ..schemas import CANDLE_FILE
 
 
@@ -48,20 +50,16 @@ def should_notify(actions: tuple[str, ...] = (), min_profit: float = 0.0, min_co
     return fine
 
 
-def with_cooldown(d: DataFrame, cooldown: int, keys: tuple[str, ...] = ("symbol",), time: str = "timestamp") -> DataFrame:
-    """Rows that are sent: none sooner than ``cooldown`` ms after the last one that was. Depends on what was sent, so it is a grouped fold."""
-    import pandas as pd
+def with_cooldown(d: DataFrame, cooldown: int, keys: tuple[str, ...] = ("symbol",), time: str = "timestamp", size: int = CHUNK) -> DataFrame:
+    """Rows that are sent: none sooner than ``cooldown`` ms after the last one that was.
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        p = p.sort_values(time)
-        for t in p[time]:
-            fine = last is None or t - last >= cooldown
-            keep.append(fine)
-            last = t if fine else last
-        return p[keep]
-
-    return d.groupBy(*keys).applyInPandas(fold, d.schema)
+    Each row points to the first one at least a cooldown later; what is sent is
+    the chain of these pointers from the first row on.
+    """
+    rows = number_rows(d, time, keys)
+    later = first_reach(rows.select(*keys, F.col("rn").alias("_of"), (F.col("rn") + 1).alias("start"), (F.col(time) + cooldown).cast("double").alias("level")), rows.select(*keys, "rn", F.col(time).alias("value")), keys, size)
+    sent = chain(later.select(*keys, F.col("_of").alias("rn"), F.col("at").alias("next")), keys, size)
+    return rows.join(sent, [*keys, "rn"]).select(*d.columns)
 
 
 def chart(candles: DataFrame, indicators: list[str], most: int = 5000, times: str = "open_time") -> dict:
