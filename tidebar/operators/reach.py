@@ -27,7 +27,7 @@ def _within(points: DataFrame, values: DataFrame, keys: Sequence[str], size: int
 
     on = [*keys, "_chunk"]
     p = points.withColumn("_chunk", F.floor((F.col("start") - 1) / size))
-    v = values.withColumn("_chunk", F.floor((F.col("rn") - 1) / size))
+    v = values.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "rn", "value", F.floor((F.col("rn") - 1) / size).alias("_of"))
     schema = T.StructType([*points.schema.fields, T.StructField("at", T.LongType())])
     names = points.columns
 
@@ -53,7 +53,7 @@ def _within(points: DataFrame, values: DataFrame, keys: Sequence[str], size: int
         out["at"] = pd.array([int(rn[a]) if a < n else None for a in at], "Int64")
         return out
 
-    return p.groupBy(*on).cogroup(v.groupBy(*on)).applyInPandas(search, schema)
+    return p.groupBy(*on).cogroup(v.groupBy(*(f"_key{i}" for i in range(len(keys))), "_of")).applyInPandas(search, schema)
 
 
 def first_reach(points: DataFrame, values: DataFrame, keys: Sequence[str] = KEYS, size: int = CHUNK) -> DataFrame:

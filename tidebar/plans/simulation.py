@@ -15,15 +15,18 @@ net profit once more, so the sum of profits isn't the change of the balance.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.reach import chain, first_reach
 from ..operators.series import frames, number_rows, running, states
 from ..shared import cut
 from .analytics import ratio
+from .strategies import Callbacks
 
 EIGHT_HOURS = 8 * 3_600_000
 
@@ -54,7 +57,61 @@ def open_positions(actions: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> D
     return entries.select(*keys, F.floor((F.col("rn") + 1) / 2).alias("trade"), F.when(F.col("now") == LONG, "BUY").otherwise("SELL").alias("side"), F.col("_at").alias("entry_rn"), "exit_rn")
 
 
-def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None) -> DataFrame:
+#: Why a position ends; of several reasons at one bar the first counts.
+REASONS = ("StopLoss", "Roi", "Custom", "Signal")
+
+
+def callback_positions(d: DataFrame, rules: Callbacks, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, trade, side, entry_rn, exit_rn, exit_reason) from numbered candles with ``action``, ``confidence`` and the trend of the rules.
+
+    What a bar says is done at the close of the next one, entries and exits
+    alike. A position looks at each closed bar from that of its entry on: at its
+    stop, its return table, the trend, a signal to leave. An exit's own bar opens
+    nothing. ``exit_rn`` is null while open.
+
+    For each possible entry the first bar of each kind is searched, as if it were
+    taken; the entries that are taken are those on the chain from the first one,
+    each leading to the first entry after its exit.
+    """
+    c = F.col
+    up, down = d.select(*keys, "rn", c("close").alias("value"), F.lit("up").alias("_way")), d.select(*keys, "rn", (-c("close")).alias("value"), F.lit("down").alias("_way"))
+    last = d.groupBy(*keys).agg(F.max("rn").alias("_n"))
+    wants = d.where(c("action").isin("EnterLong", "EnterShort") & (F.coalesce(c("confidence"), F.lit(0.0)) >= rules.min_confidence))
+    fill = d.select(*keys, (c("rn") - 1).alias("rn"), c("close").alias("_price"), c("open_time").alias("_time"))
+    e = wants.join(last, list(keys)).where(c("rn") < c("_n")).join(fill, [*keys, "rn"])
+    e = number_rows(e.select(*keys, c("rn").alias("_seen"), "_price", "_time", F.when(c("action") == "EnterLong", "BUY").otherwise("SELL").alias("side")), "_seen", keys, span=4096).withColumnRenamed("rn", "_entry")
+    buy, held = c("side") == "BUY", c("_seen") + 1
+    # Where each row of the return table begins to hold.
+    minutes = sorted({m for m, _ in rules.roi if m > 0})
+    starts = e.select(*keys, "_entry", F.explode(F.array(*map(F.lit, minutes))).alias("_minutes"), held.alias("start"), (c("_time") + c("_minutes") * 60_000).cast("double").alias("level")) if minutes else None
+    after = first_reach(starts, d.select(*keys, "rn", c("open_time").alias("value")), keys).where("at IS NOT NULL").select(*keys, "_entry", "_minutes", c("at").alias("_from")) if minutes else None
+    ask = lambda x, kind, start, way, level: x.select(*keys, "_entry", F.lit(kind).alias("_kind"), start.cast("long").alias("start"), way.alias("_way"), level.alias("level"))
+    sign = F.when(buy, 1.0).otherwise(-1.0)
+    asked = [ask(e, "StopLoss", held + bars, F.when(buy, "down").otherwise("up"), -sign * c("_price") * (1 - sign * pct)) for bars, pct in rules.stops]
+    for m, pct in rules.roi:
+        x, start = (e, held) if m <= 0 else (e.join(after.where(c("_minutes") == m), [*keys, "_entry"]), c("_from"))
+        asked.append(ask(x, "Roi", start, F.when(buy, "up").otherwise("down"), sign * c("_price") * (1 + sign * pct)))
+    series = up.unionByName(down)
+    flag = lambda name, when: d.select(*keys, "rn", F.when(when, 1.0).otherwise(0.0).alias("value"), F.lit(name).alias("_way"))
+    for side, leave in (("BUY", "ExitLong"), ("SELL", "ExitShort")):
+        against = [t for t, s in (rules.reversal or {}).items() if s == side]
+        if against:
+            series = series.unionByName(flag(f"Custom{side}", c(rules.trend).isin(against)))
+        series = series.unionByName(flag(f"Signal{side}", c("action") == leave))
+    for kind in ("Custom", "Signal"):
+        asked.append(ask(e, kind, held, F.concat(F.lit(kind), c("side")), F.lit(1.0)))
+    hits = first_reach(reduce(DataFrame.unionByName, asked), series, (*keys, "_way")).where("at IS NOT NULL")
+    order = F.array_position(F.array(*map(F.lit, REASONS)), c("_kind"))
+    ends = hits.groupBy(*keys, "_entry").agg(F.min(F.struct(c("at"), order.alias("_order"), "_kind")).alias("_end"))
+    e = cut(e.join(ends, [*keys, "_entry"], "left").join(last, list(keys)))
+    ended = c("_end.at") < c("_n")  # the last bar has no next one to leave at
+    following = first_reach(e.select(*keys, "_entry", (c("_entry") + 1).alias("start"), F.when(ended, c("_end.at") + 1.0).otherwise(F.lit(float("inf"))).alias("level")), e.select(*keys, c("_entry").alias("rn"), c("_seen").alias("value")), keys)
+    taken = chain(following.select(*keys, c("_entry").alias("rn"), c("at").alias("next")), keys).withColumnRenamed("rn", "_entry")
+    t = number_rows(e.join(taken, [*keys, "_entry"]).select(*keys, "_seen", "side", F.when(ended, c("_end.at") + 1).alias("exit_rn"), F.when(ended, F.when(c("_end._kind") == "Custom", rules.reversal_reason).otherwise(c("_end._kind"))).alias("exit_reason")), "_seen", keys, span=4096)
+    return t.select(*keys, c("rn").alias("trade"), "side", (c("_seen") + 1).alias("entry_rn"), "exit_rn", "exit_reason")
+
+
+def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
     """Trades with entry and exit bar, and their result in shares of the entry value: ``_net``, ``_funding``, ``_fee_rate``, ``_size``.
 
     ``trials`` is a small table with trial_id, fee_rate, size and min_volume (an
@@ -63,11 +120,9 @@ def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), tr
     c = F.col
     facts = d.groupBy("symbol").agg(F.max("rn").alias("_n"), (F.max(F.when(c("rn") == 2, c("open_time"))) - F.min("open_time")).alias("_step"))
     facts = facts.select("symbol", "_n", F.greatest(F.floor(EIGHT_HOURS / F.greatest(F.coalesce("_step", F.lit(900_000)), F.lit(1))), F.lit(1)).alias("_every"))
-    acts, keys = d.where("action IS NOT NULL").join(facts, "symbol").where(c("rn") < c("_n")), ("symbol",)
-    if trials is not None:
-        keys = ("trial_id", "symbol")
-        acts = acts.join(F.broadcast(trials), c("volume") >= c("min_volume"))  # one row a trial
-    t = open_positions(acts.select(*keys, (c("rn") + 1).alias("rn"), "action"), keys).join(facts, "symbol").withColumn("exit_rn", F.coalesce("exit_rn", "_n"))
+    if positions is None:
+        positions = _signalled(d, facts, trials)
+    t = positions.join(facts, "symbol").withColumn("exit_rn", F.coalesce("exit_rn", "_n"))
     if trials is not None:
         t = t.join(F.broadcast(trials.select("trial_id", c("fee_rate").alias("_fee_rate"), c("size").alias("_size"))), "trial_id")
     else:
@@ -80,21 +135,39 @@ def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), tr
     return t.withColumns({"_move": move, "_funding": funding, "_net": gain - move * c("_fee_rate") - funding})
 
 
+def _signalled(d: DataFrame, facts: DataFrame, trials: DataFrame | None) -> DataFrame:
+    """Positions that only signals open and close."""
+    c, keys = F.col, ("symbol",)
+    acts = d.where("action IS NOT NULL").join(facts, "symbol").where(c("rn") < c("_n"))
+    if trials is not None:
+        keys = ("trial_id", "symbol")
+        acts = acts.join(F.broadcast(trials), c("volume") >= c("min_volume"))  # one row a trial
+    return open_positions(acts.select(*keys, (c("rn") + 1).alias("rn"), "action"), keys)
+
+
 def _records(t: DataFrame, keys: tuple[str, ...], value: Column, config: BacktestConfig) -> DataFrame:
     """Trade records from priced positions with ``_balance`` and ``_factor``; ``value`` is what a trade puts in."""
     c = F.col
     return t.select(
         F.concat(F.lit("bt-"), c("trade").cast("string")).alias("id"), *keys, "trade", "side", "entry_rn", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", (value / c("entry_price")).alias("quantity"), (value * c("_net")).alias("profit"),
-        (c("_net") * 100 * config.leverage).alias("profit_pct"), (c("exit_rn") - c("entry_rn")).alias("duration_candles"), F.lit("Signal").alias("exit_reason"), F.lit(config.leverage).alias("leverage"), (value * (c("_fee_rate") + c("_move") * c("_fee_rate") + c("_funding"))).alias("fee"),
+        (c("_net") * 100 * config.leverage).alias("profit_pct"), (c("exit_rn") - c("entry_rn")).alias("duration_candles"), (F.coalesce("exit_reason", F.lit("Signal")) if "exit_reason" in t.columns else F.lit("Signal")).alias("exit_reason"), F.lit(config.leverage).alias("leverage"), (value * (c("_fee_rate") + c("_move") * c("_fee_rate") + c("_funding"))).alias("fee"),
         c("_balance").alias("balance_before"), (c("_balance") * c("_factor")).alias("balance_after"), c("_every").alias("funding_every"),
     )
 
 
-def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None) -> DataFrame:
-    """Trades from numbered candles with ``action``; a position still open is closed at the last bar."""
+def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None, rules: Callbacks | None = None) -> DataFrame:
+    """Trades from numbered candles with ``action``; a position still open is closed at the last bar.
+
+    With ``rules`` a strategy's callbacks refuse entries and end positions.
+    """
     c, keys = F.col, ("symbol",) if trials is None else ("trial_id", "symbol")
+    positions = None
+    if rules is not None:
+        d = cut(d.select("symbol", "rn", "open_time", "close", "action", "confidence", *([rules.trend] if rules.reversal else [])))
+        positions = callback_positions(d, rules).withColumn("exit_reason", F.coalesce("exit_reason", F.lit("ForceExit")))
+        config = replace(config, size=config.size if rules.size is None else rules.size)
     share = c("_size") * config.leverage
-    t = cut(priced_positions(d, config, trials).withColumn("_factor", 1 - share * c("_fee_rate") - share * c("_funding") + share * c("_net")))
+    t = cut(priced_positions(d, config, trials, positions).withColumn("_factor", 1 - share * c("_fee_rate") - share * c("_funding") + share * c("_net")))
     t = running(t.withColumn("rn", c("trade")), {"_all": ("product", c("_factor"))}, keys).withColumn("_balance", c("_all") / c("_factor") * config.initial_balance)
     return _records(t, keys, c("_balance") * share, config)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,25 @@ class Strategy(ABC):
         return f"{self.name}_action", f"{self.name}_confidence"
 
 
+@dataclass(frozen=True)
+class Callbacks:
+    """What a strategy says about a position of its own, besides its signals.
+
+    Entries below ``min_confidence`` are refused. ``stops`` has (bars held, loss)
+    from which a loss ends the position, ``roi`` (minutes held, gain). ``reversal``
+    has for values of the column ``trend`` the side that they end. ``size`` is the
+    share of the balance that is put in, null for the backtest's.
+    """
+
+    min_confidence: float = 0.0
+    stops: Sequence[tuple[int, float]] = ()
+    roi: Sequence[tuple[int, float]] = ()
+    reversal: Mapping[str, str] | None = None
+    trend: str = "trend"
+    reversal_reason: str = "reversal"
+    size: float | None = None
+
+
 def _put(d: DataFrame, s: Strategy, action: Column, confidence: Column, least: float) -> DataFrame:
     a, c = s.columns()
     fine = action.isNotNull() & (confidence >= least)
@@ -62,7 +81,10 @@ class CvdMomentum(Strategy):
         return F.when(pnl_pct < -0.03, size * 0.5)
 
     def stop(self, bars_held: Column) -> Column:
-        return F.when(bars_held >= self.late_after, self.late_stop_pct).otherwise(self.stop_pct)
+        return F.when(bars_held > self.late_after, self.late_stop_pct).otherwise(self.stop_pct)
+
+    def callbacks(self) -> Callbacks:
+        return Callbacks(self.min_confidence, ((0, self.stop_pct), (self.late_after + 1, self.late_stop_pct)), self.roi, {"BEARISH": "BUY", "BULLISH": "SELL"}, "cvd_trend", "cvd_reversal", self.size)
 
 
 @dataclass

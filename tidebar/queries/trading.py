@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -9,6 +11,7 @@ from ..operators import series
 from ..plans import learning as E
 from ..plans import risk as R
 from ..plans import simulation as B
+from ..plans import strategies as X
 from ..plans import trials as T
 from ..sinks import output as O
 from ..sources import market as M
@@ -74,6 +77,34 @@ query(
 )
 
 
+def _voted(s, d):
+    """Bars with the action of a change of trend and its confidence."""
+    return _acted(s, d).withColumn("confidence", F.least(F.abs("cvd_total") / 15, F.lit(1.0)))
+
+
+RULES = replace(X.CvdMomentum().callbacks(), stops=((0, 0.5), (3, 0.3)), roi=((0, 1.0), (60, 0.6), (180, 0.2)))
+CALLED = f"""WITH RECURSIVE {sql.SERIES}, {Q.CVD}, ln AS (SELECT symbol, max(rn) AS n FROM s GROUP BY symbol), fe AS (SELECT symbol, greatest(28800000 // greatest(max(CASE WHEN rn = 2 THEN open_time END) - min(open_time), 1), 1) AS ev FROM s GROUP BY symbol),
+bb AS MATERIALIZED (SELECT act.symbol, act.rn, act.open_time, act.close, trend, action, least(abs(total) / 15, 1) AS conf, lead(act.close) OVER w AS nc, lead(act.open_time) OVER w AS nt FROM act WINDOW w AS (PARTITION BY act.symbol ORDER BY act.rn)),
+st AS (SELECT symbol, 0::BIGINT AS rn, 0 AS pos, 0.0::DOUBLE AS ep, 0::BIGINT AS er, 0::BIGINT AS et, NULL::VARCHAR AS why, 0::BIGINT AS was FROM ln UNION ALL
+  SELECT symbol, rn, CASE WHEN k IS NOT NULL THEN 0 WHEN opens THEN CASE WHEN action = 'EnterLong' THEN 1 ELSE -1 END ELSE pos END, CASE WHEN opens THEN nc ELSE ep END, CASE WHEN opens THEN rn + 1 ELSE er END, CASE WHEN opens THEN nt ELSE et END, k, er FROM (
+    SELECT b.*, st.pos, st.ep, st.er, st.et, st.pos = 0 AND b.action IN ('EnterLong', 'EnterShort') AND b.conf >= 0.6 AND b.nc IS NOT NULL AS opens,
+      CASE WHEN st.pos = 0 OR b.nc IS NULL THEN NULL WHEN st.pos * b.close <= st.pos * st.ep * (1 - st.pos * CASE WHEN b.rn - st.er >= 3 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END) THEN 'StopLoss'
+        WHEN st.pos * b.close >= st.pos * st.ep * (1 + st.pos * 1.0::DOUBLE) OR (b.open_time - st.et >= 3600000 AND st.pos * b.close >= st.pos * st.ep * (1 + st.pos * 0.6::DOUBLE)) OR (b.open_time - st.et >= 10800000 AND st.pos * b.close >= st.pos * st.ep * (1 + st.pos * 0.2::DOUBLE)) THEN 'Roi'
+        WHEN b.trend = CASE WHEN st.pos = 1 THEN 'BEARISH' ELSE 'BULLISH' END THEN 'cvd_reversal' WHEN b.action = CASE WHEN st.pos = 1 THEN 'ExitLong' ELSE 'ExitShort' END THEN 'Signal' END AS k
+    FROM st JOIN bb b ON b.symbol = st.symbol AND b.rn = st.rn + 1)),
+cl AS (SELECT symbol, was AS er, rn + 1 AS xr, why FROM st WHERE why IS NOT NULL),
+op AS (SELECT DISTINCT symbol, er, pos FROM st WHERE pos <> 0),
+tr AS (SELECT op.symbol, op.er AS entry_rn, pos, coalesce(xr, n) AS exit_rn, coalesce(why, 'ForceExit') AS why, row_number() OVER (PARTITION BY op.symbol ORDER BY op.er) AS trade FROM op JOIN ln USING (symbol) LEFT JOIN cl ON cl.symbol = op.symbol AND cl.er = op.er),
+tm AS (SELECT tr.*, a.close AS ep, b.close AS xp, b.close / a.close AS mv, (exit_rn - entry_rn) // ev * 0.0001::DOUBLE AS fu FROM tr JOIN s a ON a.symbol = tr.symbol AND a.rn = entry_rn JOIN s b ON b.symbol = tr.symbol AND b.rn = exit_rn JOIN fe ON fe.symbol = tr.symbol),
+tn AS (SELECT *, pos * (mv - 1) - mv * 0.0004::DOUBLE - fu AS net FROM tm), tf AS (SELECT *, 1 - 0.05::DOUBLE * 0.0004::DOUBLE - 0.05::DOUBLE * fu + 0.05::DOUBLE * net AS fc FROM tn),
+tb AS (SELECT *, 10000.0::DOUBLE * coalesce(product(fc) OVER (PARTITION BY symbol ORDER BY trade ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS bal FROM tf)"""
+query(
+    "backtest_callbacks",
+    lambda s, d: _round(B.backtest(_voted(s, d), rules=RULES), "profit", "balance_after").select("symbol", "trade", "side", "entry_rn", "exit_rn", "exit_reason", "entry_price", "exit_price", "profit", "balance_after"),
+    f"{CALLED} SELECT symbol, trade, CASE WHEN pos = 1 THEN 'BUY' ELSE 'SELL' END AS side, entry_rn, exit_rn, why AS exit_reason, ep AS entry_price, xp AS exit_price, round(bal * 0.05::DOUBLE * net, 6) AS profit, round(bal * fc, 6) AS balance_after FROM tb",
+)
+
+
 def _trials(s):
     """Twelve trials: every combination of three fees, two sizes and two least volumes, numbered in order."""
     from itertools import product
