@@ -305,3 +305,25 @@ def _events(s, d):
 
 query("streamed_bars", lambda s, d: Y.drain(Y.bars(_events(s, d), A.M15, tie="event_id"), "bars").withColumn("quote_volume", F.round("quote_volume", 2)), f"WITH {sql.CANDLES} SELECT {BARS} FROM candles WHERE close_time < (SELECT max(timestamp) FROM ticks)")
 query("streamed_positions", lambda s, d: Y.drain(Y.positions(_events(s, d).select("symbol", F.col("event_id").alias("seq"), "side", "quantity", "price")), "positions").select("symbol", "seq", "quantity"), SQL["position_quantities"])
+BUF = "(PARTITION BY symbol ORDER BY rn ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)"
+query(
+    "streamed_signals",
+    lambda s, d: _round(Y.drain(Y.sliding(Y.bars(_events(s, d), A.M15, tie="event_id"), Y.cvd_signal(), "action string, confidence double, vwap double"), "signals"), "confidence", "vwap"),
+    f"""WITH {sql.SERIES}, {Q.CVD}, vw AS (SELECT symbol, rn, sum((high + low + close) / 3 * volume) OVER {BUF} / sum(volume) OVER {BUF} AS vwap FROM s)
+SELECT cvd.symbol, close_time, CASE trend WHEN 'BULLISH' THEN 'EnterLong' ELSE 'EnterShort' END AS action, round(least(abs(total) / 15, 1), 6) AS confidence, round(vwap, 6) AS vwap FROM cvd JOIN vw ON vw.symbol = cvd.symbol AND vw.rn = cvd.rn WHERE trend <> 'NEUTRAL' AND least(abs(total) / 15, 1) >= 0.6 AND close_time < (SELECT max(timestamp) FROM ticks)""",
+)
+#: Every seventh tick tells a time half an hour before that of its arrival.
+_late = lambda t: t.withColumn("timestamp", F.when(F.col("event_id") % 7 == 3, F.col("timestamp") - 1_800_000).otherwise(F.col("timestamp")))
+LATE = f"{sql.TICKS}, lt AS (SELECT * REPLACE (CASE WHEN event_id % 7 = 3 THEN timestamp - 1800000 ELSE timestamp END AS timestamp) FROM ticks), lr AS (SELECT *, max(timestamp // {A.M15}) OVER (PARTITION BY symbol ORDER BY event_id) AS bar FROM lt)"
+query(
+    "streamed_bars_compat",
+    lambda s, d: Y.drain(Y.bars_by_arrival(_late(_events(s, d)), A.M15, "event_id"), "bars-compat").withColumn("quote_volume", F.round("quote_volume", 2)),
+    f"""WITH {LATE} SELECT symbol, CAST(bar * {A.M15} AS BIGINT) AS open_time, CAST(bar * {A.M15} + {A.M15 - 1} AS BIGINT) AS close_time, arg_min(price, event_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, event_id) AS close, sum(quantity) AS volume, round(sum(price * quantity), 2) AS quote_volume, count(*) AS trades,
+  sum(CASE WHEN side = 'BUY' THEN quantity ELSE 0.0::DOUBLE END) AS taker_buy_volume, sum(CASE WHEN side = 'SELL' THEN quantity ELSE 0.0::DOUBLE END) AS taker_sell_volume FROM lr WHERE bar < (SELECT max(m.bar) FROM lr m WHERE m.symbol = lr.symbol) GROUP BY symbol, bar""",
+)
+query("streamed_cooldown", lambda s, d: Y.drain(Y.orders(_events(s, d).withColumn("is_signal", F.lit(True)), 3_600_000, "event_id"), "cooldown").select("symbol", "timestamp"), SQL["notification_cooldown"])
+query(
+    "streamed_orders",
+    lambda s, d: Y.drain(Y.orders(_events(s, d).withColumn("is_signal", F.col("side") == "BUY"), 3_600_000, "event_id"), "orders"),
+    f"WITH RECURSIVE {sql.TICKS}, sg AS (SELECT * FROM ticks WHERE side = 'BUY'), c AS (SELECT symbol, min(event_id) AS e FROM sg GROUP BY symbol UNION ALL SELECT c.symbol, (SELECT min(t.event_id) FROM sg t WHERE t.symbol = c.symbol AND t.timestamp >= p.timestamp + 3600000) FROM c JOIN ticks p ON p.event_id = c.e WHERE c.e IS NOT NULL) SELECT c.symbol, g.timestamp, f.price FROM c JOIN sg g ON g.event_id = c.e ASOF LEFT JOIN (SELECT symbol, event_id, price FROM ticks WHERE side = 'SELL') f ON f.symbol = c.symbol AND c.e > f.event_id",
+)
