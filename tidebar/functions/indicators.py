@@ -123,16 +123,19 @@ def cvd(d: DataFrame, window: int = 15) -> DataFrame:
     return d.withColumn("cvd_trend", trend).drop("_d", "_h")
 
 
-def trend_changes(d: DataFrame) -> DataFrame:
-    """The trend of the row before, and the action of a change of trend."""
-    d = previous(d, "cvd_trend", "previous_trend")
-    now, before = F.col("cvd_trend"), F.col("previous_trend")
+def change_action(now: Column, before: Column) -> Column:
+    """The action of a change from one trend to another: into a trend to enter, out of it to leave."""
     changed = now.isNotNull() & ~now.eqNullSafe(before)
-    action = (
+    return (
         F.when(~changed, None).when(now == "BULLISH", "EnterLong").when(now == "BEARISH", "EnterShort")
         .when(before == "BULLISH", "ExitLong").when(before == "BEARISH", "ExitShort")
     )
-    return d.withColumn("action", action)
+
+
+def trend_changes(d: DataFrame) -> DataFrame:
+    """The trend of the row before, and the action of a change of trend."""
+    d = previous(d, "cvd_trend", "previous_trend")
+    return d.withColumn("action", change_action(F.col("cvd_trend"), F.col("previous_trend")))
 
 
 def or_zero(value: str) -> Column:

@@ -131,6 +131,17 @@ def random_grid(spark: SparkSession, ranges: dict[str, tuple[float, float] | Seq
 LOSSES: dict[str, Callable[[], Column]] = {"sharpe": lambda: -F.col("sharpe_ratio"), "sortino": lambda: -F.col("sharpe_ratio"), "profit": lambda: -F.col("total_profit"), "win_rate": lambda: -F.col("win_rate"), "drawdown": lambda: F.col("max_drawdown")}
 
 
+#: Larger is better (fixed names).
+OBJECTIVES = {"TotalReturn": "total_profit", "SharpeRatio": "sharpe_ratio", "ProfitFactor": "profit_factor", "WinRate": "win_rate"}
+
+
+def objective(name: str) -> Column:
+    """What a named objective asks for; an unknown name is an error."""
+    if name not in OBJECTIVES:
+        raise ValueError(f"unknown objective: {name}")
+    return F.col(OBJECTIVES[name])
+
+
 def rank_trials(trials: DataFrame, loss: str, best: int | None = None) -> DataFrame:
     d = trials.withColumn("loss", LOSSES[loss]()).orderBy("loss", "trial_id")
     return d.limit(best) if best else d
@@ -173,6 +184,27 @@ def prioritized_sample(d: DataFrame, draws: int, seed: int, alpha: float = 0.6,
     return asof_join(points, starts.select("_all", "_from", *keep), "at", "_from", keys=("_all",), name="row").select("draw", *(f"row.{c}" for c in keep))
 
 
+def replay_ring(d: DataFrame, capacity: int, order: str = "step", ties: Sequence[str] = ()) -> DataFrame:
+    """What a ring of ``capacity`` places holds after all rows were pushed in order: ``slot`` is the place, the oldest rows are gone."""
+    x = number_rows(d.select("*", F.lit("").alias("_all")), order, ["_all"], ties, span=4096)
+    n = x.agg(F.max("rn")).first()[0] or 0
+    return x.where(F.col("rn") > n - capacity).withColumn("slot", (F.col("rn") - 1) % capacity).drop("_all", "rn")
+
+
+def replay_uniform(ring: DataFrame, draws: int, seed: int) -> DataFrame:
+    """A batch of at most ``draws`` rows of a ring, drawn with replacement; one driver row a draw."""
+    n = ring.count()
+    numbers = lcg(seed)
+    points = ring.sparkSession.createDataFrame([(i, int(next(numbers) * n) % n) for i in range(min(draws, n))], "draw long, slot long")
+    return points.join(ring, "slot")
+
+
+def replay_updated(ring: DataFrame, updates: DataFrame) -> DataFrame:
+    """The ring with the priorities that ``updates`` (version, slot, priority) give last; places that it doesn't have are left out."""
+    last = updates.groupBy("slot").agg(F.max_by("priority", "version").alias("_new"))
+    return ring.join(last, "slot", "left").withColumn("priority", F.coalesce("_new", "priority")).drop("_new")
+
+
 def fit_softmax(d: DataFrame, features: Sequence[str], label: str = "label", rate: float = 0.1, epochs: int = 20) -> tuple[list[list[float]], DataFrame]:
     """Weights of a linear model by gradients over the whole table: one aggregation an epoch, whose result is one number a weight.
 

@@ -111,7 +111,7 @@ def callback_positions(d: DataFrame, rules: Callbacks, keys: tuple[str, ...] = (
     return t.select(*keys, c("rn").alias("trade"), "side", (c("_seen") + 1).alias("entry_rn"), "exit_rn", "exit_reason")
 
 
-def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
+def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None, positions: DataFrame | None = None, acts: DataFrame | None = None) -> DataFrame:
     """Trades with entry and exit bar, and their result in shares of the entry value: ``_net``, ``_funding``, ``_fee_rate``, ``_size``.
 
     ``trials`` is a small table with trial_id, fee_rate, size and min_volume (an
@@ -121,7 +121,7 @@ def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), tr
     facts = d.groupBy("symbol").agg(F.max("rn").alias("_n"), (F.max(F.when(c("rn") == 2, c("open_time"))) - F.min("open_time")).alias("_step"))
     facts = facts.select("symbol", "_n", F.greatest(F.floor(EIGHT_HOURS / F.greatest(F.coalesce("_step", F.lit(900_000)), F.lit(1))), F.lit(1)).alias("_every"))
     if positions is None:
-        positions = _signalled(d, facts, trials)
+        positions = _signalled(d, facts, trials, acts)
     t = positions.join(facts, "symbol").withColumn("exit_rn", F.coalesce("exit_rn", "_n"))
     if trials is not None:
         t = t.join(F.broadcast(trials.select("trial_id", c("fee_rate").alias("_fee_rate"), c("size").alias("_size"))), "trial_id")
@@ -135,13 +135,14 @@ def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), tr
     return t.withColumns({"_move": move, "_funding": funding, "_net": gain - move * c("_fee_rate") - funding})
 
 
-def _signalled(d: DataFrame, facts: DataFrame, trials: DataFrame | None) -> DataFrame:
-    """Positions that only signals open and close."""
+def _signalled(d: DataFrame, facts: DataFrame, trials: DataFrame | None, acts: DataFrame | None = None) -> DataFrame:
+    """Positions that only signals open and close; ``acts`` has those of each trial, else all trials share those of ``d``."""
     c, keys = F.col, ("symbol",)
-    acts = d.where("action IS NOT NULL").join(facts, "symbol").where(c("rn") < c("_n"))
+    own = acts is not None
+    acts = (acts if own else d.where("action IS NOT NULL")).join(facts, "symbol").where(c("rn") < c("_n"))
     if trials is not None:
         keys = ("trial_id", "symbol")
-        acts = acts.join(F.broadcast(trials), c("volume") >= c("min_volume"))  # one row a trial
+        acts = acts.join(F.broadcast(trials), "trial_id").where(c("volume") >= c("min_volume")) if own else acts.join(F.broadcast(trials), c("volume") >= c("min_volume"))  # one row a trial
     return open_positions(acts.select(*keys, (c("rn") + 1).alias("rn"), "action"), keys)
 
 
@@ -155,7 +156,7 @@ def _records(t: DataFrame, keys: tuple[str, ...], value: Column, config: Backtes
     )
 
 
-def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None, rules: Callbacks | None = None) -> DataFrame:
+def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: DataFrame | None = None, rules: Callbacks | None = None, acts: DataFrame | None = None) -> DataFrame:
     """Trades from numbered candles with ``action``; a position still open is closed at the last bar.
 
     With ``rules`` a strategy's callbacks refuse entries and end positions.
@@ -167,7 +168,7 @@ def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: Da
         positions = callback_positions(d, rules).withColumn("exit_reason", F.coalesce("exit_reason", F.lit("ForceExit")))
         config = replace(config, size=config.size if rules.size is None else rules.size)
     share = c("_size") * config.leverage
-    t = cut(priced_positions(d, config, trials, positions).withColumn("_factor", 1 - share * c("_fee_rate") - share * c("_funding") + share * c("_net")))
+    t = cut(priced_positions(d, config, trials, positions, acts).withColumn("_factor", 1 - share * c("_fee_rate") - share * c("_funding") + share * c("_net")))
     t = running(t.withColumn("rn", c("trade")), {"_all": ("product", c("_factor"))}, keys).withColumn("_balance", c("_all") / c("_factor") * config.initial_balance)
     return _records(t, keys, c("_balance") * share, config)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import series
 from ..plans import learning as E
+from ..plans import models as V
 from ..plans import risk as R
 from ..plans import simulation as B
 from ..plans import strategies as X
@@ -128,7 +130,7 @@ tt AS (SELECT trial_id, CAST(sum(n) AS BIGINT) AS total_trades, sum(w) * 1.0::DO
 te AS (SELECT trial_id, avg(net * 100) / stddev_samp(net * 100) AS sharpe FROM tn GROUP BY trial_id),
 tz AS (SELECT tp.trial_id, fee AS fee_rate, size, least AS min_volume, coalesce(total_trades, 0) AS total_trades, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(total_profit, 0), 4) AS total_profit, round(coalesce(max_drawdown, 0), 6) AS max_drawdown, round(coalesce(sharpe, 0), 6) AS sharpe_ratio FROM tp LEFT JOIN tt USING (trial_id) LEFT JOIN te USING (trial_id))"""
 _ranked = lambda d: _round(_round(d, "total_profit", digits=4), "win_rate", "max_drawdown", "sharpe_ratio")
-query("optimize_trials", lambda s, d: _ranked(T.run_trials(_acted(s, d), _trials(s))), f"{TRIALS} SELECT * FROM tz")
+query("optimize_trials", lambda s, d: _ranked(T.run_trials(_acted(s, d), _trials(s))).drop("profit_factor"), f"{TRIALS} SELECT * FROM tz")
 query("hyperopt_best", lambda s, d: _ranked(T.optimize(_acted(s, d), _trials(s), "drawdown", 3)).select("trial_id", "total_trades", "max_drawdown"), f"{TRIALS} SELECT trial_id, total_trades, max_drawdown FROM (SELECT tz.*, down FROM tz LEFT JOIN (SELECT trial_id, max_drawdown AS down FROM tt) USING (trial_id)) ORDER BY coalesce(down, 0), trial_id LIMIT 3")
 YEAR = 35_064.0
 query(
@@ -216,12 +218,46 @@ def _steps(s, d):
 BACK = "bw AS (SELECT symbol, rn, row_number() OVER (PARTITION BY symbol, ep ORDER BY rn DESC) AS b, ep, reward, value FROM (SELECT symbol, rn, close / 3 AS reward, volume / 10 AS value, (rn - 1) // 50 AS ep FROM s))"
 query("discounted_returns", lambda s, d: _round(E.discounted_returns(_steps(s, d), 0.99, ("symbol",), done="done").select("symbol", "step", F.col("return").alias("discounted")), "discounted"), f"WITH RECURSIVE {sql.SERIES}, {BACK}, rr AS (SELECT symbol, ep, rn, b, reward AS y FROM bw WHERE b = 1 UNION ALL SELECT w.symbol, w.ep, w.rn, w.b, w.reward + 0.99::DOUBLE * rr.y FROM rr JOIN bw w ON w.symbol = rr.symbol AND w.ep = rr.ep AND w.b = rr.b + 1) SELECT symbol, rn AS step, round(y, 6) AS discounted FROM rr")
 query("advantages", lambda s, d: _round(E.advantages(_steps(s, d), keys=("symbol",)).select("symbol", "step", "advantage"), "advantage"), f"WITH RECURSIVE {sql.SERIES}, {BACK}, dl AS (SELECT *, reward + 0.99::DOUBLE * coalesce(lag(value) OVER (PARTITION BY symbol, ep ORDER BY b), 0) - value AS de FROM bw), rr AS (SELECT symbol, ep, rn, b, de AS y FROM dl WHERE b = 1 UNION ALL SELECT w.symbol, w.ep, w.rn, w.b, w.de + 0.99::DOUBLE * 0.95::DOUBLE * rr.y FROM rr JOIN dl w ON w.symbol = rr.symbol AND w.ep = rr.ep AND w.b = rr.b + 1) SELECT symbol, rn AS step, round(y, 6) AS advantage FROM rr")
-query("param_grid", lambda s, d: E.grid(s, {"fee": E.spread(0.0, 0.002, 5), "hold": E.spread(10, 50, 5), "bonus": E.spread(0.0, 1.0, 3)}), "SELECT f * 0.002::DOUBLE / 4 AS fee, 10 + 40.0::DOUBLE * h / 4 AS hold, b / 2.0::DOUBLE AS bonus FROM range(5) a(f), range(5) c(h), range(3) e(b)")
+
+def _volumes(s, d):
+    """Least and largest volume of a bar."""
+    return tuple(A.candles(s, d).agg(F.min("volume"), F.max("volume")).first())
+
+
+VOLUMES = f"{sql.CANDLES}, vr AS (SELECT min(volume) AS lo, max(volume) AS hi FROM candles)"
+
+
+def _space(s, d):
+    """A grid over windows, confidences and least volumes, which are spread over those of the bars; numbered in order."""
+    g = E.grid(s, {"window": (10, 15, 20), "min_confidence": (0.3, 0.6), "min_volume": E.spread(*_volumes(s, d), 3)})
+    return g.withColumn("trial_id", (F.row_number().over(W.orderBy("window", "min_confidence", "min_volume")) - 1).cast("long"))
+
+
+query("param_grid", lambda s, d: _space(s, d), f"""WITH {VOLUMES} SELECT row_number() OVER (ORDER BY win, mc, least) - 1 AS trial_id, win::DOUBLE AS "window", mc AS min_confidence, least AS min_volume FROM (SELECT unnest([10, 15, 20]) AS win), (SELECT unnest([0.3::DOUBLE, 0.6::DOUBLE]) AS mc), (SELECT lo + (hi - lo) * i / 2 AS least FROM vr, range(3) t(i))""")
 query(
     "random_trials",
-    lambda s, d: E.random_grid(s, {"fee": (0.0, 0.01), "window": (10, 50)}, 20),
-    """WITH RECURSIVE l AS (SELECT 0 AS i, 43::HUGEINT AS st UNION ALL SELECT i + 1, (st * 6364136223846793005::HUGEINT + 1) % 18446744073709551616::HUGEINT FROM l WHERE i < 40), u AS (SELECT (i - 1) // 2 AS t, (i - 1) % 2 AS k, CAST(st // 2048 AS DOUBLE) / 9007199254740992.0::DOUBLE AS x FROM l WHERE i > 0)
-SELECT CAST(a.t AS BIGINT) AS trial_id, 0.01::DOUBLE * a.x AS fee, 10 + 40.0::DOUBLE * b.x AS "window" FROM u a JOIN u b ON a.t = b.t AND a.k = 0 AND b.k = 1""",
+    lambda s, d: E.random_grid(s, {"min_volume": _volumes(s, d), "window": (10, 50)}, 20),
+    f"""WITH RECURSIVE {VOLUMES}, l AS (SELECT 0 AS i, 43::HUGEINT AS st UNION ALL SELECT i + 1, (st * 6364136223846793005::HUGEINT + 1) % 18446744073709551616::HUGEINT FROM l WHERE i < 40), u AS (SELECT (i - 1) // 2 AS t, (i - 1) % 2 AS k, CAST(st // 2048 AS DOUBLE) / 9007199254740992.0::DOUBLE AS x FROM l WHERE i > 0)
+SELECT CAST(a.t AS BIGINT) AS trial_id, lo + (hi - lo) * a.x AS min_volume, 10 + 40.0::DOUBLE * b.x AS "window" FROM vr, u a JOIN u b ON a.t = b.t AND a.k = 0 AND b.k = 1""",
+)
+
+
+def _window_sql(n: int) -> str:
+    frame = lambda k: f"(PARTITION BY symbol ORDER BY rn ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return f"SELECT symbol, rn, volume, {n} AS win, CASE WHEN rn >= {n} THEN sum(delta) OVER {frame(n)} END AS total, sum(delta) OVER {frame(n - 1 - n // 2)} AS half FROM s"
+
+
+# As the trials above, with signals of each window and trials from the grid.
+_from, _to = TRIALS.index("tp AS ("), TRIALS.index("st AS (SELECT trial_id")
+SEARCH = f"""{TRIALS[:_from]}vr AS (SELECT min(volume) AS lo, max(volume) AS hi FROM candles), tp AS (SELECT row_number() OVER (ORDER BY win, mc, least) - 1 AS trial_id, 0.0004::DOUBLE AS fee, 0.1::DOUBLE AS size, least, win, mc FROM (SELECT unnest([10, 15, 20]) AS win), (SELECT unnest([0.3::DOUBLE, 0.6::DOUBLE]) AS mc), (SELECT lo + (hi - lo) * i / 2 AS least FROM vr, range(3) t(i))),
+w1 AS ({" UNION ALL ".join(_window_sql(n) for n in (10, 15, 20))}), w2 AS (SELECT *, least(abs(total) / win, 1) AS conf, CASE WHEN total > 0 AND half > 0 THEN 'BULLISH' WHEN total < 0 AND half < 0 THEN 'BEARISH' WHEN total IS NOT NULL THEN 'NEUTRAL' END AS now FROM w1), w3 AS (SELECT *, lag(now) OVER (PARTITION BY symbol, win ORDER BY rn) AS was FROM w2),
+w4 AS (SELECT *, CASE WHEN now IS NULL OR now IS NOT DISTINCT FROM was THEN NULL WHEN now = 'BULLISH' THEN 'EnterLong' WHEN now = 'BEARISH' THEN 'EnterShort' WHEN was = 'BULLISH' THEN 'ExitLong' WHEN was = 'BEARISH' THEN 'ExitShort' END AS action FROM w3),
+sg AS (SELECT trial_id, w4.symbol, rn + 1 AS rn, action, row_number() OVER (PARTITION BY trial_id, w4.symbol ORDER BY rn) AS k FROM w4 JOIN ln USING (symbol) JOIN tp ON tp.win = w4.win AND volume >= least WHERE action IS NOT NULL AND rn < n AND (conf >= mc OR action LIKE 'Exit%')),
+{TRIALS[_to:]}"""
+query(
+    "optimize_strategy",
+    lambda s, d: _ranked(T.optimize_strategy(series.number_rows(A.candles(s, d)), _space(s, d), "TotalReturn")).select("trial_id", "window", "min_confidence", "min_volume", "total_trades", "win_rate", "total_profit", "max_drawdown", "sharpe_ratio"),
+    f'{SEARCH} SELECT tz.trial_id, tp.win AS "window", mc AS min_confidence, min_volume, total_trades, win_rate, total_profit, max_drawdown, sharpe_ratio FROM tz JOIN tp USING (trial_id)',
 )
 
 
@@ -251,6 +287,56 @@ dr(draw, pt) AS (VALUES {", ".join(f"({i}::BIGINT, {int(next(_draws) * (1 << 40)
 )
 
 
+CAPACITY = 500
+_ring = lambda s, d: E.replay_ring(_steps(s, d).select("symbol", "step", "value", F.col("reward").alias("priority")), CAPACITY, ties=("symbol",))
+RING = f"WITH {sql.SERIES}, rg AS (SELECT * EXCLUDE (r), (r - 1) % {CAPACITY} AS slot FROM (SELECT symbol, rn AS step, volume / 10 AS value, close / 3 AS priority, row_number() OVER (ORDER BY rn, symbol) AS r FROM s) QUALIFY r > count(*) OVER () - {CAPACITY})"
+_uniform = E.lcg(11)
+query(
+    "replay_uniform",
+    lambda s, d: E.replay_uniform(_ring(s, d), 64, 11).select("draw", "slot", "symbol", "step", "priority"),
+    f"""{RING}, dr(draw, u) AS (VALUES {", ".join(f"({i}::BIGINT, {next(_uniform)!r}::DOUBLE)" for i in range(64))}) SELECT draw, slot, symbol, step, priority FROM dr JOIN rg ON slot = CAST(floor(u * (SELECT count(*) FROM rg)) AS BIGINT)""",
+)
+
+
+def _renewed(s, d):
+    """The ring after two rounds of new priorities, for every third and then for every sixth place."""
+    ring = _ring(s, d).checkpoint()
+    third, sixth = F.col("slot") % 3 == 0, F.col("slot") % 6 == 0
+    updates = ring.where(third).select(F.lit(1).alias("version"), "slot", (F.col("priority") * 2).alias("priority")).unionByName(ring.where(sixth).select(F.lit(2).alias("version"), "slot", F.abs(F.col("priority") - F.col("value")).alias("priority")))
+    return E.prioritized_sample(E.replay_updated(ring, updates), 50, 5, order="slot")
+
+
+_renewal = E.lcg(5)
+_w = "pow(abs(priority) + 1e-6, 0.6::DOUBLE)"
+query(
+    "replay_updated",
+    lambda s, d: _renewed(s, d).select("draw", "slot", "symbol", "step", "priority"),
+    f"""{RING}, up AS (SELECT * REPLACE (CASE WHEN slot % 6 = 0 THEN abs(priority - value) WHEN slot % 3 = 0 THEN priority * 2 ELSE priority END AS priority) FROM rg), cu AS (SELECT *, sum({_w}) OVER (ORDER BY slot) AS upto FROM up), fr AS (SELECT *, ceil((upto - {_w}) / max(upto) OVER () * {1 << 40}) AS low FROM cu),
+dr(draw, pt) AS (VALUES {", ".join(f"({i}::BIGINT, {int(next(_renewal) * (1 << 40))}::DOUBLE)" for i in range(50))}) SELECT draw, slot, symbol, step, priority FROM dr ASOF JOIN fr ON dr.pt >= fr.low""",
+)
+EVERY, WINDOW, HORIZON = 50, 120, 3
+
+
+def _fresh(s, d):
+    from ..plans.features import labels
+
+    c = labels(A.candles(s, d), HORIZON).withColumns({"a": F.col("taker_buy_volume") / F.col("volume"), "b": (F.col("close") - F.col("open")) / F.col("open")}).checkpoint()
+    versions = V.retrained(c, ["a", "b"], every=EVERY, window=WINDOW, ahead=HORIZON)
+    return _round(V.predict_fresh(c, versions, ["a", "b"], 6.0, 3.0), "confidence").select("symbol", "open_time", "version", "age", "retrain", "action", "confidence")
+
+
+_at_zero = lambda a, x: f"0.1::DOUBLE / count(*) * sum((CASE WHEN y = {a} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 0.2::DOUBLE) * {x})"
+query(
+    "predict_if_fresh",
+    _fresh,
+    f"""WITH {sql.SERIES}, fx AS (SELECT symbol, rn, open_time, close_time, taker_buy_volume / volume AS a, (close - open) / open AS b, sign(lead(close, {HORIZON}) OVER (PARTITION BY symbol ORDER BY rn) - close) AS lb FROM s),
+tv AS (SELECT symbol, rn // {EVERY} AS version, rn AS seen, close_time AS trained_at FROM fx WHERE rn % {EVERY} = 0), tx AS (SELECT tv.symbol, version, trained_at, a, b, CASE WHEN lb > 0 THEN 1 WHEN lb < 0 THEN 3 ELSE 0 END AS y FROM tv JOIN fx ON fx.symbol = tv.symbol AND fx.rn + {HORIZON} <= seen AND fx.rn + {HORIZON} > seen - {WINDOW} WHERE lb IS NOT NULL),
+tw AS (SELECT symbol, version, trained_at, [{", ".join(f"[{_at_zero(i, 'a')}, {_at_zero(i, 'b')}]" for i in range(5))}] AS w FROM tx GROUP BY ALL),
+pf AS (SELECT fx.symbol, fx.open_time, version, fx.close_time - trained_at AS age, CASE WHEN fx.close_time - trained_at < 21600000 THEN list_transform(w, lambda v: v[1] * a + v[2] * b) END AS sc FROM fx ASOF LEFT JOIN tw ON tw.symbol = fx.symbol AND fx.close_time >= trained_at)
+SELECT symbol, open_time, version, age, coalesce(age >= 10800000, true) AS retrain, ['Neutral', 'EnterLong', 'ExitLong', 'EnterShort', 'ExitShort'][list_position(sc, list_max(sc))] AS action, round(1 / list_sum(list_transform(sc, lambda v: exp(v - list_max(sc)))), 6) AS confidence FROM pf""",
+)
+
+
 def _softmax(s, d):
     from ..plans.features import labels
 
