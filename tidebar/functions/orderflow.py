@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.series import frames, islands, running
+from ..operators.series import frames, islands, number_rows, running
 from .indicators import delta
 
 def index() -> Column:
@@ -82,18 +82,27 @@ def footprint(ticks: DataFrame, interval: int, tick_size: float) -> DataFrame:
     return d.withColumn("delta", F.col("ask_volume") - F.col("bid_volume"))
 
 
+#: Shares of volume are added up exactly, so that what begins and what ends cancel out.
+SHARE = "decimal(30,12)"
+
+
 def profile_levels(candles: DataFrame, tick_size: float, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Each bar's volume spread evenly over the levels it touches: touches and volume by level.
 
-    Levels are whole numbers of ticks. A bar's share goes to a level as a pair of
-    marks, where it begins and where it ends, so a bar with a wide range makes two
-    rows, not one a level, before the sums.
+    Levels are whole numbers of ticks. A bar gives two marks, its share where it
+    begins and the same taken away above where it ends, whatever its height; a
+    running sum over the marks has the profile, and only its own levels are made.
     """
-    low, high = F.floor(F.col("low") / tick_size), F.floor(F.col("high") / tick_size)
-    d = candles.where(F.lit(tick_size > 0)).select(*keys, low.cast("long").alias("lo"), high.cast("long").alias("hi"), "volume")
-    d = d.groupBy(*keys, "lo", "hi").agg(F.count("*").alias("n"), F.sum("volume").alias("v"))
-    d = d.select(*keys, F.explode(F.sequence("lo", "hi")).alias("level"), "n", (F.col("v") / (F.col("hi") - F.col("lo") + 1)).alias("v"))
-    return d.groupBy(*keys, "level").agg((F.col("level") * tick_size).alias("price"), F.sum("n").alias("tpo_count"), F.sum("v").alias("volume"))
+    c = F.col
+    low, high = F.floor(c("low") / tick_size).cast("long"), F.floor(c("high") / tick_size).cast("long")
+    d = candles.where(F.lit(tick_size > 0)).select(*keys, low.alias("lo"), high.alias("hi"), (c("volume") / (high - low + 1)).cast(SHARE).alias("v"))
+    mark = lambda level, sign: F.struct(level.alias("level"), F.lit(sign).alias("n"), (sign * c("v")).cast(SHARE).alias("v"))
+    marks = d.select(*keys, F.explode(F.array(mark(c("lo"), 1), mark(c("hi") + 1, -1))).alias("m"))
+    marks = marks.groupBy(*keys, "m.level").agg(F.sum("m.n").alias("_n"), F.sum("m.v").cast(SHARE).alias("_v"))
+    x = running(number_rows(marks, "level", keys, span=4096), {"n": ("sum", c("_n")), "v": ("sum", c("_v"))}, keys)
+    x = frames(x, lambda w: {"_next": F.lead("level").over(w)}, ahead=1, keys=keys).where("n > 0")
+    levels = x.select(*keys, F.explode(F.sequence("level", c("_next") - 1)).alias("level"), "n", "v")
+    return levels.select(*keys, "level", (c("level") * tick_size).alias("price"), c("n").alias("tpo_count"), c("v").cast("double").alias("volume"))
 
 
 def point_of_control(levels: DataFrame, keys: tuple[str, ...] = ("symbol",), digits: int = 9) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.asof import asof_join
 from ..operators.series import frames, number_rows, running
 from ..shared import cut
 
@@ -107,13 +108,15 @@ def equity_curve(trades: DataFrame, balance: float, keys: Sequence[str] = ()) ->
 
 
 def drawdown(curve: DataFrame, keys: Sequence[str] = (), order: str = "point") -> DataFrame:
-    """Peak so far, drawdown, in percent, and for how many points it has lasted since the last new peak."""
-    one = F.lit("").alias("_all")
+    """Peak so far, drawdown, in percent, and for how many points it has lasted since the last new peak.
+
+    The last point at the peak is the greatest pair of equity and place.
+    """
     by = [*keys, "_all"]
-    d = number_rows(curve.select("*", one), order, by, span=4096)
-    d = cut(running(d, {"peak": ("max", F.col("equity"))}, by).withColumn("drawdown", F.col("peak") - F.col("equity")))
-    d = running(d, {"_top": ("last", F.when(F.col("drawdown") == 0, F.col("rn")))}, by)
-    return d.withColumns({"drawdown_pct": ratio(F.col("drawdown"), F.col("peak")) * 100, "duration": F.when(F.col("drawdown") > 0, F.col("rn") - F.col("_top")).otherwise(0).cast("long")}).drop("_all", "rn", "_top")
+    d = number_rows(curve.select("*", F.lit("").alias("_all")), order, by, span=4096)
+    d = running(d, {"_top": ("max", F.struct(F.col("equity"), F.col("rn")))}, by)
+    d = d.withColumn("peak", F.col("_top.equity")).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    return d.withColumns({"drawdown_pct": ratio(F.col("drawdown"), F.col("peak")) * 100, "duration": F.when(F.col("drawdown") > 0, F.col("rn") - F.col("_top.rn")).otherwise(0).cast("long")}).drop("_all", "rn", "_top")
 
 
 def max_drawdown(curve: DataFrame, keys: Sequence[str] = (), order: str = "point") -> DataFrame:
@@ -167,10 +170,18 @@ def protections(trades: DataFrame, now: int, lookback: int, lock: int, max_stops
 
 
 def stoploss_guard_history(trades: DataFrame, lookback: int, max_stops: int) -> DataFrame:
-    """After each trade: stop-outs of its pair in the time before it, and whether the guard locks then."""
-    w = W.partitionBy("symbol").orderBy("exit_time").rangeBetween(-lookback + 1, 0)
-    d = trades.withColumn("stops", F.count_if(F.col("exit_reason") == "Stoploss").over(w))
-    return d.select("id", "symbol", "exit_time", "stops", (F.col("stops") >= max_stops).alias("locked"))
+    """After each trade: stop-outs of its pair in the time before it, and whether the guard locks then.
+
+    Stop-outs are counted from the start of the series; those of the time before
+    a trade are the count at its time less the count at the time ``lookback`` earlier.
+    """
+    c = F.col
+    stops = number_rows(trades.where(c("exit_reason") == "Stoploss").select("symbol", c("exit_time").alias("_time")), "_time")
+    stops = stops.groupBy("symbol", "_time").agg(F.max("rn").alias("_upto"))
+    d = asof_join(trades.select("id", "symbol", "exit_time"), stops, "exit_time", "_time", name="_now")
+    d = asof_join(d.withColumn("_from", c("exit_time") - lookback), stops, "_from", "_time", name="_earlier")
+    count = F.coalesce(c("_now._upto"), F.lit(0)) - F.coalesce(c("_earlier._upto"), F.lit(0))
+    return d.select("id", "symbol", "exit_time", count.cast("long").alias("stops"), (count >= max_stops).alias("locked"))
 
 
 def exposure(positions: DataFrame) -> DataFrame:

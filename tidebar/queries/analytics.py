@@ -114,4 +114,4 @@ def pairs(s, d):
 PAIRS = "pr AS (SELECT p_brand || '/' || p_partkey AS symbol, p_retailprice AS price, q.volume, p_size / 1000.0::DOUBLE AS spread, CASE WHEN p_partkey % 10 <> 0 THEN p_size / 50.0::DOUBLE END AS volatility FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS volume FROM lineitem GROUP BY 1) q ON l_partkey = p_partkey)"
 query("pairlist_static", lambda s, d: P.matching(pairs(s, d), ["^Brand#1", "[", "5$"]).select("symbol"), f"WITH {PAIRS} SELECT symbol FROM pr WHERE regexp_matches(symbol, '^Brand#1') OR regexp_matches(symbol, '5$')")
 query("pairlist_volume", lambda s, d: P.by_volume(pairs(s, d), 100.0, 50).select("symbol", "volume"), f"WITH {PAIRS} SELECT symbol, volume FROM pr WHERE volume >= 100 ORDER BY volume DESC, symbol LIMIT 50")
-query("pairlist_filters", lambda s, d: P.chain(P.between("price", 1000.0, 1500.0), P.at_most("spread", 0.03), P.between("volatility", 0.2, 0.8))(pairs(s, d)).select("symbol", "price"), f"WITH {PAIRS} SELECT symbol, price FROM pr WHERE price BETWEEN 1000 AND 1500 AND spread <= 0.03 AND volatility BETWEEN 0.2 AND 0.8")
+query("pairlist_filters", lambda s, d: P.chain(P.between("price", 905.0, 945.0), P.at_most("spread", 0.03), P.between("volatility", 0.2, 0.8))(pairs(s, d)).select("symbol", "price"), f"WITH {PAIRS} SELECT symbol, price FROM pr WHERE price BETWEEN 905 AND 945 AND spread <= 0.03 AND volatility BETWEEN 0.2 AND 0.8")

@@ -104,7 +104,14 @@ PROFILE = """lv AS (SELECT symbol, unnest(generate_series(CAST(floor(low / 10.0:
 _levels = lambda s, d: O.profile_levels(A.candles(s, d), 10.0)
 query("market_profile_levels", lambda s, d: _levels(s, d).select("symbol", "price", "tpo_count", *_r("volume")), f"WITH {sql.CANDLES}, {PROFILE} SELECT symbol, price, tpo_count, round(volume, 6) AS volume FROM pf")
 query("market_profile_poc", lambda s, d: O.point_of_control(_levels(s, d)).select("symbol", "poc", *_r("total_volume"), "levels"), f"WITH {sql.CANDLES}, {PROFILE} SELECT symbol, arg_max(price, round(volume, 9) * 1e6::DOUBLE + level / 1e6::DOUBLE) AS poc, round(sum(volume), 6) AS total_volume, count(*) AS levels FROM pf GROUP BY symbol")
-query("value_area", lambda s, d: O.value_area(_levels(s, d)).select("symbol", "poc", "vah", "val", *_r("total_volume")))
+query(
+    "value_area",
+    lambda s, d: O.value_area(_levels(s, d)).select("symbol", "poc", "vah", "val", *_r("total_volume")),
+    f"""WITH RECURSIVE {sql.CANDLES}, {PROFILE}, lw AS MATERIALIZED (SELECT symbol, price, round(volume, 9) AS v, row_number() OVER (PARTITION BY symbol ORDER BY level) AS i FROM pf), tw AS MATERIALIZED (SELECT symbol, sum(v) AS total, count(*) AS n, max(struct_pack(v := v, i := i)).i AS top FROM lw GROUP BY symbol),
+va AS (SELECT tw.symbol, top AS up, top AS low, v AS held FROM tw JOIN lw ON lw.symbol = tw.symbol AND lw.i = top UNION ALL
+  SELECT symbol, CASE WHEN above >= below THEN up + 1 ELSE up END, CASE WHEN above >= below THEN low ELSE low - 1 END, held + greatest(above, below) FROM (SELECT va.symbol, up, low, held, coalesce(a.v, -1) AS above, coalesce(b.v, -1) AS below FROM va JOIN tw ON tw.symbol = va.symbol LEFT JOIN lw a ON a.symbol = va.symbol AND a.i = up + 1 LEFT JOIN lw b ON b.symbol = va.symbol AND b.i = low - 1 WHERE held < total * 0.7::DOUBLE - 1e-9 AND (low > 1 OR up < n))),
+ve AS (SELECT symbol, max(up) AS up, min(low) AS low FROM va GROUP BY symbol) SELECT ve.symbol, p.price AS poc, h.price AS vah, l.price AS val, round(total, 6) AS total_volume FROM ve JOIN tw ON tw.symbol = ve.symbol JOIN lw p ON p.symbol = ve.symbol AND p.i = top JOIN lw h ON h.symbol = ve.symbol AND h.i = up JOIN lw l ON l.symbol = ve.symbol AND l.i = low""",
+)
 LIQ = f"{sql.TICKS}, q AS (SELECT symbol, round(price * 100) * quantity AS usd, side = 'SELL' AS is_long FROM ticks WHERE is_liquidation)"
 query("liquidation_summary", lambda s, d: L.summary(A.liquidations(s, d)), f"WITH {LIQ}, z AS (SELECT symbol, count(*) FILTER (is_long) AS long_count, count(*) FILTER (NOT is_long) AS short_count, coalesce(sum(usd) FILTER (is_long), 0.0::DOUBLE) AS long_value, coalesce(sum(usd) FILTER (NOT is_long), 0.0::DOUBLE) AS short_value FROM q GROUP BY symbol) SELECT *, CASE WHEN long_value > 2 * short_value THEN 'LONGS_LIQUIDATED' WHEN short_value > 2 * long_value THEN 'SHORTS_LIQUIDATED' ELSE 'BALANCED' END AS bias FROM z")
 query("liquidation_tiers", lambda s, d: L.by_tier(A.liquidations(s, d)), f"WITH {LIQ}, t(tier, lo, hi) AS (VALUES ('Small', 1000, 10000), ('Medium', 10000, 30000), ('Large', 30000, 100000), ('Massive', 100000, 1000000000000)), k AS (SELECT * FROM (SELECT DISTINCT symbol FROM q) CROSS JOIN t) SELECT k.symbol, tier, count(*) FILTER (is_long) AS long_count, count(*) FILTER (NOT is_long) AS short_count, coalesce(sum(usd) FILTER (is_long), 0.0::DOUBLE) AS long_value, coalesce(sum(usd) FILTER (NOT is_long), 0.0::DOUBLE) AS short_value FROM k LEFT JOIN q ON q.symbol = k.symbol AND usd >= lo AND usd < hi GROUP BY k.symbol, tier")
