@@ -6,7 +6,9 @@ the order of rows and are combined before the shuffle.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -151,22 +153,88 @@ def step_metrics(steps: DataFrame, per_year: float, keys: Sequence[str] = ("symb
     )
 
 
-def protections(trades: DataFrame, now: int, lookback: int, lock: int, max_stops: int = 3, max_drawdown_pct: float = 10.0, cooldown: int = 0, min_profit_pct: float = 0.0) -> DataFrame:
-    """Locks of pairs at one time: stop-loss guard, drawdown, cooldown, low profit, in this order; the first that holds wins.
+class Protection(ABC):
+    """A rule that locks a pair. ``lock`` gives a struct (reason, until), or null, from columns of a pair's trades:
+    ``stops``, ``pct`` (profits in percent, summed) and ``n`` of the time looked back on, and ``last``, its last exit."""
 
-    All times have one unit. The drawdown is the sum of the profits in percent.
-    """
+    @abstractmethod
+    def lock(self, now: int) -> Column: ...
+
+
+def _locked(when: Column, reason: str, until: Column) -> Column:
+    return F.when(when, F.struct(F.lit(reason).alias("reason"), until.cast("long").alias("until")))
+
+
+@dataclass(frozen=True)
+class StoplossGuard(Protection):
+    max_stops: int
+    duration: int
+
+    def lock(self, now: int) -> Column:
+        return _locked(F.col("stops") >= self.max_stops, "StoplossGuard", F.lit(now + self.duration))
+
+
+@dataclass(frozen=True)
+class MaxDrawdownProtection(Protection):
+    max_drawdown_pct: float
+    duration: int
+
+    def lock(self, now: int) -> Column:
+        return _locked((F.col("pct") < 0) & (F.abs("pct") >= self.max_drawdown_pct), "MaxDrawdownProtection", F.lit(now + self.duration))
+
+
+@dataclass(frozen=True)
+class CooldownPeriod(Protection):
+    duration: int
+
+    def lock(self, now: int) -> Column:
+        return _locked(now - F.col("last") < self.duration, "CooldownPeriod", F.col("last") + self.duration)
+
+
+@dataclass(frozen=True)
+class LowProfitPairs(Protection):
+    min_profit_pct: float
+    duration: int
+
+    def lock(self, now: int) -> Column:
+        return _locked((F.col("n") > 0) & (F.col("pct") < self.min_profit_pct), "LowProfitPairs", F.lit(now + self.duration))
+
+
+def protect(trades: DataFrame, now: int, lookback: int, stack: Sequence[Protection]) -> DataFrame:
+    """Locks (symbol, reason, until) of pairs at one time, by the first protection of the stack that holds. All times have one unit."""
     recent = F.col("exit_time") > now - lookback
     pct = F.round(F.sum(F.when(recent, F.col("profit_pct"))), 9)
     d = trades.groupBy("symbol").agg(F.count_if(recent & (F.col("exit_reason") == "Stoploss")).alias("stops"), pct.alias("pct"), F.count_if(recent).alias("n"), F.max("exit_time").alias("last"))
-    c = F.col
-    found = (
-        F.when(c("stops") >= max_stops, F.struct(F.lit("StoplossGuard").alias("reason"), F.lit(now + lock).cast("long").alias("until")))
-        .when((c("pct") < 0) & (F.abs("pct") >= max_drawdown_pct), F.struct(F.lit("MaxDrawdownProtection").alias("reason"), F.lit(now + lock).cast("long").alias("until")))
-        .when(now - c("last") < cooldown, F.struct(F.lit("CooldownPeriod").alias("reason"), (c("last") + cooldown).alias("until")))
-        .when((c("n") > 0) & (c("pct") < min_profit_pct), F.struct(F.lit("LowProfitPairs").alias("reason"), F.lit(now + lock).cast("long").alias("until")))
-    )
-    return d.select("symbol", found.alias("l")).where("l IS NOT NULL").select("symbol", "l.reason", "l.until")
+    if not stack:
+        return d.select("symbol", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("long").alias("until")).limit(0)
+    return d.select("symbol", F.coalesce(*(p.lock(now) for p in stack)).alias("l")).where("l IS NOT NULL").select("symbol", "l.reason", "l.until")
+
+
+def protections(trades: DataFrame, now: int, lookback: int, lock: int, max_stops: int = 3, max_drawdown_pct: float = 10.0, cooldown: int = 0, min_profit_pct: float = 0.0) -> DataFrame:
+    """The usual stack: stop-loss guard, drawdown, cooldown, low profit."""
+    return protect(trades, now, lookback, (StoplossGuard(max_stops, lock), MaxDrawdownProtection(max_drawdown_pct, lock), CooldownPeriod(cooldown), LowProfitPairs(min_profit_pct, lock)))
+
+
+def episode_trades(trades: DataFrame, keys: Sequence[str] = ("symbol",), every: DataFrame | None = None) -> DataFrame:
+    """Trade statistics of an episode: counts, gains, losses, how long trades were held, and fees.
+
+    Gains without losses have an infinite profit factor. ``every`` has the keys
+    of all episodes; one without trades has zeros.
+    """
+    c, p = F.col, _profit()
+    won, lost = F.sum(F.when(p > 0, p).otherwise(0.0)), F.sum(F.when(p < 0, -p).otherwise(0.0))
+    d = trades.groupBy(*keys).agg(
+        F.count("*").alias("total_trades"), F.count_if(p > 0).alias("winning_trades"), F.count_if(p < 0).alias("losing_trades"), won.alias("_won"), lost.alias("_lost"), F.greatest(F.max(p), F.lit(0.0)).alias("largest_win"), F.greatest(F.max(-p), F.lit(0.0)).alias("largest_loss"),
+        F.avg("duration_candles").alias("avg_hold_duration"), F.sum("fee").alias("total_fees_paid"),
+    )
+    factor = F.when(c("_lost") > 0, c("_won") / c("_lost")).when(c("_won") > 0, F.lit(float("inf"))).otherwise(0.0)
+    found = d.select(
+        *keys, "total_trades", "winning_trades", "losing_trades", (c("winning_trades") / c("total_trades")).alias("win_rate"), factor.alias("profit_factor"), ratio(c("_won"), c("winning_trades")).alias("avg_win"), ratio(c("_lost"), c("losing_trades")).alias("avg_loss"),
+        "largest_win", "largest_loss", "avg_hold_duration", "total_fees_paid",
+    )
+    if every is None:
+        return found
+    return every.select(*keys).distinct().join(found, list(keys), "left").fillna(0, found.columns[len(keys) :])
 
 
 def stoploss_guard_history(trades: DataFrame, lookback: int, max_stops: int) -> DataFrame:

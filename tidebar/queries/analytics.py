@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from .. import api
 from ..operators import pairlist as P
 from ..plans import analytics as N
 from ..plans import store as S
@@ -95,6 +96,11 @@ DLQ = "dl AS (SELECT o_orderkey AS id, epoch_ms(o_orderdate) AS timestamp, o_ord
 OPEN = "NOT resolved AND retry_count < max_retries AND next_retry_at <= 900000000000"
 query("retryable_letters", lambda s, d: S.retryable(letters(s, d), 900_000_000_000, 50).select("id", "retry_count", "next_retry_at"), f"WITH {DLQ} SELECT id, retry_count, next_retry_at FROM dl WHERE {OPEN} ORDER BY next_retry_at, id LIMIT 50")
 query("retried_letters", lambda s, d: S.retried(letters(s, d), 900_000_000_000).select("id", "retry_count", "next_retry_at"), f"WITH {DLQ} SELECT id, retry_count + 1 AS retry_count, CAST(900000000000 + 60000 * pow(2, retry_count) AS BIGINT) AS next_retry_at FROM dl")
+query("resolved_letters", lambda s, d: S.resolved(letters(s, d), letters(s, d).where(F.col("id") % 3 == 0)).select("id", "resolved"), f"WITH {DLQ} SELECT id, resolved OR id % 3 = 0 AS resolved FROM dl")
+STATUS = {"F": "Filled", "O": "Open", "P": "PartiallyFilled"}
+_statuses = lambda s, d: A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv))[F.col("o_orderstatus")].alias("status"), F.col("o_totalprice").alias("price"))
+query("orders_by_status", lambda s, d: api.orders(_statuses(s, d), "PartiallyFilled"), "SELECT o_orderkey AS id, 'PartiallyFilled' AS status, o_totalprice AS price FROM orders WHERE o_orderstatus = 'P'")
+query("open_profit", lambda s, d: _r(api.profit(positions(s, d)), "unrealized_pnl"), f"WITH {POS} SELECT round(coalesce(sum(unrealized_pnl), 0), 6) AS unrealized_pnl, count(*) AS positions FROM ps")
 query("audit_log_latest", lambda s, d: S.audit_log(letters(s, d), 100).select("id", "timestamp", "topic"), f"WITH {DLQ} SELECT id, timestamp, topic FROM dl ORDER BY timestamp DESC, id DESC LIMIT 100")
 query("store_counts", lambda s, d: S.counts(A.trades(s, d), A.ticks(s, d), letters(s, d)), f"{T}, {DLQ} SELECT count(*) AS trade_count, count(*) FILTER (profit > 0) AS wins, count(*) FILTER (profit <= 0) AS losses, {CENT.format('profit')} AS total_realized_pnl, (SELECT count(*) FROM events) AS signal_count, (SELECT count(*) FROM dl WHERE NOT resolved) AS dead_letter_count FROM trades")
 _orders = lambda s, d: letters(s, d).select(F.col("topic").alias("symbol"), "id", "timestamp")

@@ -140,6 +140,13 @@ query(
 em AS (SELECT symbol, arg_min(equity, rn) AS e0, arg_max(equity, rn) AS e1, arg_min(close, rn) AS p0, arg_max(close, rn) AS p1, max((pk - equity) / pk) AS dd, avg(r) AS m, stddev_pop(r) AS sd, avg(least(r, 0) * least(r, 0)) AS q FROM es GROUP BY symbol)
 SELECT symbol, e0 AS initial_balance, round(e1, 6) AS final_balance, round((e1 - e0) / e0 * 100, 6) AS total_return_pct, round((p1 - p0) / p0 * 100, 6) AS buy_and_hold_return_pct, round((e1 - e0) / e0 * 100 - (p1 - p0) / p0 * 100, 6) AS alpha, round(dd * 100, 6) AS max_drawdown_pct, round(m / sd * sqrt({YEAR}::DOUBLE), 6) AS sharpe_ratio, round(m / sqrt(q) * sqrt({YEAR}::DOUBLE), 6) AS sortino_ratio FROM em""",
 )
+query(
+    "episode_trade_metrics",
+    lambda s, d: _round(_round(N.N.episode_trades(B.backtest(c := _acted(s, d)), every=c), "win_rate", "profit_factor", "avg_hold_duration"), "avg_win", "avg_loss", "largest_win", "largest_loss", "total_fees_paid", digits=2),
+    f"""{AUTO}, tp AS (SELECT *, bal * 0.1::DOUBLE * net AS p, bal * 0.1::DOUBLE * (0.0004::DOUBLE + mv * 0.0004::DOUBLE + fu) AS fee FROM tb), gr AS (SELECT symbol, count(*) AS n, count(*) FILTER (p > 0) AS w, count(*) FILTER (p < 0) AS l, coalesce(sum(p) FILTER (p > 0), 0) AS won, coalesce(-sum(p) FILTER (p < 0), 0) AS lost, greatest(max(p), 0) AS lw, greatest(max(-p), 0) AS ll, avg(exit_rn - entry_rn) AS hold, sum(fee) AS fees FROM tp GROUP BY symbol)
+SELECT ln.symbol, coalesce(gr.n, 0) AS total_trades, coalesce(w, 0) AS winning_trades, coalesce(l, 0) AS losing_trades, round(coalesce(w * 1.0::DOUBLE / gr.n, 0), 6) AS win_rate, round(CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS profit_factor, round(CASE WHEN w > 0 THEN won / w ELSE 0 END, 2) AS avg_win, round(CASE WHEN l > 0 THEN lost / l ELSE 0 END, 2) AS avg_loss,
+  round(coalesce(lw, 0), 2) AS largest_win, round(coalesce(ll, 0), 2) AS largest_loss, round(coalesce(hold, 0), 6) AS avg_hold_duration, round(coalesce(fees, 0), 2) AS total_fees_paid FROM ln LEFT JOIN gr ON gr.symbol = ln.symbol""",
+)
 KINDS = ("Market", "Limit", "StopMarket", "TakeProfitMarket", "TrailingStopMarket")
 
 
@@ -276,7 +283,33 @@ def _episodes(s, d):
     return E.episode_rows(series.number_rows(c).select("symbol", "rn", "close"), E.sample_episodes(s, sizes, 3, 7, 10, 100))
 
 
-query("episode_samples", _episodes)
+_pairs = [(next(n), next(n)) for n in (E.lcg(7 + i) for i in range(3))]
+query(
+    "episode_samples",
+    _episodes,
+    f"""WITH {sql.SERIES}, nn AS (SELECT symbol, count(*) AS n FROM s GROUP BY symbol), dr(run_id, u, v) AS (VALUES {", ".join(f"({i}::BIGINT, {u!r}::DOUBLE, {v!r}::DOUBLE)" for i, (u, v) in enumerate(_pairs))}),
+ln AS (SELECT *, CASE WHEN n <= 10 THEN n WHEN least(100, n) > 10 THEN 10 + CAST(floor(u * (least(100, n) - 10)) AS BIGINT) ELSE 10 END AS len FROM nn CROSS JOIN dr), st AS (SELECT *, 1 + CASE WHEN n > len THEN CAST(floor(CASE WHEN least(100, n) > 10 THEN v ELSE u END * (n - len)) AS BIGINT) ELSE 0 END AS start FROM ln)
+SELECT st.symbol, s.rn, run_id, len AS length, close, s.rn - start AS step FROM st JOIN s ON s.symbol = st.symbol AND s.rn >= start AND s.rn < start + len""",
+)
+
+
+def _rewarded(s, d):
+    """Bars as steps: every fifth closes a trade of as many bars as its place in the hour, others hold or wait."""
+    c, rn = series.number_rows(A.candles(s, d)), F.col("rn")
+    step = c.select(
+        "symbol", "rn", (rn % 11 == 0).alias("invalid"), F.when(rn % 5 == 0, "ExitLong").otherwise("Neutral").alias("action"), F.when(rn % 5 == 0, (F.col("close") - F.col("open")) / F.col("open")).alias("closed_pnl"), F.when(rn % 5 == 0, rn % 90).alias("closed_bars"),
+        (F.col("volume") / 1e6).alias("fees"), (rn % 40).alias("held_bars"), (rn % 3).cast("double").alias("exposure"), (rn % 4 == 0).alias("hedged"), (F.col("high") - F.col("close")).alias("drawdown"),
+    )
+    return _round(step.withColumn("reward", E.Reward(win_bonus=0.1, exposure_rate=0.01, hedge_bonus=0.02, drawdown_rate=0.001).column()).select("symbol", "rn", "reward"), "reward")
+
+
+query(
+    "step_rewards",
+    _rewarded,
+    f"""WITH {sql.SERIES}, q AS (SELECT symbol, rn, CASE WHEN rn % 5 = 0 THEN (close - open) / open END AS p, rn % 90 AS bars, volume / 1e6::DOUBLE AS fee, rn % 40 AS held, (rn % 3)::DOUBLE AS ex, high - close AS dd FROM s)
+SELECT symbol, rn, round(CASE WHEN rn % 11 = 0 THEN -0.1::DOUBLE ELSE coalesce(p - CASE WHEN bars > 50 THEN 0.001::DOUBLE * bars ELSE 0 END - fee + CASE WHEN p > 0 THEN p * 0.1::DOUBLE ELSE 0 END, 0) + CASE WHEN rn % 5 <> 0 AND held > 20 THEN -0.001::DOUBLE * held ELSE 0 END
+  - CASE WHEN ex > 1.5 THEN 0.01::DOUBLE * (ex - 1.5) ELSE 0 END + CASE WHEN rn % 4 = 0 THEN 0.02::DOUBLE * ex / 2 ELSE 0 END - CASE WHEN dd > 0 THEN 0.001::DOUBLE * dd ELSE 0 END END, 6) AS reward FROM q""",
+)
 _draws = E.lcg(3)
 _weight = "pow(abs(reward) + 1e-6, 0.6::DOUBLE)"
 query(
@@ -344,7 +377,15 @@ def _softmax(s, d):
     return _round(E.fit_softmax(c, ["a", "b"], epochs=20)[1], "accuracy", "loss")
 
 
-query("table_model_training", _softmax)
+_step = lambda i, x: f"w[{i + 1}][{x}] + 0.1::DOUBLE / (SELECT count(*) FROM fx) * sum((CASE WHEN y = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - p[{i + 1}]) * {'ab'[x - 1]})"
+_chances = lambda source: f"SELECT *, list_transform(ex, lambda v: v / list_sum(ex)) AS p FROM (SELECT *, list_transform(sc, lambda v: exp(v - list_max(sc))) AS ex FROM (SELECT *, list_transform(w, lambda v: v[1] * a + v[2] * b) AS sc FROM {source}))"
+query(
+    "table_model_training",
+    _softmax,
+    f"""WITH RECURSIVE {sql.SERIES}, fx AS MATERIALIZED (SELECT a, b, CASE WHEN lb > 0 THEN 1 WHEN lb < 0 THEN 3 ELSE 0 END AS y FROM (SELECT taker_buy_volume / volume AS a, (close - open) / open AS b, sign(lead(close, 3) OVER (PARTITION BY symbol ORDER BY rn) - close) AS lb FROM s) WHERE lb IS NOT NULL),
+tw AS (SELECT 0 AS epoch, [{", ".join(["[0.0::DOUBLE, 0.0::DOUBLE]"] * 5)}] AS w UNION ALL SELECT epoch + 1, [{", ".join(f"[{_step(i, 1)}, {_step(i, 2)}]" for i in range(5))}] FROM ({_chances("tw CROSS JOIN fx WHERE epoch < 20")}) GROUP BY epoch, w)
+SELECT count(*) AS samples, round(avg(CASE WHEN list_position(sc, list_max(sc)) - 1 = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy, round(avg(-ln(greatest(p[y + 1], 1e-10))), 6) AS loss FROM ({_chances("tw CROSS JOIN fx WHERE epoch = 20")})""",
+)
 BARS = "symbol, open_time, close_time, open, high, low, close, volume, quote_volume, trades, taker_buy_volume, taker_sell_volume"
 
 
@@ -377,6 +418,16 @@ def _forced(s, d):
 
 
 query("parse_force_orders", lambda s, d: M.parsed_or_dead(_forced(s, d), "message", M.parse_force_order)[0], f"WITH {sql.TICKS} SELECT symbol, side, round(price * 100) AS price, quantity, timestamp AS time FROM ticks WHERE is_liquidation")
+
+
+def _kline_events(s, d):
+    """Candles as messages of the stream; those with an odd number of trades are still forming."""
+    c, text = A.candles(s, d), lambda n: F.col(n).cast("string")
+    k = F.struct(F.col("symbol").alias("s"), F.col("open_time").alias("t"), F.col("close_time").alias("T"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"), text("volume").alias("v"), text("quote_volume").alias("q"), F.col("trades").alias("n"), text("taker_buy_volume").alias("V"), (F.col("trades") % 2 == 0).alias("x"))
+    return c.select(F.to_json(F.struct(F.struct(k.alias("k")).alias("data"))).alias("message"))
+
+
+query("parse_kline_events", lambda s, d: M.parsed_or_dead(_kline_events(s, d), "message", M.parse_kline_event)[0], f"WITH {sql.CANDLES} SELECT {BARS} FROM candles WHERE trades % 2 = 0")
 query("topics", lambda s, d: A.ticks(s, d).select(M.topic("candle", F.col("symbol"), "15m").alias("topic")).distinct(), f"WITH {sql.TICKS} SELECT DISTINCT 'market.candle.' || lower(symbol) || '.15m' AS topic FROM ticks")
 _notes = lambda s, d: A.ticks(s, d).select("symbol", "timestamp", F.when(F.col("side") == "BUY", "EnterLong").otherwise("ExitLong").alias("action"), (F.col("price") - 50).alias("profit"), (F.col("quantity") / 10).alias("confidence"))
 query("notification_filter", lambda s, d: _notes(s, d).where(O.should_notify(("EnterLong",), 30.0, 0.3, (22, 6))).select("symbol", "timestamp", O.notification("{symbol}: {action}", {"symbol": F.col("symbol"), "action": F.col("action")}).alias("text")), f"WITH {sql.TICKS} SELECT symbol, timestamp, symbol || ': EnterLong' AS text FROM ticks WHERE side = 'BUY' AND abs(price - 50) >= 30 AND quantity / 10 >= 0.3 AND NOT (hour(make_timestamp(timestamp * 1000)) >= 22 OR hour(make_timestamp(timestamp * 1000)) < 6)")
