@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbatch import Flat, PieceCache, bare_pieces, slices, spaced_pieces, text_slices
+from .textbatch import Flat, PieceCache, bare_pieces, give_back, slices, spaced_pieces, text_slices
 
 #: Bytes up to which a word goes through the rank array.
 SHORT = 40
@@ -228,6 +228,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decod
                     held = ids.tolist()
                     columns.append(pa.array([hashlib.sha256(bpe.decode(held[a:b]).encode()).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.string()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=schema.names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

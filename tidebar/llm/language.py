@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LETTER, classes, slices
+from .textbatch import LETTER, classes, give_back, slices
 
 SIZE, SEED = 1024, 20240
 #: What a text adds to its language's prototype in all, whatever its length.
@@ -123,6 +123,8 @@ def prototypes(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple
                 sums, _ = bundler.sums(texts[lo:hi], np.array([group[x] for x in langs[lo:hi]]), len(names), even=True)
                 for n, v in zip(names, sums.astype(np.float64)):
                     total[n] = total.get(n, 0) + v
+        del bundler
+        give_back()
         part = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_pydict({"lang": list(total), "part": [part] * len(total), "total": [v.tolist() for v in total.values()]}, schema=pa.schema([("lang", pa.string()), ("part", pa.int32()), ("total", pa.list_(pa.float64()))]))
 
@@ -164,6 +166,8 @@ def classify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
                     value, said = np.zeros(n), ["und"] * n
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(said, pa.string()), pa.array(value.astype(np.float64))], names=[*kept, label, score])
+        del bundler
+        give_back()
 
     return df.mapInArrow(run, schema)
 

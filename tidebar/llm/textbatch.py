@@ -8,11 +8,14 @@ fingerprint, so that costly work is done once per distinct piece.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the memory of a task whatever the batch holds.
 SLICE_BYTES = 1 << 20
@@ -204,6 +207,14 @@ def ragged(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(offsets - before, lengths) + np.arange(total)
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system: a Python worker lives on for other tasks and holds it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library that has it
+        trim(0)
+
+
 class PieceCache:
     """Token ids of pieces by fingerprint: a bounded two-way table over a growing pool.
 
