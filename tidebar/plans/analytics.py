@@ -102,7 +102,8 @@ def sized(kelly_stats: DataFrame, balance: float, multiplier: float = 0.5, min_t
 def equity_curve(trades: DataFrame, balance: float, keys: Sequence[str] = ()) -> DataFrame:
     """Points (time, equity): the balance at time 0, then one for each trade by exit time and id."""
     one = F.lit("").alias("_all")
-    d = number_rows(trades.select(*keys, one, "id", "exit_time", cents(_profit()).alias("_p")), "exit_time", [*keys, "_all"], ["id", "_p"])
+    narrow = cut(trades.select(*keys, one, "id", "exit_time", cents(_profit()).alias("_p")))  # else the trades are worked out for the counts and for the rows
+    d = number_rows(narrow, "exit_time", [*keys, "_all"], ["id", "_p"])
     d = running(d, {"_sum": ("sum", F.col("_p"))}, [*keys, "_all"])
     points = d.select(*keys, F.col("rn").alias("point"), F.col("exit_time").alias("time"), (balance + F.col("_sum") / 100.0).alias("equity"))
     start = trades.select(*keys).distinct() if keys else trades.sparkSession.range(1).select()
@@ -112,10 +113,12 @@ def equity_curve(trades: DataFrame, balance: float, keys: Sequence[str] = ()) ->
 def drawdown(curve: DataFrame, keys: Sequence[str] = (), order: str = "point") -> DataFrame:
     """Peak so far, drawdown, in percent, and for how many points it has lasted since the last new peak.
 
-    The last point at the peak is the greatest pair of equity and place.
+    The last point at the peak is the greatest pair of equity and place. The
+    points of an equity curve are their places; any other order is numbered.
     """
     by = [*keys, "_all"]
-    d = number_rows(curve.select("*", F.lit("").alias("_all")), order, by, span=4096)
+    d = curve.select("*", F.lit("").alias("_all"))
+    d = cut(d.withColumn("rn", F.col("point") + 1)) if order == "point" else number_rows(d, order, by, span=4096)
     d = running(d, {"_top": ("max", F.struct(F.col("equity"), F.col("rn")))}, by)
     d = d.withColumn("peak", F.col("_top.equity")).withColumn("drawdown", F.col("peak") - F.col("equity"))
     return d.withColumns({"drawdown_pct": ratio(F.col("drawdown"), F.col("peak")) * 100, "duration": F.when(F.col("drawdown") > 0, F.col("rn") - F.col("_top.rn")).otherwise(0).cast("long")}).drop("_all", "rn", "_top")
