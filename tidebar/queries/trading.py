@@ -397,7 +397,21 @@ def _klines(s, d):
 
 
 query("parse_klines", lambda s, d: _klines(s, d).select(M.parse_kline(F.col("symbol"), F.col("message")).alias("r")).select("r.*"), f"WITH {sql.CANDLES} SELECT {BARS} FROM candles")
-query("parse_second_klines", lambda s, d: _klines(s, d).select(M.parse_second_kline(F.col("symbol"), F.col("message"), "15m").alias("r")).select("r.symbol", "r.open_time", "r.close_time", "r.close", "r.trades"), f"WITH {sql.CANDLES} SELECT symbol, open_time, close_time, close, 0::BIGINT AS trades FROM candles")
+
+
+def _seven(s, d):
+    """Candles as the other exchange sends them."""
+    c, text = A.candles(s, d), lambda n: F.col(n).cast("string")
+    return c.select("symbol", F.to_json(F.array(*map(text, ("open_time", "open", "high", "low", "close", "volume", "quote_volume")))).alias("message"))
+
+
+def _read(name, rows):
+    return rows.select(M.reader(name)(F.col("symbol"), F.col("message"), "15m").alias("r")).select("r.*")
+
+
+SEVEN = "symbol, open_time, close_time, open, high, low, close, volume, quote_volume, 0::BIGINT AS trades, 0.0::DOUBLE AS taker_buy_volume, 0.0::DOUBLE AS taker_sell_volume FROM candles"
+query("parse_second_klines", lambda s, d: _read("bybit", _seven(s, d)), f"WITH {sql.CANDLES} SELECT {SEVEN}")
+query("exchange_readers", lambda s, d: _read("binance", _klines(s, d)).unionByName(_read("bybit", _seven(s, d))).groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("trades").alias("trades"), F.round(F.sum("taker_buy_volume"), 2).alias("bought")), f"WITH {sql.CANDLES} SELECT symbol, 2 * count(*) AS bars, CAST(sum(trades) AS BIGINT) AS trades, round(sum(taker_buy_volume), 2) AS bought FROM candles GROUP BY symbol")
 
 
 def _messages(s, d):

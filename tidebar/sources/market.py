@@ -33,8 +33,8 @@ def load_pairs(spark: SparkSession, spec: str) -> DataFrame | None:
     return found
 
 
-def parse_kline(symbol: Column, payload: Column) -> Column:
-    """A candle from an array of twelve values; the volume that takers didn't buy was sold by them. Null if a value is missing or malformed."""
+def parse_kline(symbol: Column, payload: Column, interval: str | None = None) -> Column:
+    """A candle from an array of twelve values, which has its own close time; the volume that takers didn't buy was sold by them. Null if a value is missing or malformed."""
     a = F.from_json(payload, "array<string>")
     at = lambda i, kind: F.try_element_at(a, F.lit(i + 1)).try_cast(kind)
     volume, bought = at(5, "double"), at(9, "double")
@@ -111,7 +111,8 @@ def topic(domain: str, symbol: Column, timeframe: str | None = None, prefix: str
 READERS = {"binance": parse_kline, "bybit": parse_second_kline}
 
 
-def reader(name: str) -> Callable:
+def reader(name: str) -> Callable[[Column, Column, str], Column]:
+    """How an exchange's candles are read: a function of symbol, payload and interval."""
     if name not in READERS:
         raise ValueError(f"no reader for {name}")
     return READERS[name]
