@@ -62,24 +62,29 @@ query(
     lambda s, d: M.align_higher(c := A.candles(s, d).select("symbol", "open_time", "close"), bars.resample(A.candles(s, d), H1).select("symbol", "close_time", "close", "volume")).select("symbol", "open_time", "close", F.col("higher.close_time").alias("higher_close_time"), F.col("higher.close").alias("higher_close"), F.col("higher.volume").alias("higher_volume")),
     f"WITH {sql.CANDLES}, {HOURS} SELECT c.symbol, c.open_time, c.close, h.close_time AS higher_close_time, h.close AS higher_close, h.volume AS higher_volume FROM candles c ASOF LEFT JOIN hb h ON c.symbol = h.symbol AND c.open_time >= h.close_time",
 )
-PAIRED = f"""pl AS (SELECT c.*, pair FROM candles c CROSS JOIN (VALUES ('S1'), ('S2')) v(pair) WHERE symbol = 'S0'),
+#: All symbols but the primary one.
+OTHERS = ("S1", "S2", "S3", "S4")
+PAIRED = f"""pl AS (SELECT c.*, pair FROM candles c CROSS JOIN (VALUES ('S1'), ('S2'), ('S3'), ('S4')) v(pair) WHERE symbol = 'S0'),
 ot AS (SELECT p.pair, p.close_time AS timestamp, o.close_time AS matched, p.open AS po, p.close AS pc, p.volume AS pv, p.taker_buy_volume - p.taker_sell_volume AS pd, o.open AS oo, o.close AS oc, o.volume AS ov, o.taker_buy_volume - o.taker_sell_volume AS od FROM pl p ASOF LEFT JOIN candles o ON p.pair = o.symbol AND p.close_time >= o.close_time)"""
 query(
     "correlated_features",
-    lambda s, d: _round(M.correlated(A.candles(s, d), "S0", ["S1", "S2"], A.M15), M.CROSS),
+    lambda s, d: _round(M.correlated(A.candles(s, d), "S0", OTHERS, A.M15), M.CROSS),
     f"""WITH {sql.CANDLES}, {PAIRED} SELECT pair, timestamp, matched, CASE WHEN matched IS NULL THEN 0 ELSE round(oc / pc, 6) END AS price_ratio, CASE WHEN matched IS NULL THEN 0 ELSE round(ov / pv, 6) END AS volume_ratio,
 CASE WHEN matched IS NULL THEN 0 ELSE round((oc - oo) / oo - (pc - po) / po, 6) END AS relative_strength, CASE WHEN matched IS NULL THEN 0 ELSE round((pc - oc) / pc, 6) END AS spread, CASE WHEN matched IS NULL THEN 0 ELSE od - pd END AS corr_momentum, coalesce(timestamp - matched > 1800000, false) AS stale FROM ot""",
 )
 _plain = lambda s, d: A.candles(s, d).select("symbol", F.col("close_time").alias("timestamp"), "close", "volume")
+_columns = [f"{x}.close AS {x.lower()}_close" for x in OTHERS]
+_sources = ", ".join(f"{x.lower()} AS (SELECT * FROM candles WHERE symbol = '{x}')" for x in OTHERS)
+_joins = " ".join(f"ASOF LEFT JOIN {x.lower()} ON b.close_time >= {x.lower()}.close_time" for x in OTHERS)
 query(
     "merged_pairs",
-    lambda s, d: M.merge_pairs(_plain(s, d), "S0", ["S1", "S2"]).select("timestamp", "close", F.col("S1.close").alias("s1_close"), F.col("S2.close").alias("s2_close")),
-    f"WITH {sql.CANDLES}, b AS (SELECT * FROM candles WHERE symbol = 'S0') SELECT b.close_time AS timestamp, b.close, x.close AS s1_close, y.close AS s2_close FROM b ASOF LEFT JOIN (SELECT * FROM candles WHERE symbol = 'S1') x ON b.close_time >= x.close_time ASOF LEFT JOIN (SELECT * FROM candles WHERE symbol = 'S2') y ON b.close_time >= y.close_time",
+    lambda s, d: M.merge_pairs(_plain(s, d), "S0", OTHERS).selectExpr("timestamp", "close", *_columns),
+    f"WITH {sql.CANDLES}, b AS (SELECT * FROM candles WHERE symbol = 'S0'), {_sources} SELECT b.close_time AS timestamp, b.close, {', '.join(f'{x.lower()}.close AS {x.lower()}_close' for x in OTHERS)} FROM b {_joins}",
 )
 query(
     "merged_pairs_first_row",
-    lambda s, d: M.merge_pairs(_plain(s, d), "S0", ["S1"], first=True).select("timestamp", "close", F.col("S1.close").alias("s1_close")),
-    f"WITH {sql.CANDLES}, b AS (SELECT * FROM candles WHERE symbol = 'S0'), x AS (SELECT * FROM candles WHERE symbol = 'S1') SELECT b.close_time AS timestamp, b.close, coalesce(x.close, (SELECT arg_min(close, close_time) FROM x)) AS s1_close FROM b ASOF LEFT JOIN x ON b.close_time >= x.close_time",
+    lambda s, d: M.merge_pairs(_plain(s, d), "S0", OTHERS, first=True).selectExpr("timestamp", "close", *_columns),
+    f"WITH {sql.CANDLES}, b AS (SELECT * FROM candles WHERE symbol = 'S0'), {_sources} SELECT b.close_time AS timestamp, b.close, {', '.join(f'coalesce({x.lower()}.close, (SELECT arg_min(close, close_time) FROM {x.lower()})) AS {x.lower()}_close' for x in OTHERS)} FROM b {_joins}",
 )
 query(
     "concat_timeframes",
