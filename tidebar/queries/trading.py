@@ -289,7 +289,7 @@ query(
     _episodes,
     f"""WITH {sql.SERIES}, nn AS (SELECT symbol, count(*) AS n FROM s GROUP BY symbol), dr(run_id, u, v) AS (VALUES {", ".join(f"({i}::BIGINT, {u!r}::DOUBLE, {v!r}::DOUBLE)" for i, (u, v) in enumerate(_pairs))}),
 ln AS (SELECT *, CASE WHEN n <= 10 THEN n WHEN least(100, n) > 10 THEN 10 + CAST(floor(u * (least(100, n) - 10)) AS BIGINT) ELSE 10 END AS len FROM nn CROSS JOIN dr), st AS (SELECT *, 1 + CASE WHEN n > len THEN CAST(floor(CASE WHEN least(100, n) > 10 THEN v ELSE u END * (n - len)) AS BIGINT) ELSE 0 END AS start FROM ln)
-SELECT st.symbol, s.rn, run_id, len AS length, close, s.rn - start AS step FROM st JOIN s ON s.symbol = st.symbol AND s.rn >= start AND s.rn < start + len""",
+SELECT st.symbol, s.rn, run_id, close, s.rn - start AS step FROM st JOIN s ON s.symbol = st.symbol AND s.rn >= start AND s.rn < start + len""",
 )
 
 
