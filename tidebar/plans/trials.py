@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import change_action, delta
 from ..operators.series import frames, running
+from ..shared import cut
 from .learning import objective, rank_trials
 from .simulation import BacktestConfig, backtest
 
@@ -77,10 +78,11 @@ def optimize_strategy(d: DataFrame, params: DataFrame, goal: str = "TotalReturn"
     Signals are made once for each window and met by the trials that have it, by
     equality; entries below a trial's confidence or volume don't count.
     """
+    params = cut(params)
     extra = params.select("trial_id", *(F.col(n).cast(t).alias(n) for n, t in zip(STRATEGY, ("int", "double"))))
     windows = [r[0] for r in extra.select("window").distinct().collect()]
     acts = trial_signals(d, windows).join(F.broadcast(_few(extra)), "window").where((F.col("confidence") >= F.col("min_confidence")) | ~F.col("action").startswith("Enter"))
-    found = run_trials(d, params.drop(*STRATEGY), config, acts.drop("window", "confidence", "min_confidence"))
+    found = run_trials(d, params.drop(*STRATEGY), config, cut(acts.drop("window", "confidence", "min_confidence")))
     out = found.join(extra, "trial_id").withColumn("objective", objective(goal))
     return out.orderBy(F.col("objective").desc(), "trial_id")
 
