@@ -197,6 +197,35 @@ def test_recall_with_production_parameters(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_recall_of_evenly_spread_vectors(spark, monkeypatch):
+    """No more than a quarter of what a query meets is ranked again, and more pivots stand than a query visits."""
+    monkeypatch.setattr(ann, "FLOOR", 0)
+    x = np.random.default_rng(11).normal(0, 1, (20_000, 32)).astype(np.float32)
+    d = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(d, every=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 100 and ann.n_visits(ann.n_pivots(20_000, 32)) < 0.3 * ann.n_pivots(20_000, 32)
+    hit = 0
+    for i, found in got.items():
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(found & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_visits_grow_more_slowly_than_pivots():
+    share = [ann.n_visits(p) / p for p in (1_000, 2_000, 4_000, 16_000)]
+    assert share == sorted(share, reverse=True) and ann.n_visits(16_000) > 4 * ann.n_visits(1_000)
+    assert ann.n_visits(64) == 64
+
+
+def test_pivots_stand_in_order_and_ties_by_place():
+    pivots = ann.Pivots(np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [-1.0, 0.0]]), 1.0)
+    assert pivots.order(np.array([[1.0, 0.0]]), True, 3).tolist() == [[0, 2, 1]]
+    assert pivots.order(np.zeros((0, 2)), True, 9).shape == (0, 4)
+
+
 def test_split_files_and_chunks_of_queries_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.normal(0, 1, (300, 8)), rng.normal(5, 0.01, (600, 8))])  # most of them near one pivot

@@ -2,15 +2,16 @@
 
 Method: a vector is represented by the order of its ``ORDER`` nearest pivots and
 posted in the inverted files of its ``POSTED`` nearest ones. A query visits the
-files of its ``VISITS`` nearest pivots only, ranks what they hold by the footrule
+files of its ``n_visits`` nearest pivots only, ranks what they hold by the footrule
 distance of the orders (a pivot missing from one of them counts as its last place), and the best ``SHARE`` of it is ranked again by the inner product.
 
 Files stand together in blocks of bounded size; a file that is larger is split
 by a hash of the vector. A query is sent to the blocks of its own pivots, each
 pair of query and vector is handled in the file of the vector's first visited
 pivot, and only the ``k`` best of a block go on. The number of pivots grows with
-the root of the number of vectors, so the share of the table that a query meets
-falls as the table grows.
+the root of the number of vectors, and the pivots visited with its power of two
+thirds: the share of the table that a query meets falls as the table grows, while
+the neighbours found don't become fewer.
 
 Nearness is the inner product. Pivots' orders follow it after the usual
 lifting, by which all vectors get the length of the longest. Vectors that are
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .shared import kept
 
-ORDER, POSTED, VISITS, SHARE = 64, 3, 144, 0.25
+ORDER, POSTED, SHARE = 64, 3, 0.25
+#: Pivots that a query visits: this many times the power of two thirds of all, but no fewer than the least.
+VISITS, LEAST_VISITS = 2.0, 144
 #: Pivots: this many times the root of the number of vectors, within bounds; their components in all (8 bytes each) reach every task.
 DENSITY, LEAST_PIVOTS, MOST_PIVOTS, MOST_COMPONENTS = 4.0, 64, 16_384, 1 << 21
 #: Of what a query meets in a block, at least so many are ranked again.
@@ -54,6 +57,10 @@ def n_pivots(vectors: int, width: int) -> int:
     return max(1, min(wanted, vectors, MOST_PIVOTS, MOST_COMPONENTS // width))
 
 
+def n_visits(pivots: int) -> int:
+    return min(pivots, max(LEAST_VISITS, int(np.ceil(VISITS * pivots ** (2 / 3)))))
+
+
 class Pivots:
     def __init__(self, vectors: np.ndarray, longest: float):
         self.vectors, self.longest = vectors, longest
@@ -61,14 +68,16 @@ class Pivots:
 
     def order(self, x: np.ndarray, query: bool, most: int) -> np.ndarray:
         """The nearest pivots of each vector, nearest first."""
-        out = []
+        out, most = [], min(most, len(self.vectors))
         for lo in range(0, len(x), 1024):
             part = x[lo : lo + 1024]
             near = part @ self.vectors.T
             if not query:
                 near += np.sqrt(np.maximum(self.longest**2 - (part**2).sum(1), 0))[:, None] * self.lift
-            out.append(np.argsort(-near, 1, kind="stable")[:, :most].astype("<u2"))
-        return np.concatenate(out) if out else np.zeros((0, min(most, len(self.vectors))), "<u2")
+            first = np.sort(np.argpartition(-near, most - 1, 1)[:, :most], 1)
+            by = np.argsort(-np.take_along_axis(near, first, 1), 1, kind="stable")
+            out.append(np.take_along_axis(first, by, 1).astype("<u2"))
+        return np.concatenate(out) if out else np.zeros((0, most), "<u2")
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -178,19 +187,19 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every:
     pivots = Pivots(table, longest)
     sent = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
     posted = kept(_ordered(vectors.select("ids", "v", F.xxhash64("v").alias("spread")), pivots, width, False, ORDER, sent, "ids array<long>, spread long"), "posted")
-    asked = _ordered(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]), pivots, width, True, VISITS, sent, "id long")
+    asked = _ordered(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]), pivots, width, True, n_visits(len(sample)), sent, "id long")
     asked = kept(asked, "asked")
     postings = np.zeros(len(sample), np.int64)
     for r in posted.select(F.explode("posts").alias("pivot")).groupBy("pivot").count().collect():
         postings[r.pivot] = r["count"]
     layout = Layout(postings)
-    homes = asked.mapInArrow(_homes_of(layout), "id long, v binary, pivots binary, block int")
-    waiting = {r.block: -(-r["count"] // QUERY_BLOCK) for r in homes.groupBy("block").count().collect()}
+    homes = "id long, v binary, pivots binary, block int, chunk int"
+    at_home = asked.mapInArrow(_homes_of(layout, None), homes).groupBy("block").count()
+    waiting = {r.block: -(-r["count"] // QUERY_BLOCK) for r in at_home.collect()}
     chunks = np.array([waiting.get(b, 0) for b in range(int(layout.block.max()) + 1)])
     units = max(1, min(int(chunks.sum()), 50_000))
     index = posted.mapInArrow(_files_of(layout, chunks), "ids array<long>, spread long, v binary, pivots binary, block int, chunk int")
-    of_block = F.element_at(F.lit(chunks.tolist()), F.col("block") + 1)
-    questions = homes.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), of_block).cast("int"))
+    questions = asked.mapInArrow(_homes_of(layout, chunks), homes)
     margin = 1e-9 * longest * longest
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -226,8 +235,8 @@ def _ordered(rows: DataFrame, pivots: Pivots, width: int, query: bool, most: int
     return rows.mapInArrow(run, f"{head}, v binary, pivots binary" + ("" if query else ", posts array<int>"))
 
 
-def _homes_of(layout: Layout):
-    """Each query once for each block that holds a file of its pivots."""
+def _homes_of(layout: Layout, chunks: np.ndarray | None):
+    """Each query once for each block that holds a file of its pivots, in a chunk of the block's queries by a hash of its id."""
 
     def run(batches):
         for batch in batches:
@@ -235,8 +244,10 @@ def _homes_of(layout: Layout):
                 visits = _rows(batch.column("pivots"), "<u2").astype(np.int64)
                 blocks = [layout.blocks_of_query(v) for v in visits]
                 take = pa.array(np.repeat(np.arange(len(blocks)), [len(b) for b in blocks]))
-                part = batch.take(take)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(blocks).astype(np.int32))], names=["id", "v", "pivots", "block"])
+                part, block = batch.take(take), np.concatenate(blocks)
+                spread = part.column("id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                chunk = np.zeros(len(block), np.int32) if chunks is None else (spread % chunks[block].astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(block.astype(np.int32)), pa.array(chunk)], names=["id", "v", "pivots", "block", "chunk"])
 
     return run
 
