@@ -18,7 +18,7 @@ COLUMNS = {
     "op6_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op7_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
-    "op9_near_duplicates": "doc_id bigint, class_id bigint",
+    "op9_near_duplicates": "doc_id bigint, class_id bigint, text_id bigint, copies bigint, links bigint",
     "op11_pieces": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint",
     "op12_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "op13_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",

@@ -70,6 +70,34 @@ def test_classes(spark, prose, odd):
     assert got == plain_classes(rows)
 
 
+def test_links_are_counted(spark, prose, odd):
+    rows = corpus(prose, odd)
+    nodes, degree = {}, Counter()
+    for k, t in rows:
+        nodes.setdefault(t or "", []).append(k)
+    sets = {t: shingles(t) for t in nodes}
+    for a in nodes:
+        for b in nodes:
+            if a < b and sets[a] and sets[b] and similarity(sets[a], sets[b]) >= 0.8:
+                degree[a] += len(nodes[b])
+                degree[b] += len(nodes[a])
+    text = {k: t or "" for k, t in rows}
+    size = Counter(c for _, c in plain_classes(rows).elements())
+    got = neardup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.class_id) for r in got) == plain_classes(rows)
+    for r in got:
+        if r.doc_id is not None:
+            same = nodes[text[r.doc_id]]
+            assert r.text_id == min((k for k in same if k is not None)) and r.copies == len(same) - 1
+            near = degree[text[r.doc_id]]
+            assert (near > 0) <= r.links - r.copies <= near
+            if size[r.class_id] <= 2:
+                assert r.links - r.copies == near
+    assert sum(r.links for r in got) > sum(r.copies for r in got)
+    assert neardup.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_classes_in_small_blocks_and_without_broadcast(spark, prose, odd, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     monkeypatch.setattr(neardup, "LED_ROWS", 5)

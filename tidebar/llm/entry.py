@@ -48,7 +48,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return neardup.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ compared with the texts that do; where such a shingle is held by more than
 ``HOT`` texts, it is compared with the whole company of its leader, in blocks. So
 a bucket never emits its pairs, texts that share a template only aren't compared
 one by one, and no link between different texts in a bucket is lost. Classes are
-the connected components of the links.
+the connected components of the links; ``linked`` also counts the links.
 
 Words are runs of characters other than space and U+0009 to U+000D. Texts of one
 to four words have one shingle; texts without a word (null ones too) stand alone
@@ -367,20 +367,53 @@ def _in_blocks(members: DataFrame, loose: DataFrame, texts: DataFrame, sizes: Da
     return links
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(node, doc_id, class_id) for each row; class_id is the smallest key in its class, null if it has none."""
-    signed = kept(sign(df, key, text), "signed")
-    links = link_texts(signed, df, key, text, threshold)
+def _grouped(signed: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, class_id) of all nodes."""
     labels = components(links)
     least = signed.groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = grouped.groupBy("label").agg(F.min("least").alias("class_id"))
     by_node = kept(grouped.join(ids, "label").select("node", "class_id"), "classes")
-    for used in (links, labels):
-        dropped(used)
+    dropped(labels)
+    return by_node
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(node, doc_id, class_id) for each row; class_id is the smallest key in its class, null if it has none."""
+    signed = kept(sign(df, key, text), "signed")
+    links = link_texts(signed, df, key, text, threshold)
+    by_node = _grouped(signed, links)
+    dropped(links)
     return signed.select("doc_id", "node").join(by_node, "node")
 
 
+def linked(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, text_id, copies, links for each row.
+
+    ``text_id`` is the smallest key that has the very text (null if none has a
+    key), ``copies`` the number of other rows that have it: copies are linked
+    without a comparison, by count. ``links`` adds to the copies all rows of the
+    other texts that this one was compared with and found similar to. Two texts
+    that one leader holds aren't compared with each other, so in classes of more
+    than two texts ``links`` is a lower bound; it is 0 only for rows that are
+    linked to none, and all links together hold each class together.
+    """
+    signed = kept(sign(df, key, text), "signed")
+    links = link_texts(signed, df, key, text, threshold)
+    by_node = _grouped(signed, links)
+    pairs = links.distinct()
+    both = kept(pairs.union(pairs.select(F.col("b").alias("a"), "a")).toDF("node", "other"), "pairs")
+    texts = signed.groupBy("node").agg(F.min("doc_id").alias("text_id"), (F.count("*") - 1).alias("copies"))
+    repeated = texts.where("copies > 0").join(both.select("other").distinct(), F.col("node") == F.col("other"), "left_semi")
+    repeated = kept(repeated.select(F.col("node").alias("other"), F.col("copies").alias("more")), "repeated")
+    met = both.join(F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated, "other", "left")
+    near = met.groupBy("node").agg(F.sum(1 + F.coalesce("more", F.lit(0))).alias("near"))
+    found = kept(by_node.join(texts, "node").join(near, "node", "left").select("node", "class_id", "text_id", "copies", (F.col("copies") + F.coalesce("near", F.lit(0))).alias("links")), "linked")
+    for used in (links, by_node, both, repeated):
+        dropped(used)
+    return signed.select("doc_id", "node").join(found, "node").drop("node")
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay: of each class the one with the smallest key, once."""
     found = classes(df, key, text, threshold)
