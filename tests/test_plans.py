@@ -232,3 +232,30 @@ def test_facade():
     assert api.pascal_case("my_new-idea") == "MyNewIdea"
     assert schemas.interval_ms("1h") == 3_600_000 and schemas.interval_ms("8h") == 900_000
     assert "polyline" in output.chart_html({"candles": [{"close": 1.0}, {"close": 2.0}]}, "x")
+
+
+def test_fills_search_every_window_like_a_scan(spark):
+    """All kinds of orders, prices that share a time, packs of a few rows: each order's first fill by going through its window."""
+    import random
+
+    rnd = random.Random(5)
+    ticks = [("AB"[i % 2], rnd.randrange(40_000), float(rnd.choice((0, rnd.randrange(1, 60))))) for i in range(500)]
+    kinds = ("Market", "Limit", "StopMarket", "StopLimit", "TakeProfitMarket", "TakeProfitLimit", "TrailingStopMarket")
+    orders = [(i, "ABC"[i % 3], rnd.choice(("BUY", "SELL")), k := rnd.choice(kinds), float(rnd.randrange(1, 60)), rnd.choice((0.2, 0.5, 1.5)) if k[0] == "T" and k[1] == "r" else float(rnd.randrange(1, 60)), rnd.randrange(40_000)) for i in range(300)]
+
+    def scan(symbol, side, kind, price, stop, created):
+        buy, now = side == "BUY", [(t, p) for s, t, p in ticks if s == symbol and created <= t <= created + 7000]
+        for t in sorted({t for t, _ in now}):
+            best = (min if buy else max)(p for u, p in now if u <= t)
+            hits = []
+            for p in (p for u, p in now if u == t):
+                rises, level = (buy, stop) if kind[:4] == "Stop" else (buy, best * (1 + stop if buy else 1 - stop)) if kind[:2] == "Tr" else (not buy, price if kind == "Limit" else stop)
+                hits += [p] if kind == "Market" or (p >= level if rises else p <= level) else []
+            if hits:
+                return t, price if kind == "Limit" else (max if rises and kind != "Market" else min)(hits)
+        return None, None
+
+    o = spark.createDataFrame(orders, "id long, symbol string, side string, order_type string, price double, stop_price double, created_at long")
+    p = spark.createDataFrame(ticks, "symbol string, timestamp long, price double")
+    got = {r.id: (r.filled_at, r.fill_price) for r in B.fills(o, p, 7000, bucket=3000, pack=40).collect()}
+    assert got == {i: scan(*rest) for i, *rest in orders}

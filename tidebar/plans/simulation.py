@@ -15,12 +15,15 @@ net profit once more, so the sum of profits isn't the change of the balance.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.reach import chain, first_reach
 from ..operators.series import frames, number_rows, running, states
@@ -28,6 +31,10 @@ from ..shared import cut
 from .analytics import ratio
 from .strategies import Callbacks
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 EIGHT_HOURS = 8 * 3_600_000
 
 
@@ -237,32 +244,123 @@ def backtest_stats(trades: DataFrame, config: BacktestConfig = BacktestConfig(),
     return every.select(*keys).distinct().join(found, list(keys), "left").fillna(zeros)
 
 
-def fills(orders: DataFrame, prices: DataFrame, horizon: int, bucket: int = 3_600_000) -> DataFrame:
+#: Orders and prices that a task of ``fills`` holds, more only where the span of one order has more.
+PACK = 50_000
+
+
+def fills(orders: DataFrame, prices: DataFrame, horizon: int, bucket: int = 3_600_000, pack: int = PACK) -> DataFrame:
     """First fill of each order on the prices of its symbol within ``horizon`` ms of its creation, null if there is none.
 
-    Orders meet prices by symbol and hour, so an order sees only its own time.
-    A trailing stop follows the best price since the order; ``stop_price`` is its callback rate.
+    Hours of a symbol are packed until they hold ``pack`` rows; orders of a pack
+    meet the prices of its hours and of those that its last orders still see.
+    There each order searches its first fill by jumps of powers of two, so no pair
+    of an order and a price is ever made. A trailing stop follows the best price
+    since the order; ``stop_price`` is its callback rate. Of prices at one time, a
+    rise takes the highest, all else the lowest.
     """
     c = F.col
-    hours = F.sequence(F.floor(c("created_at") / bucket), F.floor((c("created_at") + horizon) / bucket))
-    o = orders.withColumn("_hour", F.explode(hours))
-    p = prices.select("symbol", F.floor(c("timestamp") / bucket).alias("_hour"), "timestamp", c("price").alias("now"))
-    d = o.join(p, ["symbol", "_hour"]).where(c("timestamp").between(c("created_at"), c("created_at") + horizon))
-    w = W.partitionBy("id").orderBy("timestamp").rowsBetween(W.unboundedPreceding, 0)
-    buy, now, kind = c("side") == "BUY", c("now"), c("order_type")
-    best = F.when(buy, F.min("now").over(w)).otherwise(F.max("now").over(w))
-    d = d.withColumn("best", best)
-    rises, falls = lambda x: now >= x, lambda x: now <= x
-    hit = (
-        F.when(kind == "Market", True)
-        .when(kind == "Limit", F.when(buy, falls(c("price"))).otherwise(rises(c("price"))))
-        .when(kind.isin("StopMarket", "StopLimit"), F.when(buy, rises(c("stop_price"))).otherwise(falls(c("stop_price"))))
-        .when(kind.isin("TakeProfitMarket", "TakeProfitLimit"), F.when(buy, falls(c("stop_price"))).otherwise(rises(c("stop_price"))))
-        .otherwise(F.when(buy, rises(c("best") * (1 + c("stop_price")))).otherwise(falls(c("best") * (1 - c("stop_price")))))
-    )
-    price = F.when(kind == "Limit", c("price")).otherwise(now)
-    first = d.where(hit).groupBy("id").agg(F.min("timestamp").alias("filled_at"), F.min_by(price, "timestamp").alias("fill_price"))
-    return orders.join(first, "id", "left").withColumn("status", F.when(c("filled_at").isNotNull(), "Filled").otherwise("Open"))
+    hour = lambda time: F.floor(c(time) / bucket)
+    o = orders.withColumn("_hour", hour("created_at"))
+    p = prices.where("symbol IS NOT NULL AND timestamp IS NOT NULL").select("symbol", hour("timestamp").alias("_hour"), c("timestamp").cast("long").alias("timestamp"), c("price").cast("double").alias("now"))
+    hours = o.groupBy("symbol", "_hour").agg(F.count("*").alias("_n"), F.lit(True).alias("_asks")).unionByName(p.groupBy("symbol", "_hour").agg(F.count("*").alias("_n"), F.lit(False).alias("_asks")))
+    hours = hours.groupBy("symbol", "_hour").agg(F.sum("_n").alias("_n"), F.max("_asks").alias("_asks"))
+    packs = cut(hours.withColumn("_pack", F.floor((F.sum("_n").over(W.partitionBy("symbol").orderBy("_hour")) - c("_n")) / pack)).where("_asks").select("symbol", "_hour", "_pack"))
+    ahead = (bucket - 1 + horizon) // bucket
+    seen = packs.select("symbol", F.explode(F.sequence("_hour", c("_hour") + ahead)).alias("_hour"), "_pack").distinct()
+    o = o.join(packs.where("symbol IS NOT NULL AND _hour IS NOT NULL"), ["symbol", "_hour"], "left").drop("_hour")
+    p = p.join(seen, ["symbol", "_hour"]).select("symbol", "_pack", "timestamp", "now")
+    filled = {"filled_at": T.LongType(), "fill_price": T.DoubleType()}
+    schema = T.StructType([*orders.schema.fields, *(T.StructField(n, kind) for n, kind in filled.items())])
+    search = partial(_first_fills, horizon=horizon, columns=orders.columns)
+    d = o.groupBy("symbol", "_pack").cogroup(p.groupBy("symbol", "_pack")).applyInArrow(search, schema)
+    return d.withColumn("status", F.when(c("filled_at").isNotNull(), "Filled").otherwise("Open"))
+
+
+def _first_fills(asked: pa.Table, held: pa.Table, horizon: int, columns: list[str]) -> pa.Table:
+    """``asked`` with the time and price of the first fill of each order, from the prices of one symbol."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    number = lambda x: pc.cast(x, pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+    text = lambda n: pc.fill_null(pc.cast(asked[n], pa.string()), "").to_numpy(zero_copy_only=False).astype(str)
+    kind, buy, limit, stop = text("order_type"), text("side") == "BUY", number(asked["price"]), number(asked["stop_price"])
+    created, known = pc.fill_null(asked["created_at"], 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(asked["created_at"]).to_numpy(zero_copy_only=False)
+    time, now = held["timestamp"].to_numpy(zero_copy_only=False).astype(np.int64), number(held["now"])
+    missing = pc.is_null(held["now"]).to_numpy(zero_copy_only=False)
+    order = np.argsort(time, kind="stable")
+    time, now, missing = time[order], np.where(np.isnan(now), np.inf, now)[order], missing[order]
+    begins = np.flatnonzero(np.diff(time, prepend=time[:1] - 1)) if len(time) else np.zeros(0, int)
+    time = time[begins]
+    low = np.minimum.reduceat(now, begins) if len(time) else now
+    high = np.maximum.reduceat(np.where(missing, -np.inf, now), begins) if len(time) else now
+    start, end = np.searchsorted(time, created), np.searchsorted(time, created + horizon, "right")
+    end = np.where(known, end, start)
+    market, limited = kind == "Market", kind == "Limit"
+    stops, takes = np.isin(kind, ("StopMarket", "StopLimit")), np.isin(kind, ("TakeProfitMarket", "TakeProfitLimit"))
+    trailing = ~(market | limited | stops | takes)
+    rises = np.where(stops | trailing, buy, ~buy) & ~market
+    at, level = np.where(market, start, end), np.where(limited, limit, stop)
+    for up, value in ((True, high), (False, -low)):
+        to = np.where(up, level, -level)
+        plain = np.flatnonzero((limited | stops | takes) & (rises == up))
+        at[plain] = _first_at_least(value, start[plain], end[plain], to[plain])
+        # A falling trail is a rising one of prices turned round.
+        for rate in np.unique(stop[trailing & (buy == up)]):
+            of = np.flatnonzero(trailing & (buy == up) & (stop == rate))
+            at[of] = _first_rise(value, low if up else -high, start[of], end[of], 1 + rate if up else 1 - rate)
+    hit = at < end
+    place = np.where(hit, at, 0)
+    price = np.where(rises, high[place], low[place]) if len(time) else np.zeros(len(at))
+    lost = hit & np.isinf(price)  # null or not a number: only an order that takes any price meets it
+    price = np.where(limited, limit, price)
+    out = {"filled_at": pa.array(time[place] if len(time) else place, pa.int64(), mask=~hit), "fill_price": pa.array(price, pa.float64(), mask=~hit | lost)}
+    return pa.table({n: asked[n] for n in columns} | out)
+
+
+def _doubled(x: np.ndarray, join: Callable) -> Iterator[np.ndarray]:
+    """``x`` joined over 1, 2, 4 rows and so on from each place on, as far as there are that many."""
+    k = 1
+    while len(x):
+        yield x
+        x, k = join(x[:-k], x[k:]), 2 * k
+
+
+def _first_at_least(value: np.ndarray, start: np.ndarray, end: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first place from ``start`` on, before ``end``, with a value of at least ``level``; ``end`` if there is none."""
+    import numpy as np
+
+    at, tops = start.copy(), list(_doubled(value, np.maximum))
+    for k in range(len(tops) - 1, -1, -1):
+        fits = np.flatnonzero(at + (1 << k) <= end)
+        passed = fits[~(tops[k][at[fits]] >= level[fits])]
+        at[passed] += 1 << k
+    return at
+
+
+def _first_rise(high: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, factor: float) -> np.ndarray:
+    """The first place from ``start`` on, before ``end``, whose ``high`` is at least ``factor`` times the least ``low`` since ``start``.
+
+    A stretch has such a place if one rises from a low of the stretch itself or from the least one before it.
+    """
+    import numpy as np
+
+    if factor < 0:  # then a lower low makes it harder
+        rows = ((s, high[s:e] >= np.minimum.accumulate(low[s:e]) * factor) for s, e in zip(start, end))
+        return np.array([s + (hit.argmax() if hit.any() else len(hit)) for s, hit in rows], np.int64)
+    at, least = start.copy(), np.full(len(start), np.inf)
+    tops, lows = list(_doubled(high, np.maximum)), list(_doubled(low, np.minimum))
+    within = [high >= low * factor]
+    for k in range(len(tops) - 1):
+        n = len(tops[k + 1])
+        within.append(within[k][:n] | within[k][1 << k :] | (tops[k][1 << k :] >= lows[k][:n] * factor))
+    for k in range(len(tops) - 1, -1, -1):
+        fits = np.flatnonzero(at + (1 << k) <= end)
+        place = at[fits]
+        passed = ~(within[k][place] | (np.isfinite(least[fits]) & (tops[k][place] >= least[fits] * factor)))
+        least[fits[passed]] = np.minimum(least[fits[passed]], lows[k][place[passed]])
+        at[fits[passed]] += 1 << k
+    return at
 
 
 def position_step(state: tuple, side: str, quantity: float, price: float) -> tuple[tuple, str]:
