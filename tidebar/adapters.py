@@ -51,3 +51,12 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_retailprice")).alias("entry_price"), F.col("l_quantity").alias("quantity"), (profit / 100.0).alias("profit"), (profit * 100.0 / cost).alias("profit_pct"), profit.alias("profit_cents"),
         F.least(a, b).alias("entry_time"), F.greatest(a, b).alias("exit_time"), F.floor(F.abs(a - b) / M15).cast("long").alias("duration_candles"), (1 + F.col("l_linenumber") % 3).cast("int").alias("leverage"), F.lit("Signal").alias("exit_reason"),
     )
+
+
+def rounded(value: Column | str, digits: int = 6) -> Column:
+    """A double rounded by its own value, halves away from zero; ``F.round`` rounds its shortest decimal, which may lie on a half that the value misses."""
+    y = (F.col(value) if isinstance(value, str) else value) * 10.0**digits
+    size = F.abs(y)
+    low = F.floor(size).cast("double")
+    whole = F.signum(y) * F.when(size - low >= 0.5, low + 1).otherwise(low)
+    return F.when(size < 2.0**52, whole).otherwise(y) / 10.0**digits

@@ -26,11 +26,20 @@ def _safe(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(otherwise)
 
 
-def feature_matrix(candles: DataFrame, cvd_window: int = 15) -> DataFrame:
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` as floating point has it, where Spark raises an error: over zero it is infinite, or not a number if ``a`` is neither above nor below zero."""
+    inf = F.lit(float("inf"))
+    over_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, inf).when(a < 0, -inf)
+    return F.when(b == 0, over_zero).otherwise(a / b)
+
+
+def feature_matrix(candles: DataFrame, cvd_window: int = 15, plain: bool = False) -> DataFrame:
     """symbol, timestamp (close of the bar), rn and the 22 features; an indicator before its warm-up counts as 0.
 
     Each bar's delta sum runs over its own last ``cvd_window`` bars, so later bars change nothing.
+    A share of a price of zero is 0; with ``plain`` it is the quotient as it comes, infinite or not a number.
     """
+    share = quotient if plain else _safe
     d = number_rows(candles)
     d = I.previous(d, out="_p")
     change, prev = F.col("close") - F.col("_p"), F.col("_p")
@@ -47,20 +56,20 @@ def feature_matrix(candles: DataFrame, cvd_window: int = 15) -> DataFrame:
     d = I.volume_sma(I.bollinger(d))
     d = frames(d, lambda w: {"_cum": F.sum("_d").over(w.rowsBetween(-(cvd_window - 1), 0)), "_obv": F.lag("obv").over(w), "_rsi3": F.lag("_rsi", 3).over(w)}, max(cvd_window - 1, 3))
     c, close = F.col, F.col("close")
-    rel = lambda x: c(x) / c("_base")
+    rel = lambda x: quotient(c(x), c("_base"))
     values = [
-        rel("open"), rel("high"), rel("low"), rel("close"), c("volume"), _safe(c("taker_buy_volume"), c("volume"), 0.5), c("_d"), c("_cum"), _safe(close - c("open"), c("open")), _safe(c("high") - c("low"), c("open")), c("_rsi"),
-        _safe(I.or_zero("ema9"), I.or_zero("ema21"), 1.0), _safe(I.or_zero("macd_histogram"), close), I.or_zero("bb_pct_b"), I.or_zero("bb_bandwidth"), _safe(I.or_zero("atr"), close), _safe(c("obv") - F.coalesce(c("_obv"), c("obv")), c("volume")),
-        _safe(close - c("vwap"), close), c("_rsi") - F.coalesce(c("_rsi3"), c("_rsi")), _safe(I.or_zero("macd") - I.or_zero("macd_signal"), close), _safe(c("volume"), c("volume_sma"), 1.0), _safe(close - I.or_zero("ema9"), close),
+        rel("open"), rel("high"), rel("low"), rel("close"), c("volume"), _safe(c("taker_buy_volume"), c("volume"), 0.5), c("_d"), c("_cum"), share(close - c("open"), c("open")), share(c("high") - c("low"), c("open")), c("_rsi"),
+        _safe(I.or_zero("ema9"), I.or_zero("ema21"), 1.0), share(I.or_zero("macd_histogram"), close), I.or_zero("bb_pct_b"), I.or_zero("bb_bandwidth"), share(I.or_zero("atr"), close), _safe(c("obv") - F.coalesce(c("_obv"), c("obv")), c("volume")),
+        share(close - c("vwap"), close), c("_rsi") - F.coalesce(c("_rsi3"), c("_rsi")), share(I.or_zero("macd") - I.or_zero("macd_signal"), close), _safe(c("volume"), c("volume_sma"), 1.0), share(close - I.or_zero("ema9"), close),
     ]
     return d.select("symbol", c("close_time").alias("timestamp"), "rn", *(v.alias(n) for n, v in zip(FEATURES, values)))
 
 
-def last_window(candles: DataFrame, cvd_window: int = 15) -> DataFrame:
+def last_window(candles: DataFrame, cvd_window: int = 15, plain: bool = False) -> DataFrame:
     """Only the last ``cvd_window`` bars of each symbol, the delta sum starting with the first of them."""
     d = tail(candles, cvd_window).select("symbol", F.col("close_time").alias("timestamp"), I.delta().alias("_d"))
     d = d.withColumn("_cum", F.sum("_d").over(W.partitionBy("symbol").orderBy("timestamp")))  # a few rows a symbol
-    m = feature_matrix(candles, cvd_window).join(d.select("symbol", "timestamp", "_cum"), ["symbol", "timestamp"])
+    m = feature_matrix(candles, cvd_window, plain).join(d.select("symbol", "timestamp", "_cum"), ["symbol", "timestamp"])
     return m.withColumn("cvd_cumulative", F.col("_cum")).drop("_cum")
 
 
@@ -130,21 +139,24 @@ def concat_timeframes(base: DataFrame, others: dict[str, DataFrame]) -> DataFram
 CROSS = ("price_ratio", "volume_ratio", "relative_strength", "spread", "corr_momentum")
 
 
-def cross_pair(p: str, c: str) -> list[Column]:
-    """Five figures of a primary bar ``p`` and a correlated bar ``c`` (structs); zeros where one is missing."""
+def cross_pair(p: str, c: str, plain: bool = False) -> list[Column]:
+    """Five figures of a primary bar ``p`` and a correlated bar ``c`` (structs); zeros where one is missing.
+
+    Shares of a price of zero are 0, with ``plain`` quotients as they come.
+    """
     f = lambda s, n: F.col(f"{s}.{n}")
-    big = lambda x: F.abs(x) > 1e-10
-    change = lambda s: F.when(big(f(s, "open")), (f(s, "close") - f(s, "open")) / f(s, "open")).otherwise(0.0)
+    share = quotient if plain else lambda a, b: F.when(F.abs(b) > 1e-10, a / b).otherwise(0.0)
+    change = lambda s: share(f(s, "close") - f(s, "open"), f(s, "open"))
     delta = lambda s: f(s, "taker_buy_volume") - f(s, "taker_sell_volume")
     price = f(p, "close")
     values = (
-        F.when(big(price), f(c, "close") / price).otherwise(0.0), f(c, "volume") / F.greatest(f(p, "volume"), F.lit(1e-10)), change(c) - change(p), F.when(big(price), (price - f(c, "close")) / price).otherwise(0.0), delta(c) - delta(p),
+        share(f(c, "close"), price), f(c, "volume") / F.greatest(f(p, "volume"), F.lit(1e-10)), change(c) - change(p), share(price - f(c, "close"), price), delta(c) - delta(p),
     )
     known = F.col(p).isNotNull() & F.col(c).isNotNull()
     return [F.when(known, v).otherwise(0.0).alias(n) for n, v in zip(CROSS, values)]
 
 
-def correlated(candles: DataFrame, primary: str, others: Sequence[str], interval: int) -> DataFrame:
+def correlated(candles: DataFrame, primary: str, others: Sequence[str], interval: int, plain: bool = False) -> DataFrame:
     """For each bar of the primary symbol and each other symbol: the other's bar as of its close, five derived figures, and whether it is stale (older than two bars)."""
     if primary in others or len(set(others)) != len(others):
         raise ValueError("the other symbols must differ from the primary and from each other")
@@ -152,7 +164,7 @@ def correlated(candles: DataFrame, primary: str, others: Sequence[str], interval
     right = candles.where(F.col("symbol").isin(list(others))).withColumn("pair", F.col("symbol"))
     d = asof_join(left, right, "close_time", "close_time", keys=("pair",), name="other")
     age = F.col("close_time") - F.col("other.close_time")
-    return d.select("pair", F.col("close_time").alias("timestamp"), F.col("other.close_time").alias("matched"), *cross_pair("primary", "other"), F.coalesce(age > 2 * interval, F.lit(False)).alias("stale"))
+    return d.select("pair", F.col("close_time").alias("timestamp"), F.col("other.close_time").alias("matched"), *cross_pair("primary", "other", plain), F.coalesce(age > 2 * interval, F.lit(False)).alias("stale"))
 
 
 def merge_pairs(features: DataFrame, primary: str, others: Sequence[str], first: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ T = f"WITH {sql.TRADES}"
 
 
 def _r(d, *names, digits=6):
-    return d.withColumns({n: F.round(n, digits) for n in names})
+    return d.withColumns({n: A.rounded(n, digits) for n in names})
 
 
 CENT = "coalesce(CAST(sum(CAST(round(({}) * 100) AS BIGINT)) AS BIGINT), 0) / 100.0::DOUBLE"

@@ -19,7 +19,7 @@ def numbered(spark, sf):
 
 
 def _r(*names, digits=6):
-    return [F.round(n, digits).alias(n) for n in names]
+    return [A.rounded(n, digits).alias(n) for n in names]
 
 
 BAR = "symbol, open_time, close_time, open, high, low, close, volume, quote_volume, trades, taker_buy_volume, taker_sell_volume"
