@@ -36,19 +36,22 @@ def retrained(d: DataFrame, features: Sequence[str], label: str = "label", every
     versions = F.sequence(F.ceil(last / every), F.floor((last + window - 1) / every))
     x = x.withColumn("version", F.explode(F.when(F.ceil(last / every) <= F.floor((last + window - 1) / every), versions)))
     at = d.where(F.col("rn") % every == 0).select(*keys, (F.col("rn") / every).cast("long").alias("version"), F.col(time).alias("trained_at"))
-    schema = T.StructType([*(d.schema[k] for k in keys), T.StructField("version", T.LongType()), T.StructField("samples", T.LongType()), T.StructField("weights", WEIGHTS)])
+    schema = T.StructType([*(d.schema[k] for k in keys), T.StructField("version", T.LongType()), T.StructField("samples", T.LongType()), T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()), False))])
+    # What isn't a number comes back from pandas as null.
+    numbers = F.transform("weights", lambda w: F.transform(w, lambda v: F.coalesce(v, F.lit(float("nan")))))
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("rn")
         rows, wanted = np.array(p["x"].tolist(), float), np.eye(len(ACTIONS))[p["y"].to_numpy()]
         weights = np.zeros((len(ACTIONS), rows.shape[1]))
-        for _ in range(epochs):
-            scores = rows @ weights.T
+        for epoch in range(epochs):
+            # Zero weights give equal chances, whatever the features; of infinite ones they would give none.
+            scores = rows @ weights.T if epoch else np.zeros((len(rows), len(ACTIONS)))
             chance = np.exp(scores - scores.max(1, keepdims=True))
             weights += rate / len(rows) * (wanted - chance / chance.sum(1, keepdims=True)).T @ rows
         return pd.DataFrame([[*(p[k].iloc[0] for k in keys), p["version"].iloc[0], len(p), weights.tolist()]], columns=schema.names)
 
-    return x.groupBy(*keys, "version").applyInPandas(fit, schema).join(at, [*keys, "version"]).select(*keys, "version", "trained_at", "samples", "weights")
+    return x.groupBy(*keys, "version").applyInPandas(fit, schema).join(at, [*keys, "version"]).select(*keys, "version", "trained_at", "samples", numbers.alias("weights"))
 
 
 def save(versions: DataFrame, path: str) -> None:
