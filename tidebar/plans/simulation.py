@@ -29,6 +29,7 @@ from ..operators.reach import chain, first_reach
 from ..operators.series import frames, number_rows, running, states
 from ..shared import cut
 from .analytics import ratio
+from .features import quotient
 from .strategies import Callbacks
 
 if TYPE_CHECKING:
@@ -136,7 +137,7 @@ def priced_positions(d: DataFrame, config: BacktestConfig = BacktestConfig(), tr
         t = t.withColumns({"_fee_rate": F.lit(config.fee_rate), "_size": F.lit(config.size)})
     bar = lambda x: d.select("symbol", c("rn").alias(f"{x}_rn"), c("open_time").alias(f"{x}_time"), c("close").alias(f"{x}_price"))
     t = t.join(bar("entry"), ["symbol", "entry_rn"]).join(bar("exit"), ["symbol", "exit_rn"])
-    move, held = c("exit_price") / c("entry_price"), c("exit_rn") - c("entry_rn")
+    move, held = quotient(c("exit_price"), c("entry_price")), c("exit_rn") - c("entry_rn")
     funding = F.floor(held / c("_every")) * config.funding_rate
     gain = F.when(c("side") == "BUY", move - 1).otherwise(1 - move)
     return t.withColumns({"_move": move, "_funding": funding, "_net": gain - move * c("_fee_rate") - funding})
@@ -157,7 +158,7 @@ def _records(t: DataFrame, keys: tuple[str, ...], value: Column, config: Backtes
     """Trade records from priced positions with ``_balance`` and ``_factor``; ``value`` is what a trade puts in."""
     c = F.col
     return t.select(
-        F.concat(F.lit("bt-"), c("trade").cast("string")).alias("id"), *keys, "trade", "side", "entry_rn", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", (value / c("entry_price")).alias("quantity"), (value * c("_net")).alias("profit"),
+        F.concat(F.lit("bt-"), c("trade").cast("string")).alias("id"), *keys, "trade", "side", "entry_rn", "exit_rn", "entry_time", "exit_time", "entry_price", "exit_price", quotient(value, c("entry_price")).alias("quantity"), (value * c("_net")).alias("profit"),
         (c("_net") * 100 * config.leverage).alias("profit_pct"), (c("exit_rn") - c("entry_rn")).alias("duration_candles"), (F.coalesce("exit_reason", F.lit("Signal")) if "exit_reason" in t.columns else F.lit("Signal")).alias("exit_reason"), F.lit(config.leverage).alias("leverage"), (value * (c("_fee_rate") + c("_move") * c("_fee_rate") + c("_funding"))).alias("fee"),
         c("_balance").alias("balance_before"), (c("_balance") * c("_factor")).alias("balance_after"), c("_every").alias("funding_every"),
     )
@@ -176,7 +177,8 @@ def backtest(d: DataFrame, config: BacktestConfig = BacktestConfig(), trials: Da
         config = replace(config, size=config.size if rules.size is None else rules.size)
     share = c("_size") * config.leverage
     t = cut(priced_positions(d, config, trials, positions, acts).withColumn("_factor", 1 - share * c("_fee_rate") - share * c("_funding") + share * c("_net")))
-    t = running(t.withColumn("rn", c("trade")), {"_all": ("product", c("_factor"))}, keys).withColumn("_balance", c("_all") / c("_factor") * config.initial_balance)
+    t = running(t.withColumn("rn", c("trade")), {"_all": ("product", c("_factor"))}, keys)
+    t = frames(t, lambda w: {"_before": F.lag("_all", 1, 1.0).over(w)}, back=1, keys=keys).withColumn("_balance", c("_before") * config.initial_balance)
     return _records(t, keys, c("_balance") * share, config)
 
 
