@@ -259,3 +259,21 @@ def test_fills_search_every_window_like_a_scan(spark):
     p = spark.createDataFrame(ticks, "symbol string, timestamp long, price double")
     got = {r.id: (r.filled_at, r.fill_price) for r in B.fills(o, p, 7000, bucket=3000, pack=40).collect()}
     assert got == {i: scan(*rest) for i, *rest in orders}
+
+
+def test_position_events_by_chunks_follow_the_whole_series(spark):
+    """Chunks of three fills each: openings, closings, flips and entries carried over several chunks."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [("AB"[rnd.randrange(2)], i, rnd.choice(("BUY", "SELL")), float(rnd.randrange(1, 4)), float(rnd.randrange(1, 50))) for i in range(120)]
+    rows += [("C", i, "BUY" if i % 2 else "SELL", 2.0, float(i + 1)) for i in range(12)]
+    want, state = {}, {}
+    for s, seq, side, q, price in rows:
+        state[s], event = B.position_step(state.get(s, (0.0, 0.0, 0.0)), side, q, price)
+        want[s, seq] = (event, *state[s])
+    d = spark.createDataFrame(rows, "symbol string, seq long, side string, quantity double, price double").repartition(3)
+    got = {(r.symbol, r.seq): (r.event, r.quantity, r.entry_price, r.realized_pnl) for r in B.position_events(d, size=3).collect()}
+    assert got.keys() == want.keys() and {e for e, *_ in got.values()} == {"Opened", "Increased", "Reduced", "Flipped", "Closed"}
+    for k, (event, *numbers) in want.items():
+        assert got[k][0] == event and got[k][1:] == pytest.approx(numbers)

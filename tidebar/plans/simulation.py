@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.reach import chain, first_reach
-from ..operators.series import frames, number_rows, running, states
+from ..operators.series import CHUNK, frames, number_rows, running, states
 from ..shared import cut
 from .analytics import ratio
 from .features import quotient
@@ -381,18 +381,58 @@ def position_step(state: tuple, side: str, quantity: float, price: float) -> tup
     return (left, entry, realized) if left * held > 0 else (left, price, realized), "Reduced" if left * held > 0 else "Flipped"
 
 
-def position_events(fills_: DataFrame) -> DataFrame:
-    """What each fill (symbol, seq, side, quantity, price) does to the position of its symbol."""
+def position_events(fills_: DataFrame, size: int = CHUNK) -> DataFrame:
+    """What each fill (symbol, seq, side, quantity, price) does to the position of its symbol.
+
+    The quantity held at the start of a chunk is a running sum. Given that, a chunk
+    takes the entry price e before it to a e + b and adds c e + d to the realised
+    result: only these four, a row a chunk, are followed in order, and the chunks
+    are then walked each alone.
+    """
     import pandas as pd
 
+    d = number_rows(fills_.select("symbol", "seq", "side", "quantity", "price"), "seq", span=4096).withColumn("_chunk", F.floor((F.col("rn") - 1) / size))
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    earlier = W.partitionBy("symbol").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    held = d.groupBy("symbol", "_chunk").agg(F.sum(signed).alias("_sum")).select("symbol", "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_held"))
+    d = cut(d.join(held, ["symbol", "_chunk"]))
+    rows = lambda p: p.sort_values("rn")[["side", "quantity", "price"]].itertuples(index=False)
+
+    def compose(p: pd.DataFrame) -> pd.DataFrame:
+        held, (a, b, c, d) = p["_held"].iloc[0], (1.0, 0.0, 0.0, 0.0)
+        for side, quantity, price in rows(p):
+            # The same step, of an entry price of a e + b: b goes through it, a is scaled or dropped with the old entry.
+            (total, entry, gained), _ = position_step((held, b, 0.0), side, quantity, price)
+            signed = quantity if side == "BUY" else -quantity
+            if held == 0 or held * signed > 0:
+                a *= abs(held) / abs(total) if total else 1.0
+            else:
+                c -= min(abs(held), quantity) * a * (1 if held > 0 else -1)
+                a = a if total * held > 0 else 0.0
+            held, b, d = total, entry, d + gained
+        return pd.DataFrame([[p["symbol"].iloc[0], p["_chunk"].iloc[0], a, b, c, d]], columns=["symbol", "_chunk", "a", "b", "c", "d"])
+
+    def follow(p: pd.DataFrame) -> pd.DataFrame:
+        entry, realized, out = 0.0, 0.0, []
+        for symbol, chunk, a, b, c, d in p.sort_values("_chunk")[["symbol", "_chunk", "a", "b", "c", "d"]].itertuples(index=False):
+            out.append((symbol, chunk, entry, realized))
+            entry, realized = a * entry + b, realized + c * entry + d
+        return pd.DataFrame(out, columns=["symbol", "_chunk", "_entry", "_realized"])
+
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        state, out = (0.0, 0.0, 0.0), []
-        for seq, side, quantity, price in p.sort_values("seq")[["seq", "side", "quantity", "price"]].itertuples(index=False):
+        p = p.sort_values("rn")
+        state, out = tuple(p[["_held", "_entry", "_realized"]].iloc[0]), []
+        for side, quantity, price in rows(p):
             state, event = position_step(state, side, quantity, price)
-            out.append((p["symbol"].iloc[0], seq, event, *state))
-        return pd.DataFrame(out, columns=["symbol", "seq", "event", "quantity", "entry_price", "realized_pnl"])
-
-    return fills_.groupBy("symbol").applyInPandas(fold, "symbol string, seq long, event string, quantity double, entry_price double, realized_pnl double")
+            out.append((event, *state))
+        after = pd.DataFrame(out, columns=["event", "quantity", "entry_price", "realized_pnl"])
+        after.insert(0, "seq", p["seq"].to_numpy())
+        after.insert(0, "symbol", p["symbol"].to_numpy())
+        return after
+
+    maps = d.groupBy("symbol", "_chunk").applyInPandas(compose, "symbol string, _chunk long, a double, b double, c double, d double")
+    starts = maps.groupBy("symbol").applyInPandas(follow, "symbol string, _chunk long, _entry double, _realized double")
+    return d.join(starts, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(fold, "symbol string, seq long, event string, quantity double, entry_price double, realized_pnl double")
 
 
 def position_quantities(fills_: DataFrame) -> DataFrame:
