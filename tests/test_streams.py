@@ -94,3 +94,20 @@ def test_orders_keep_cooldown_and_price_over_a_restart(spark, base):
     run({0: rows[:3], 1: rows[3:5]})
     got = run({2: rows[5:]}).orderBy("timestamp").collect()
     assert [(r.timestamp, r.price) for r in got] == [(0, None), (110, 7.0), (210, 8.0)]
+
+
+def test_positions_leave_a_large_batch_in_slices(spark, tmp_path, monkeypatch):
+    """More rows of a symbol than a slice: all of them, in order of seq, whatever the order in the file."""
+    rows = [(i * 7919 % 25_000, "BUY" if i % 3 else "SELL") for i in range(25_000)]
+    path = str(tmp_path / "fills")
+    d = spark.createDataFrame(rows, "seq long, side string").selectExpr("'A' AS symbol", "seq", "side", "1.0D AS quantity", "2.0D AS price")
+    d.coalesce(1).write.parquet(path)
+    from tidebar.streaming import queries as S
+
+    assert S.SLICE < 25_000
+    out = S.drain(S.positions(spark.readStream.schema(d.schema).parquet(path)), "slices").orderBy("seq").collect()
+    held, want = 0.0, []
+    for seq, side in sorted(rows):
+        held += 1.0 if side == "BUY" else -1.0
+        want.append((seq, held))
+    assert [(r.seq, r.quantity) for r in out] == want

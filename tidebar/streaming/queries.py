@@ -34,19 +34,29 @@ def bars(ticks: DataFrame, interval: int, delay: str = "0 seconds", tie: str | N
     return d.select("symbol", start.alias("open_time"), (start + interval - 1).alias("close_time"), "open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_volume", "taker_sell_volume")
 
 
+#: Rows that ``positions`` gives out at a time.
+SLICE = 10_000
+
+
 def positions(fills: DataFrame) -> DataFrame:
     """Position events from a stream of fills (symbol, seq, side, quantity, price); the position of a symbol is its state."""
+    import numpy as np
     import pandas as pd
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else (0.0, 0.0, 0.0)
-        rows = pd.concat([p for p in parts if len(p)]).sort_values("seq")
-        out = []
-        for seq, side, quantity, price in rows[["seq", "side", "quantity", "price"]].itertuples(index=False):
-            now, event = position_step(now, side, quantity, price)
-            out.append((key[0], seq, event, *now))
+        # A batch may hold a whole table, so it is kept as arrays of numbers and given out in slices.
+        slim = [(p["seq"].to_numpy("int64"), (p["side"] == "BUY").to_numpy(), p["quantity"].to_numpy(float), p["price"].to_numpy(float)) for p in parts if len(p)]
+        columns = [np.concatenate(c) for c in zip(*slim)]
+        del slim
+        order = np.argsort(columns[0], kind="stable")
+        for i in range(0, len(order), SLICE):
+            out = []
+            for seq, buy, quantity, price in zip(*(c[order[i : i + SLICE]].tolist() for c in columns)):
+                now, event = position_step(now, "BUY" if buy else "SELL", quantity, price)
+                out.append((key[0], seq, event, *now))
+            yield pd.DataFrame(out, columns=["symbol", "seq", "event", "quantity", "entry_price", "realized_pnl"])
         state.update(now)
-        yield pd.DataFrame(out, columns=["symbol", "seq", "event", "quantity", "entry_price", "realized_pnl"])
 
     return fills.groupBy("symbol").applyInPandasWithState(step, "symbol string, seq long, event string, quantity double, entry_price double, realized_pnl double", "held double, entry double, realized double", "append", GroupStateTimeout.NoTimeout)
 
