@@ -277,3 +277,19 @@ def test_position_events_by_chunks_follow_the_whole_series(spark):
     assert got.keys() == want.keys() and {e for e, *_ in got.values()} == {"Opened", "Increased", "Reduced", "Flipped", "Closed"}
     for k, (event, *numbers) in want.items():
         assert got[k][0] == event and got[k][1:] == pytest.approx(numbers)
+
+
+def test_stoploss_guard_history_numbers_times_not_trades(spark, monkeypatch):
+    """Four hundred trades at twenty times: counts by brute force, and no series longer than the times of its symbol."""
+    from tidebar.operators import asof
+    from tidebar.plans import analytics as N
+
+    rows = [(str(i), "AB"[i % 2], 10 * (i * 7 % 20), "Stoploss" if i % 3 == 0 else "Signal") for i in range(400)]
+    seen = []
+    for module in (N, asof):
+        of = module.number_rows
+        monkeypatch.setattr(module, "number_rows", lambda d, *a, of=of, **k: seen.append(d.count()) or of(d, *a, **k))
+    got = N.stoploss_guard_history(spark.createDataFrame(rows, "id string, symbol string, exit_time long, exit_reason string"), 50, 60).collect()
+    want = {i: sum(s == t and at - 50 < u <= at and why == "Stoploss" for _, t, u, why in rows) for i, s, at, _ in rows}
+    assert {r.id: r.stops for r in got} == want and len(got) == 400 and all(r.locked == (r.stops >= 60) for r in got)
+    assert max(seen) <= 80

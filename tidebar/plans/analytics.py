@@ -245,14 +245,15 @@ def stoploss_guard_history(trades: DataFrame, lookback: int, max_stops: int) ->
 
     Stop-outs are counted from the start of the series; those of the time before
     a trade are the count at its time less the count at the time ``lookback`` earlier.
+    Both hang on the symbol and the time only, so they are worked out once for each time.
     """
     c = F.col
-    stops = number_rows(trades.where(c("exit_reason") == "Stoploss").select("symbol", c("exit_time").alias("_time")), "_time")
-    stops = stops.groupBy("symbol", "_time").agg(F.max("rn").alias("_upto"))
-    d = asof_join(trades.select("id", "symbol", "exit_time"), stops, "exit_time", "_time", name="_now")
-    d = asof_join(d.withColumn("_from", c("exit_time") - lookback), stops, "_from", "_time", name="_earlier")
-    count = F.coalesce(c("_now._upto"), F.lit(0)) - F.coalesce(c("_earlier._upto"), F.lit(0))
-    return d.select("id", "symbol", "exit_time", count.cast("long").alias("stops"), (count >= max_stops).alias("locked"))
+    times = cut(trades.groupBy("symbol", "exit_time").agg(F.count_if(c("exit_reason") == "Stoploss").alias("_stops")))
+    upto = cut(running(number_rows(times, "exit_time"), {"_upto": ("sum", c("_stops"))}).select("symbol", "exit_time", "_upto"))
+    d = asof_join(upto.withColumn("_from", c("exit_time") - lookback), upto.select("symbol", c("exit_time").alias("_time"), c("_upto").alias("_before")), "_from", "_time", name="_earlier")
+    count = c("_upto") - F.coalesce(c("_earlier._before"), F.lit(0))
+    d = d.select("symbol", "exit_time", count.cast("long").alias("stops"), (count >= max_stops).alias("locked"))
+    return trades.select("id", "symbol", "exit_time").join(d, ["symbol", "exit_time"]).select("id", "symbol", "exit_time", "stops", "locked")
 
 
 def exposure(positions: DataFrame) -> DataFrame:
