@@ -130,6 +130,110 @@ def test_codec_compresses_what_repeats():
     assert len(idcodec.compress(ids, 50_257)) < 0.5 * len(ids)
 
 
+def plain_block(ids, vocab):
+    """What ``compress`` writes, worked out an id at a time with whole numbers, lists and dictionaries."""
+    n = len(ids)
+    lanes = max(1, min(idcodec.LANES, n // 256))
+    steps = -(-n // lanes)
+    lanes = -(-n // steps)
+    one, two, empty = {}, {}, [[(-1, 0)] * k for k in idcodec.SLOTS]
+    bits = int(np.clip(n, 1 << 10, 1 << 20)).bit_length()
+    cells = {(r, b, a): [64, 32 * (a > 0), 32 * (b > 0)] for r in range(4) for b in range(13) for a in range(13)}
+    counts, pending, words = [0] * vocab, [], [[] for _ in range(lanes)]
+    state = [[0, 0, 0, 0, 1 << 48] for _ in range(lanes)]  # last id, the one before, run, low, span
+
+    def weights():
+        return {c: [int(v * (1020 / sum(x))) + (v > 0) for v in x] for c, x in cells.items()}
+
+    def order0():
+        top = (1 << 20) - vocab
+        f = [1 + c * top // max(1, sum(counts)) + (0 if any(counts) else top // vocab) for c in counts]
+        return f, np.cumsum([0, *f]).tolist()
+
+    def sure(slots):
+        total, top = sum(c for _, c in slots), max(c for _, c in slots)
+        return 1 + 2 * min(min(total, 63).bit_length() - 1, 5) + (8 * top >= 7 * total) if total else 0
+
+    def learned(slots, x):
+        names = [i for i, _ in slots]
+        k = names.index(x) if x in names else min(range(len(slots)), key=lambda k: slots[k][1])
+        return k, (x, min(slots[k][1] + 2, 250) if x in names else 1)
+
+    (freq, start), w = order0(), weights()
+    for t in range(steps):
+        writes, shares = [], []
+        for lane, s in enumerate(state):
+            if lane * steps + t >= n:
+                continue
+            x, (p1, p2, run, low, span) = int(ids[lane * steps + t]), s
+            h = (((p2 * 0x9E3779B1 + p1) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - bits)
+            a, b = one.get(p1, empty[0]), two.get(h, empty[1])
+            cell = run, sure(b), sure(a)
+            own = [w[cell][0] * freq[x], 0, 0]
+            first = w[cell][0] * start[x]
+            for k, slots in ((1, a), (2, b)):
+                each = w[cell][k] * float(1 << 20) / max(1, sum(c for _, c in slots))
+                first += sum(int(c * each) for i, c in slots if i < x)
+                own[k] = sum(int(c * each) for i, c in slots if i == x)
+            r = span >> 30
+            low, span = low + r * first, r * sum(own)
+            while span < 1 << 32:
+                words[lane].append(low >> 32)
+                low, span = (low & 0xFFFFFFFF) << 16, span << 16
+            shares.append((cell, [int(v * (256.0 / sum(own))) for v in own]))
+            writes += [(one, p1, a, x), (two, h, b, x)]
+            run = min(run + 1, 3) if b[0][0] == x else 0 if sum(c for _, c in b) else run >> 1
+            s[:] = x, p1, run, low, span
+            pending.append(x)
+        for table, context, slots, x in writes:
+            k, slot = learned(slots, x)
+            table[context] = table.get(context, slots)[:k] + [slot] + table.get(context, slots)[k + 1 :]
+        if t < 16 or t % 4 == 0:
+            for cell, share in shares:
+                cells[cell] = [v + d for v, d in zip(cells[cell], share)]
+            cells.update({c: [(v + 1) >> 1 for v in x] for c, x in cells.items() if sum(x) > 1 << 22})
+            w = weights()
+        if (t + 1) & t == 0 or (t + 1) % 64 == 0:
+            for x in pending:
+                counts[x] += 1
+            pending = []
+            freq, start = order0()
+    for out, (*_, low, _) in zip(words, state):
+        out += [low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]
+        for i in range(len(out) - 1, 0, -1):
+            out[i - 1] += out[i] >> 16
+            out[i] &= 0xFFFF
+    crc = zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    return b"TBM2" + np.array([n, lanes, vocab, crc, *map(len, words)], "<u4").tobytes() + np.concatenate(words).astype("<u2").tobytes()
+
+
+@pytest.mark.parametrize("slots", [(2, 1), (4, 2)])
+@pytest.mark.parametrize("n", [1, 700, 5003])
+def test_codec_equals_its_plain_version(n, slots, monkeypatch):
+    monkeypatch.setattr(idcodec, "SLOTS", slots)
+    rng = np.random.default_rng(n)
+    words = [rng.zipf(1.4, 3) % 500 for _ in range(40)]
+    ids = np.concatenate([words[k] if k < 40 else rng.integers(0, 500, 3) for k in rng.zipf(1.2, n).clip(1, 50) - 1])[:n]
+    block = idcodec.compress(ids, 500)
+    assert block == plain_block(ids, 500)
+    assert (idcodec.expand(block) == ids).all()
+
+
+def test_pieces_are_asked_once():
+    """The library is asked once for each of more pieces than a task of 100 MB has, not again at each clearing of a small cache."""
+    enc, asked = idcodec.LibraryEncoder(BYTE), []
+
+    def ask(data, starts, lengths):
+        asked.append(len(starts))
+        return np.zeros(len(starts), np.int32), np.ones(len(starts), np.int64)
+
+    enc.bpe.cache.encode = ask
+    texts = [" ".join(f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(k, k + 100_000)) for k in range(0, 1_200_000, 100_000)]
+    for text in texts + texts:
+        enc.bpe.encode_slice([text])
+    assert sum(asked) < 1.1 * 1_200_000
+
+
 def test_codec_finds_damage():
     block = bytearray(idcodec.compress(np.arange(2000), 50_257))
     block[-200] ^= 4
@@ -139,6 +243,14 @@ def test_codec_finds_damage():
         idcodec.expand(b"nothing at all here....")
 
 
+def test_codec_finds_damage_anywhere():
+    block, rng = idcodec.compress(np.random.default_rng(5).zipf(1.3, 4000) % 500, 500), np.random.default_rng(6)
+    for _ in range(30):
+        at = int(rng.integers(20 + 4 * 15, len(block) - 90))
+        with pytest.raises(ValueError):
+            idcodec.expand(block[:at] + rng.bytes(60) + block[at + 60 :])
+
+
 def test_files_round_trip(spark, frame, odd, prose, tmp_path, monkeypatch):
     monkeypatch.setattr(idcodec, "BLOCK_IDS", 700)
     docs = [r for r in odd if r[0] is not None] + [(i, prose(i % 90, seed=i), "en", "z") for i in range(20, 120)]

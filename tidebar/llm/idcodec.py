@@ -35,53 +35,70 @@ LANES, BLOCK_IDS = 4096, 1 << 21
 #: Successors that a context of order 1 and of order 2 holds; the largest count.
 SLOTS, TOP_COUNT = (2, 1), 250
 ID_BITS, WEIGHT_BITS = 20, 10
-_U = np.uint64
-_LOW32, _TOP = _U(0xFFFFFFFF), _U(1 << 32)
+_LOW32, _TOP = 0xFFFFFFFF, 1 << 32
+_H1, _H2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+def _zeros(shape, kind) -> np.ndarray:
+    """For tables read at random: numpy asks for large pages where it doesn't clear an array itself."""
+    out = np.empty(shape, kind)
+    out.fill(0)
+    return out
 
 
 class Context:
-    """Counts of a few successors for each context; a slot of all contexts is one array."""
+    """A few successors of each context and their counts.
+
+    A slot is one number, an id and one above eight bits of its count, 0 if it is empty; the slots of a context lie side by side.
+    """
 
     def __init__(self, size: int, slots: int):
-        self.ids, self.counts = [np.full(size, -1, np.int32) for _ in range(slots)], [np.zeros(size, np.int16) for _ in range(slots)]
+        self.slots, self.held = slots, _zeros((size, slots), np.int32)
 
     def look(self, at: np.ndarray) -> None:
-        self.at, self.seen, self.n = at, [x[at] for x in self.ids], [x[at] for x in self.counts]
+        self.at, held = at, self.held.take(at, axis=0, mode="clip").T
+        self.seen, self.n = [h >> 8 for h in held], [h & 255 for h in held]
         total = top = self.n[0]
         for n in self.n[1:]:
             total, top = total + n, np.maximum(top, n)
         self.total = total
-        # 0 nothing seen; then how often, in doublings, and whether one successor has nearly all of it
-        self.sure = DOUBLINGS[np.minimum(total, 63)] + (8 * top >= 7 * total)
+        # 0 nothing seen; then how often, in doublings, and whether one successor has nearly all of it (one alone always has)
+        self.sure = DOUBLINGS.take(total, mode="clip")
+        if self.slots > 1:
+            self.sure += (8 * top - 7 * total) >> 31
 
     def shares(self, mass: np.ndarray) -> list[np.ndarray]:
         """The mass dealt by count; quotients of doubles, cut to whole numbers, are the same on every machine."""
         each = mass / np.maximum(self.total, 1)
         return [(n * each).astype(np.int32) for n in self.n]
 
-    def learn(self, now: np.ndarray, here: list[np.ndarray]) -> None:
-        """Count the ids ``now``, which stand in the slots ``here``; one that stands in none takes the place of the rarest."""
-        known, least = here[0], self.n[0]
-        for h, n in zip(here[1:], self.n[1:]):
+    def learn(self, fresh: np.ndarray, here: list[np.ndarray]) -> None:
+        """Count the ids that stand in the slots ``here``; one that stands in none takes the place of the rarest.
+
+        ``fresh`` has the ids as they stand in a slot for the first time. Each lane writes one slot; of several lanes the last one's is kept.
+        """
+        at = self.at * self.slots
+        spot, known, least, slot = at, here[0], self.n[0], fresh
+        for h, n in zip(here, self.n):
+            slot = slot + np.minimum(n + 1, TOP_COUNT - 1) * h
+        for k in range(1, self.slots):
+            h, n = here[k], self.n[k]
+            spot = np.maximum(spot, at + k * (h | ((n < least) & ~known)).view(np.int8))
             known, least = known | h, np.minimum(least, n)
-        left = ~known
-        for k, (h, n) in enumerate(zip(here, self.n)):
-            new = left & (n == least)  # the first slot with the least count
-            left &= ~new
-            rows = np.flatnonzero(h | new)
-            at, fresh = self.at[rows], new[rows]
-            self.ids[k][at] = now[rows]
-            self.counts[k][at] = np.where(fresh, 1, np.minimum(n[rows] + 2, TOP_COUNT))
-
-
-#: Doublings of a total, twice, from 1; 0 for nothing.
-DOUBLINGS = np.where(np.arange(64) > 0, 1 + 2 * np.minimum(np.frexp(np.arange(64.0))[1] - 1, 5), -1).astype(np.int16)
+        self.held.reshape(-1)[spot] = slot
+
+
+#: Doublings of a total, twice; 0 for nothing.
+DOUBLINGS = np.where(np.arange(64) > 0, 2 + 2 * np.minimum(np.frexp(np.arange(64.0))[1] - 1, 5), 0).astype(np.int32)
 #: Confidences of one context, and how often the second order was right of late.
 SURE, RUN = 13, 4
 
 
 class Model:
-    """What encoder and decoder both keep; each step shows it one id of each lane."""
+    """What encoder and decoder both keep; each step shows it one id of each lane.
+
+    Ids are counted from 1 in here (0 names nobody). Choices are made by masks, ``(a - b) >> 31`` being all ones where a < b.
+    """
 
     def __init__(self, vocab: int, lanes: int, ids: int):
         self.vocab = vocab
@@ -92,7 +109,7 @@ class Model:
         cells[:, :, 0, 1] = cells[:, 0, :, 2] = 0
         self.cells = [cells[..., k].ravel() for k in range(3)]
         self.counts = np.zeros(vocab, np.int64)
-        self.prev, self.prev2, self.run = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int16)
+        self.prev, self.prev2, self.run = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.int8)
         self.step, self.pending = 0, []
         self._order0()
         self._weights()
@@ -107,82 +124,89 @@ class Model:
         f = 1 + self.counts * top // max(1, int(self.counts.sum()))
         if not self.counts.any():
             f += top // self.vocab
-        self.freq, self.start = f.astype(np.int32), (np.cumsum(f) - f).astype(np.int32)
+        self.plain = np.zeros((self.vocab + 1, 2), np.int32)  # first value and size of each id's share
+        self.plain[1:, 0], self.plain[1:, 1] = np.cumsum(f) - f, f
         self.symbol = None
 
     def lookup(self) -> np.ndarray:
         """Id of each value below 2**ID_BITS."""
         if self.symbol is None:
-            s = np.repeat(np.arange(self.vocab, dtype=np.int32), self.freq)
-            self.symbol = np.append(s, np.full((1 << ID_BITS) - len(s), self.vocab - 1, np.int32))
+            s = np.repeat(np.arange(self.vocab + 1, dtype=np.int32), self.plain[:, 1])
+            self.symbol = np.append(s, np.full((1 << ID_BITS) - len(s), self.vocab, np.int32))
         return self.symbol
 
     def predict(self, n: int) -> None:
         """Weights of the lanes, and the shares of all successors in 2**(ID_BITS + WEIGHT_BITS)."""
         p1, p2 = self.prev[:n], self.prev2[:n]
-        self.one.look(p1)
-        self.two.look((((p2 * 0x9E3779B1 + p1) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - self.bits2))
-        self.cell = (SURE * self.run[:n] + self.two.sure) * SURE + self.one.sure
-        self.w = self.weight0[self.cell]
+        self.one.look(p1.astype(np.int64))
+        self.two.look((((p2 * _H1 + p1) * _H2) >> np.uint32(32 - self.bits2)).astype(np.int64))
+        cell = (self.run[:n] * np.int32(SURE) + self.two.sure) * np.int32(SURE) + self.one.sure
+        self.cell = cell.astype(np.int64)
+        self.w = self.weight0.take(self.cell, mode="clip")
         self.names = [*self.one.seen, *self.two.seen]
-        self.parts = [*self.one.shares(self.mass1[self.cell]), *self.two.shares(self.mass2[self.cell])]
+        self.parts = [*self.one.shares(self.mass1.take(self.cell, mode="clip")), *self.two.shares(self.mass2.take(self.cell, mode="clip"))]
 
     def interval(self, now: np.ndarray):
         """First value and size of the share of the ids ``now``, mixed from all orders."""
-        now = now.astype(np.int32)
-        own0 = self.w * self.freq[now]
-        first, owns, self.here = self.w * self.start[now], [], []
+        first, own0 = (self.w * x for x in self.plain.take(now, axis=0, mode="clip").T)
+        owns, self.here = [], []
         for name, part in zip(self.names, self.parts):
             here = name == now
             self.here.append(here)
             owns.append(part * here)
-            first += part * (name < now)
+            first += part & ((name - now) >> 31)
         own1, own2 = sum(owns[1 : SLOTS[0]], owns[0]), sum(owns[SLOTS[0] + 1 :], owns[SLOTS[0]])
-        size = own0 + own1 + own2
-        each = 256.0 / size
-        self.share = [own * each for own in (own0, own1, own2)]
-        return first.astype(np.uint64), size.astype(np.uint64)
+        self.owns = own0, own1, own2
+        self.size = own0 + own1 + own2
+        return first, self.size
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids whose shares hold the values."""
-        v, w, names, parts = value.astype(np.int32), self.w, self.names, self.parts
-        found, below = np.full(len(v), -1, np.int32), np.zeros(len(v), np.int32)
-        for i, name in enumerate(names):
-            safe = np.maximum(name, 0)
-            begin, end = w * self.start[safe], w * self.freq[safe] + parts[i]
-            for k, (other, part) in enumerate(zip(names, parts)):
-                if k != i:
-                    begin += part * (other < name)
-                    if (k < SLOTS[0]) != (i < SLOTS[0]):  # both orders name one id: its share has both of their parts
-                        end += part * (other == name)
-            end += begin
-            below += parts[i] * (end <= v)
-            inside = (begin <= v) & (v < end) & (parts[i] > 0)
-            found[inside] = name[inside]
-        plain = np.minimum((v - below) // w, (1 << ID_BITS) - 1)
-        if plain.min(initial=0) < 0:
-            raise ValueError("damaged block of token ids")
-        return np.where(found >= 0, found, self.lookup()[plain]).astype(np.int64)
-
-    def learn(self, ids: np.ndarray) -> None:
-        n, k = len(ids), SLOTS[0]
-        run = self.run[:n]
-        self.run[:n] = np.where(self.here[k], np.minimum(run + 1, RUN - 1), np.where(self.two.total > 0, 0, run >> 1))
-        self.one.learn(ids, self.here[:k])
-        self.two.learn(ids, self.here[k:])
+        w, names, parts = self.w, self.names, self.parts
+        begins, sizes = [], []
+        for name, part in zip(names, parts):
+            begin, size = (w * x for x in self.plain.take(name, axis=0, mode="clip").T)
+            begins.append(begin)
+            sizes.append(size + part)
+        for i in range(len(names)):
+            for k in range(i):
+                less, more = (names[i] - names[k]) >> 31, (names[k] - names[i]) >> 31
+                begins[k] += parts[i] & less
+                begins[i] += parts[k] & more
+                if k < SLOTS[0] <= i:  # both orders name one id: its share has both of their parts
+                    same = ~(less | more)
+                    sizes[k] += parts[i] & same
+                    sizes[i] += parts[k] & same
+        found, rest = np.zeros_like(value), value
+        for name, part, begin, size in zip(names, parts, begins, sizes):
+            into = value - begin
+            short = (into - size) >> 31  # the value lies before the end
+            found |= name & (short ^ (into >> 31))
+            rest = rest - (part & ~short)
+        plain = self.lookup().take((rest / w).astype(np.int64), mode="clip")
+        return found | (plain & ((found - 1) >> 31))
+
+    def learn(self, now: np.ndarray) -> None:
+        n, k = len(now), SLOTS[0]
+        run, right, new = self.run[:n], self.here[k].view(np.int8), (self.two.total == 0).view(np.int8)
+        self.run[:n] = (np.minimum(run + np.int8(1), np.int8(RUN - 1)) & -right) | ((run >> 1) & -new)
+        fresh = (now << 8) + np.int32(1)
+        self.one.learn(fresh, self.here[:k])
+        self.two.learn(fresh, self.here[k:])
         if self.step < 16 or self.step % 4 == 0:  # the weights follow a part of the steps
-            for cells, share in zip(self.cells, self.share):
-                cells += np.bincount(self.cell, share.astype(np.int32), len(cells)).astype(np.int64)
+            each = 256.0 / self.size
+            for cells, own in zip(self.cells, self.owns):
+                cells += np.bincount(self.cell, (own * each).astype(np.int32), len(cells)).astype(np.int64)
             large = self.cells[0] + self.cells[1] + self.cells[2] > 1 << 22
             for cells in self.cells:
                 cells[large] = (cells[large] + 1) >> 1
             self._weights()
         self.prev2[:n] = self.prev[:n]
-        self.prev[:n] = ids
-        self.pending.append(ids)
+        self.prev[:n] = now - np.int32(1)
+        self.pending.append(now)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
-            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.vocab)
+            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.vocab + 1)[1:]
             self.pending = []
             self._order0()
 
@@ -202,34 +226,38 @@ def compress(ids: np.ndarray, vocab: int) -> bytes:
     if not n:
         return MAGIC + struct.pack("<IIII", 0, 0, vocab, crc)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
+    grid = np.zeros(lanes * steps, np.int32)
+    grid[:n] = ids + 1
     grid = grid.reshape(lanes, steps).T.copy()
     model = Model(vocab, lanes, n)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     width = 2 * steps + 4
-    words = np.zeros(lanes * width, np.uint32)
+    words = _zeros(lanes * width, np.uint32)
     at = np.arange(lanes) * width
     last = n - (lanes - 1) * steps  # ids in the last lane
     for t in range(steps):
         m = lanes if t < last else lanes - 1
-        now = grid[t, :m]
+        now, lo, sp = grid[t, :m], low[:m], span[:m]
         model.predict(m)
         first, size = model.interval(now)
-        r = span[:m] >> _U(ID_BITS + WEIGHT_BITS)
-        low[:m] += r * first
-        span[:m] = r * size
-        rows = np.flatnonzero(span[:m] < _TOP)
-        while len(rows):
-            x, y = low[rows], span[rows] << _U(16)
-            words[at[rows]] = x >> _U(32)
+        r = sp >> (ID_BITS + WEIGHT_BITS)
+        lo += r * first
+        np.multiply(r, size, out=sp)
+        words[at[:m]] = lo >> 32  # holds only where the place moves on
+        narrow = sp < _TOP
+        at[:m] += narrow
+        np.putmask(lo, narrow, (lo & _LOW32) << 16)
+        np.putmask(sp, narrow, sp << 16)
+        rows = np.flatnonzero(sp < _TOP)
+        if len(rows):  # a second word; a share is never so small that it takes a third
+            x = lo[rows]
+            words[at[rows]] = x >> 32
             at[rows] += 1
-            low[rows] = (x & _LOW32) << _U(16)
-            span[rows] = y
-            rows = rows[y < _TOP]
+            lo[rows] = (x & _LOW32) << 16
+            sp[rows] <<= 16
         model.learn(now)
     for shift in (32, 16, 0):
-        words[at] = (low >> _U(shift)) if shift == 32 else (low >> _U(shift)) & _U(0xFFFF)
+        words[at] = (low >> shift) if shift == 32 else (low >> shift) & 0xFFFF
         at += 1
     at -= np.arange(lanes) * width
     wide = words.reshape(lanes, width)[:, : int(at.max())]
@@ -251,33 +279,38 @@ def expand(block: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     sizes = np.frombuffer(block, "<u4", lanes, 20).astype(np.int64)
-    words = np.append(np.frombuffer(block, "<u2", offset=20 + 4 * lanes), np.zeros(8, np.uint16)).astype(np.uint64)
+    words = np.append(np.frombuffer(block, "<u2", offset=20 + 4 * lanes), np.zeros(8, np.uint16)).astype(np.uint16)
     steps = _shape(n)[1]
     at = np.cumsum(sizes) - sizes
-    code = words[at] << _U(32) | words[at + 1] << _U(16) | words[at + 2]
+    code = sum(words[at + k].astype(np.int64) << 32 - 16 * k for k in range(3))
     at += 3
-    span = np.full(lanes, 1 << 48, np.uint64)
-    model, grid = Model(vocab, lanes, n), np.zeros((steps, lanes), np.int64)
-    most, top = len(words) - 1, _U((1 << (ID_BITS + WEIGHT_BITS)) - 1)
+    span = np.full(lanes, 1 << 48, np.int64)
+    model, grid = Model(vocab, lanes, n), np.zeros((steps, lanes), np.int32)
+    top = np.int32((1 << (ID_BITS + WEIGHT_BITS)) - 1)
     last = n - (lanes - 1) * steps
     for t in range(steps):
         m = lanes if t < last else lanes - 1
-        r = span[:m] >> _U(ID_BITS + WEIGHT_BITS)
+        co, sp = code[:m], span[:m]
+        r = sp >> (ID_BITS + WEIGHT_BITS)
         model.predict(m)
-        now = model.find(np.minimum(code[:m] // r, top))
+        with np.errstate(invalid="ignore"):  # of a damaged block
+            value = (co / r).astype(np.int32)  # exact: below 2**48 over below 2**19
+        now = model.find(np.maximum(np.minimum(value, top), 0))
         first, size = model.interval(now)
-        code[:m] -= r * first
-        span[:m] = r * size
-        rows = np.flatnonzero(span[:m] < _TOP)
-        while len(rows):
-            y = span[rows] << _U(16)
-            code[rows] = code[rows] << _U(16) | words[np.minimum(at[rows], most)]
+        co -= r * first
+        np.multiply(r, size, out=sp)
+        narrow = sp < _TOP
+        np.putmask(co, narrow, co << 16 | words.take(at[:m], mode="clip"))
+        at[:m] += narrow
+        np.putmask(sp, narrow, sp << 16)
+        rows = np.flatnonzero(sp < _TOP)
+        if len(rows):
+            co[rows] = co[rows] << 16 | words.take(at[rows], mode="clip")
             at[rows] += 1
-            span[rows] = y
-            rows = rows[y < _TOP]
+            sp[rows] <<= 16
         grid[t, :m] = now
         model.learn(now)
-    ids = grid.T.reshape(-1)[:n]
+    ids = grid.T.reshape(-1)[:n].astype(np.int64) - 1
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("damaged block of token ids")
     return ids
@@ -296,7 +329,7 @@ class LibraryEncoder:
         from .bpe import byte_letters
 
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.bpe.cache = PieceCache(self._ask)
+        self.bpe.cache = PieceCache(self._ask, bits=22, most=2_000_000)  # to ask for a piece again is what costs most here; the keys take 80 MB
         self.vocab = len(self.bpe.tokens)
 
     def _ask(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
